@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eraloom.functions.scalar import saturating, whole_days
 from eraloom.schemas import require_unique
@@ -78,7 +78,7 @@ def _spread(recurrence: DataFrame) -> DataFrame:
     upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = long.select("*", F.sum("w").over(upto).alias("hi"), F.sum("w").over(group).alias("n"))
 
-    def at(measure: str, position) -> F.Column:
+    def at(measure: str, position) -> Column:
         inside = (F.col("hi") - F.col("w") <= position) & (position < F.col("hi"))
         return F.max(F.when((F.col("measure") == measure) & inside, F.col("value")))
 

@@ -133,7 +133,8 @@ def sequence_features(examples: DataFrame, stats: DataFrame, max_len: int) -> Da
     cols = ["token_id", "log_days_before", "log_delta_days", "z", "present"]
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", *cols))
     s = rows.groupBy(*EPISODE_KEY).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    return s.select(*EPISODE_KEY, *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in cols])
+    pick = lambda c: F.transform("s", lambda x: x[c]).alias(c)
+    return s.select(*EPISODE_KEY, *[pick(c) for c in cols])
 
 
 def length_summary(examples: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ def scores(spark: SparkSession, sf_dir: str, fractions: list[float] | None = Non
         F.lit(64).alias("max_len"), F.when(vid == 1, 90).alias("era_gap"), F.lit("scorer").alias("model"),
         F.lit("numeric_sequence").alias("model_family"), F.lit(True).alias("numeric_on"),
         F.col("g.seed").alias("seed"), F.col("g.fraction").alias("requested_copy_fraction"), "split", "row_id",
-        "subject_id", "prediction_time", "y_true", logit.alias("logit"),
+        "subject_id", "prediction_time", "y_true", F.round(logit, 6).alias("logit"),
     ).withColumn("risk_raw", sigmoid("logit")).withColumn(
         "risk_calibrated", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(0.9) * F.col("logit") - F.lit(0.1))))
     )
