@@ -239,7 +239,7 @@ def paired(spark, d):
     round(max(p) filter (where seed = 45), 6) as s45 from held where compression_version = 'raw_64' group by 1, 2, 3""")
 def four(spark, d):
     h = held(spark, d).filter(F.col("compression_version") == "raw_64").withColumn("s", F.col("seed").cast("string"))
-    return rounded(bootstrap.paired_join_many(h, bootstrap.PAIR_KEY, "s", {f"s{n}": str(n) for n in (42, 43, 44, 45)}, "risk_calibrated"))
+    return rounded(bootstrap.paired_join_many(h, bootstrap.PAIR_KEY, "s", {str(n): f"s{n}" for n in (42, 43, 44, 45)}, "risk_calibrated"))
 
 
 def draws_sql(clusters: str, reps: int = REPS) -> str:
