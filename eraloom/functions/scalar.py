@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -55,10 +58,6 @@ def copy_order_hash(seed: int, *parts) -> Column:
 
 def blake2b_hash(seed: int, *parts) -> Column:
     """The 8-byte BLAKE2b variant of :func:`copy_order_hash`, as 16 hex digits."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(payload: pd.Series) -> pd.Series:
         return payload.map(

@@ -259,3 +259,10 @@ def with_baseline(df: DataFrame, keys: Sequence[str], columns: Sequence[str], at
     return df.join(base, list(keys), "left")
 
 
+
+
+def key_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys found on one side only, tagged ``only_a`` or ``only_b``."""
+    ka, kb = a.select(*keys).distinct(), b.select(*keys).distinct()
+    only_a = ka.join(kb, list(keys), "left_anti").withColumn("side", F.lit("only_a"))
+    return only_a.unionByName(kb.join(ka, list(keys), "left_anti").withColumn("side", F.lit("only_b")))
