@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eraloom.catalog.shared import (
     BACKFILL, BACKFILL_LONG, BASE, CONTEXT, EV, HIST, LISTED, NO_BACKFILL, NO_BACKFILL_LONG, RAW, RAW_LONG,
-    STRUCTURE_NULL, WINDOW, base_events, era_sql, last_n_sql, once, r, rounded, timeline,
+    STRUCTURE_NULL, WINDOW, base_events, era_sql, events, last_n_sql, once, r, rounded, timeline,
 )
 from eraloom.functions.ordered import asof_backward
 from eraloom.functions.scalar import count_bin, fractional_days, structural_pattern, whole_days, whole_hours
@@ -32,6 +32,13 @@ def hist(spark, d):
     ))
 
 
+def held_hist(spark, d):
+    """History of the held-out episodes only."""
+    return once(spark, d, "held history", lambda: materialize(
+        history.episode_history(adapters.episode_labels(spark, d).filter("split = 'held_out'"), base_events(spark, d))
+    ))
+
+
 def long_of(spark, d, spec):
     return once(spark, d, spec.name, lambda: materialize(represent(timeline(spark, d), spec)))
 
@@ -246,7 +253,7 @@ def anchors(spark, d):
 select subject_id, compression_bucket, count(*) as n, min(time) as first_time, count(distinct code) as n_codes, sum(source_event_id % 1000003)::bigint as id_sum
 from base group by subject_id, compression_bucket""")
 def buckets(spark, d):
-    e = history.canonical_events(adapters.clinical_events(spark, d))
+    e = history.canonical_events(events(spark, d))
     b = history.bucket_events(e, history.visit_anchors(e))
     return b.groupBy("subject_id", "compression_bucket").agg(
         F.count("*").alias("n"), F.min("time").alias("first_time"), F.countDistinct("code").alias("n_codes"),
@@ -254,6 +261,26 @@ def buckets(spark, d):
     )
 
 
+@add("pip3_timeline_ranks", "with " + BASE + f""", rk as (select *, row_number() over (partition by subject_id order by time, source_event_id, code) as er,
+    count(*) filter (where code not in {LISTED}) over (partition by subject_id order by time, source_event_id, code rows unbounded preceding) as pr from base)
+select subject_id, compression_bucket, max(er) as last_rank, sum(er)::bigint as rank_sum, sum(pr)::bigint as plain_sum from rk group by 1, 2""")
+def timeline_ranks(spark, d):
+    t = history.timeline_events(history.canonical_events(events(spark, d)), adapters.code_list(spark))
+    return t.groupBy("subject_id", "compression_bucket").agg(
+        F.max("event_rank").alias("last_rank"), F.sum("event_rank").alias("rank_sum"), F.sum("plain_rank").alias("plain_sum")
+    )
+
+
+@add("win1_ranked_events", "with " + BASE + f""", rk as (select *, row_number() over (partition by subject_id order by time, source_event_id, code) as er,
+    count(*) filter (where code not in {LISTED}) over (partition by subject_id order by time, source_event_id, code rows unbounded preceding) as pr from base)
+select subject_id, max(er) as n_events, max(pr) as n_plain, sum(er * (source_event_id % 1000))::bigint as order_sum from rk group by 1""")
+def ranked(spark, d):
+    t = history.ranked_events(base_events(spark, d), adapters.code_list(spark))
+    return t.groupBy("subject_id").agg(
+        F.max("event_rank").alias("n_events"), F.max("plain_rank").alias("n_plain"), F.sum(F.col("event_rank") * (F.col("source_event_id") % 1000)).alias("order_sum")
+    )
+
+
 @add("pip3_bucket_stream_events", """
 with ev as (select user_id as subject_id, ts as time, event_id, event_type from events),
 anchors as (select subject_id, visit_time, row_number() over (partition by subject_id order by visit_time) - 1 as visit_index

@@ -28,7 +28,8 @@ def add(name: str, sql: str | None = None):
 
 
 def held(spark, d):
-    return scores(spark, d).filter("split = 'held_out' and requested_copy_fraction = 0.0")
+    """Unperturbed held-out scores; the split filter reaches the scan of the orders."""
+    return once(spark, d, "held", lambda: materialize(adapters.scores(spark, d, [0.0]).filter("split = 'held_out'")))
 
 
 def ens(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eraloom.catalog.dataset import BACKFILL, examples_of, hist
+from eraloom.catalog.dataset import BACKFILL, examples_of, held_hist as hist
 from eraloom.catalog.evaluation import A, B, REPS, draws_sql, metrics_sql
 from eraloom.catalog.shared import HIST, LISTED, SCORES, era_sql, last_n_sql, once, r, rounded, scores
 from eraloom.operators import metrics, perturb, robustness

@@ -29,9 +29,14 @@ def forget() -> None:
     _made.clear()
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a user would have it: one parquet table."""
+    return once(spark, sf_dir, "events", lambda: materialize(adapters.clinical_events(spark, sf_dir)))
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> Timeline:
     return once(spark, sf_dir, "timeline", lambda: prepare(
-        adapters.clinical_events(spark, sf_dir), adapters.episode_labels(spark, sf_dir), adapters.code_list(spark)
+        events(spark, sf_dir), adapters.episode_labels(spark, sf_dir), adapters.code_list(spark)
     ))
 
 

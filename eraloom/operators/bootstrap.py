@@ -17,6 +17,7 @@ from eraloom.functions.scalar import direction_label
 from eraloom.operators.metrics import (
     LOWER_IS_BETTER, PREDICTIVE_METRICS, equal_subject_weights, risk_metrics,
 )
+from eraloom.operators.resample import replicate_metrics
 from eraloom.schemas import DataContractError, duplicate_keys
 from eraloom.session import materialize
 
@@ -155,10 +156,10 @@ def paired_bootstrap(
         risk_metrics(pairs, [*keys, "side"], weight="weight" if equal_weight else None, **kw), [*keys, "side"], metrics,
     ), [*keys, "metric"])
     draws = comparison_draws(pairs, n_rep, seed)
-    sampled = pairs.join(draws, [*keys, "subject_id"])
-    sampled = sampled.withColumn("w", F.col("mult") * F.col("weight") if equal_weight else F.col("mult").cast("double"))
     reps = _sides(_unpivot(
-        risk_metrics(sampled, [*keys, "rep", "side"], weight="w", **kw), [*keys, "rep", "side"], metrics,
+        replicate_metrics(
+            pairs, keys, draws, n_rep, kw["splits"], "weight" if equal_weight else None, equal_weight, kw.get("rank_clip")
+        ), [*keys, "rep", "side"], metrics,
     ), [*keys, "rep", "metric"]).withColumn("delta", F.col("model_a_value") - F.col("model_b_value"))
     return _delta_summary(point, reps, keys).join(_pair_sizes(pairs, keys), keys)
 
@@ -229,8 +230,8 @@ def bootstrap_ci(
     kw = {"score": score, "splits": {"score": found[score], "id": found["row_id"]}}
     observed = _unpivot(risk_metrics(df, by, **kw), by, metrics).withColumnRenamed("value", "observed")
     draws = comparison_draws(df, n_rep, seed, by)
-    sampled = df.join(draws, [*by, "subject_id"])
-    reps = _unpivot(risk_metrics(sampled, [*by, "rep"], weight="mult", **kw), [*by, "rep"], metrics)
+    sampled = df.select(*by, *PAIR_KEY, F.col(score).alias("score"), F.lit("a").alias("side"))
+    reps = _unpivot(replicate_metrics(sampled, by, draws, n_rep, kw["splits"]), [*by, "rep"], metrics)
     stats = reps.filter(F.col("value").isNotNull()).groupBy(*by, "metric").agg(
         F.avg("value").alias("bootstrap_mean"), F.stddev_samp("value").alias("bootstrap_std"),
         F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"),
@@ -314,8 +315,8 @@ def interaction_bootstrap(
 
     point = effect(risk_metrics(rows, ["task", "role"], **kw), ["task"]).withColumnRenamed("delta", "point_interaction")
     draws = comparison_draws(rows, n_rep, seed, ["task"])
-    sampled = rows.join(draws, ["task", "subject_id"])
-    reps = effect(risk_metrics(sampled, ["task", "rep", "role"], weight="mult", **kw), ["task", "rep"])
+    sampled = replicate_metrics(rows.withColumnRenamed("role", "side"), ["task"], draws, n_rep, kw["splits"])
+    reps = effect(sampled.withColumnRenamed("side", "role"), ["task", "rep"])
     both = reps.join(point, ["task", "metric"]).filter(F.col("delta").isNotNull())
     return both.groupBy("task", "metric").agg(
         F.max("point_interaction").alias("point_interaction"), *interval(),

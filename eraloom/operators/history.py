@@ -102,6 +102,38 @@ def ranked_events(base: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
+def timeline_events(events: DataFrame, codes: DataFrame, max_days: int = 1) -> DataFrame:
+    """Bucketed and ranked events in one pass over the distinct event times.
+
+    Visit index, latest visit and ranks are running values over (subject, time),
+    so one small ordered table serves :func:`visit_anchors`,
+    :func:`bucket_events` and :func:`ranked_events` together; the events
+    themselves move once, to meet that table.
+    """
+    visit = F.col("code").startswith("Visit/") & (F.col("omop_table") == "visit_occurrence")
+    marked = mark_codes(events, codes).withColumn("plain", (~F.col("is_compressible")).cast("int"))
+    grid = marked.groupBy("subject_id", "time").agg(
+        F.count("*").alias("n"), F.sum("plain").alias("n_plain"), F.max(visit.cast("int")).alias("is_visit")
+    ).withColumn("visit_time", F.when(F.col("is_visit") == 1, F.col("time"))).withColumn("__day", calendar_day("time"))
+    steps = running(
+        grid, ["subject_id"], ["time"], "__day", ["n", "n_plain", "is_visit"], lasts=["visit_time"]
+    ).select(
+        "subject_id", "time", (F.col("cum_n") - F.col("n")).alias("__before"), (F.col("cum_n_plain") - F.col("n_plain")).alias("__plain_before"),
+        F.col("last_visit_time").alias("visit_time"), (F.col("cum_is_visit") - 1).alias("visit_index"),
+    )
+    same_time = Window.partitionBy("subject_id", "time").orderBy("source_event_id", "code")
+    upto = same_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = (whole_hours("visit_time", "time") / F.lit(24.0)) <= F.lit(float(max_days))
+    bucket = F.when(
+        near, F.concat(F.lit("reconstructed_visit="), F.col("visit_index").cast("string"))
+    ).otherwise(F.concat(F.lit("day="), event_day("time")))
+    return marked.join(steps, ["subject_id", "time"]).select(
+        "subject_id", "time", "code", "numeric_value", "text_value", bucket.alias("compression_bucket"), "source_event_id",
+        "is_compressible", (F.col("__before") + F.row_number().over(same_time)).alias("event_rank"),
+        (F.col("__plain_before") + F.sum("plain").over(upto)).alias("plain_rank"),
+    )
+
+
 def blocks(low: Column, high: Column, size: int) -> Column:
     """Numbers of the ``size``-wide blocks that the ranks (low, high] touch."""
     return F.sequence(F.floor(low / F.lit(size)), F.floor((high - 1) / F.lit(size)))

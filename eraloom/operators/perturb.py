@@ -131,8 +131,9 @@ def inject(hist: DataFrame, episodes: DataFrame, selected: DataFrame, fractions:
     return each.unionByName(copied_rows(selected))
 
 
-PERTURBED_KEY = [*EPISODE_KEY, "requested_copy_fraction"]
 CAP_KEY = ["task", "row_id", "requested_copy_fraction"]
+# The other episode columns follow from the plan at the end and need not move with every token.
+PERTURBED_KEY = [*CAP_KEY, "prediction_time"]
 
 
 def perturbed_long(injected: DataFrame, codes: DataFrame, context: int, gap_days: int | None) -> DataFrame:
@@ -154,7 +155,7 @@ def perturbed_sequences(
     long = perturbed_long(injected, codes, context, gap_days)
     seqs = sequences.collect_sequences(sequences.encode_tokens(long, vocab), PERTURBED_KEY).drop("__times", "__anchors")
     copied = selected.groupBy(*CAP_KEY).agg(F.count("*").alias("n_copied_visits"))
-    plan = episodes.select("task", "row_id", "candidate_code", "n_existing_visits", "n_existing_mentions", "n_eligible_visits")
+    plan = episodes.select("task", "row_id", "subject_id", "label", "split", "candidate_code", "n_existing_visits", "n_existing_mentions", "n_eligible_visits")
     out = seqs.join(plan, ["task", "row_id"]).join(copied, CAP_KEY, "left").fillna(0, ["n_copied_visits"])
     return out.withColumn("realized_copy_fraction", safe_ratio("n_copied_visits", "n_eligible_visits"))
 

@@ -53,9 +53,8 @@ def prepare(
     events: DataFrame, labels: DataFrame, codes: DataFrame, max_days: int = 1, inclusive: bool = True,
 ) -> Timeline:
     """As-of bucketing and ranking, done once for all representations."""
-    clean = history.canonical_events(events)
-    base = history.bucket_events(clean, history.visit_anchors(clean), max_days)
-    return Timeline(labels, materialize(history.ranked_events(base, codes)), inclusive, codes)
+    ranked = history.timeline_events(history.canonical_events(events), codes, max_days)
+    return Timeline(labels, materialize(ranked), inclusive, codes)
 
 
 def represent(timeline: Timeline, spec: Representation) -> DataFrame:
