@@ -43,10 +43,15 @@ def long_of(spark, d, spec):
     return once(spark, d, spec.name, lambda: materialize(represent(timeline(spark, d), spec)))
 
 
+def vocab_of(spark, d, spec):
+    return once(spark, d, f"vocab {spec.name}", lambda: materialize(sequences.build_vocab(long_of(spark, d, spec))))
+
+
 def examples_of(spark, d, spec):
     def make():
-        ex, vocab, long = build_examples(timeline(spark, d), spec, long=long_of(spark, d, spec))
-        return materialize(ex), materialize(vocab), long
+        vocab = vocab_of(spark, d, spec)
+        ex, _, long = build_examples(timeline(spark, d), spec, long=long_of(spark, d, spec), vocab=vocab)
+        return materialize(ex), vocab, long
 
     return once(spark, d, f"examples {spec.name}", make)
 
@@ -405,7 +410,7 @@ def positions(spark, d):
 def position_check(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("task", "row_id").orderBy(*history.TOKEN_ORDER)
+    w = Window.partitionBy("row_id", "task").orderBy(*history.TOKEN_ORDER)
     x = long_of(spark, d, BACKFILL).withColumn("expected", F.row_number().over(w))
     return x.agg(F.count("*").alias("n_rows"), F.count_if(F.col("expected") != F.col("event_position")).alias("n_wrong"))
 

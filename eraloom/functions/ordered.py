@@ -56,12 +56,15 @@ def running(
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
     totals: bool = False,
+    maxes: Sequence[str] = (),
 ) -> DataFrame:
-    """Inclusive running sums (``cum_x``) and last non-NULL values (``last_x``).
+    """Inclusive running sums (``cum_x``), maxima (``max_x``) and last non-NULL values (``last_x``).
 
     ``segment`` must not decrease along ``order`` inside a key. With ``totals``
-    the group totals come along as ``tot_x``.
+    the group totals come along as ``tot_x``. Rows with a NULL key are dropped
+    up front, so both readers of ``df`` below plan the same scan and share it.
     """
+    df = df.dropna(subset=[*keys, segment])
     inside = (
         Window.partitionBy(*keys, segment).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,6 +76,7 @@ def running(
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     per_segment = df.groupBy(*keys, segment).agg(
         *[F.sum(c).alias(f"__s_{c}") for c in sums],
+        *[F.max(c).alias(f"__m_{c}") for c in maxes],
         *[
             F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__v")))).alias(f"__l_{c}")
             for c in lasts
@@ -83,6 +87,7 @@ def running(
         segment,
         *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums],
         *([F.sum(f"__s_{c}").over(whole).alias(f"tot_{c}") for c in sums] if totals else []),
+        *[F.max(f"__m_{c}").over(before).alias(f"__q_{c}") for c in maxes],
         *[F.last(f"__l_{c}", True).over(before)["__v"].alias(f"__p_{c}") for c in lasts],
     )
     joined = df.join(carry, [*keys, segment])
@@ -90,6 +95,7 @@ def running(
         *df.columns,
         *[(F.sum(c).over(inside) + F.col(f"__b_{c}")).alias(f"cum_{c}") for c in sums],
         *([F.col(f"tot_{c}") for c in sums] if totals else []),
+        *[F.greatest(F.max(c).over(inside), F.col(f"__q_{c}")).alias(f"max_{c}") for c in maxes],
         *[F.coalesce(F.last(c, True).over(inside), F.col(f"__p_{c}")).alias(f"last_{c}") for c in lasts],
     )
 

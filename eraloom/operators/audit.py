@@ -78,11 +78,11 @@ def final_audit(
 ) -> DataFrame:
     """Full audit per episode; all three inputs hold one row per episode."""
     totals = ["transformed_history_len_before_truncation", *TRANSFORM_TOTALS.values()]
-    df = history.join(transform.select("task", "row_id", *totals), ["task", "row_id"], "left").fillna(0, totals)
+    df = history.join(transform.select("task", "row_id", *totals), ["row_id", "task"], "left").fillna(0, totals)
     df = df.join(
         sequences.select("task", "row_id", "__times", "__anchors", "seq_len",
                          F.array_max("days_before_prediction").alias("__far")),
-        ["task", "row_id"], "left",
+        ["row_id", "task"], "left",
     )
     first, last = F.array_min("__times"), F.array_max("__times")
     bound_t, bound_id = F.col("raw_window_boundary_time"), F.col("raw_window_boundary_source_event_id")
@@ -132,7 +132,7 @@ def check_no_backfill(long: DataFrame, window: DataFrame) -> DataFrame:
     ``window`` is the raw window table with ``source_event_id`` and
     ``event_position``; both sides are capped per episode.
     """
-    keys = ["task", "row_id"]
+    keys = ["row_id", "task"]
     anchors = window.select(*keys, F.col("source_event_id").alias("order_anchor_id"), F.col("time").alias("__at"))
     edge = window.filter("event_position = 1").select(
         *keys, F.col("time").alias("__edge"), F.col("source_event_id").alias("__edge_id")

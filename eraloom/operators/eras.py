@@ -247,11 +247,11 @@ def episode_cutoffs(
         .withColumn("__day", calendar_day("time"))
     )
     known = (
-        running(both, ["subject_id"], ["time", "__side"], "__day", counters, lasts=["latest"])
+        running(both, ["subject_id"], ["time", "__side"], "__day", counters, maxes=["latest"])
         .filter("__side <> 0")
         .select("subject_id", F.col("time").alias("prediction_time"),
                 *[F.col(f"cum_{c}").alias(c) for c in counters],
-                F.col("last_latest").alias("original_latest_time"))
+                F.col("max_latest").alias("original_latest_time"))
     )
     return labels.select(*EPISODE_KEY).join(known, ["subject_id", "prediction_time"], "left").select(
         *EPISODE_KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in counters], "original_latest_time"
@@ -312,7 +312,7 @@ def backfill_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusiv
         )
         .withColumn("days_before_prediction", whole_days("time", "prediction_time").cast("float"))
     )
-    back = Window.partitionBy("task", "row_id").orderBy(
+    back = Window.partitionBy("row_id", "task").orderBy(
         F.col("time").desc(), F.col("order_anchor_id").desc(), F.col("role_order").desc(), F.col("code").desc()
     )
     return (

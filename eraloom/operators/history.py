@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from eraloom.functions.ordered import asof_backward, calendar_day, running
 from eraloom.functions.scalar import event_day, whole_days, whole_hours
 from eraloom.schemas import EPISODE_KEY, EVENT_REQUIRED, require_columns
+from eraloom.session import broadcast_checked
 
 HISTORY = EPISODE_KEY + [
     "time", "code", "numeric_value", "text_value", "days_before_prediction", "compression_bucket",
@@ -78,8 +79,12 @@ def episode_history(labels: DataFrame, base: DataFrame, inclusive: bool = True)
 
 
 def mark_codes(df: DataFrame, codes: DataFrame, out: str = "is_compressible") -> DataFrame:
-    """Flag rows whose code is listed. The list joins by size, never as an IN list."""
-    listed = codes.select("code").distinct().withColumn(out, F.lit(True))
+    """Flag rows whose code is listed.
+
+    A list of checked size is broadcast, so a code that holds a large share of
+    the rows does not gather them in one task; a longer list joins by size.
+    """
+    listed = broadcast_checked(codes.select("code").distinct().withColumn(out, F.lit(True)))
     return df.join(listed, "code", "left").select(
         *df.columns, F.coalesce(out, F.lit(False)).alias(out)
     )
@@ -116,10 +121,10 @@ def timeline_events(events: DataFrame, codes: DataFrame, max_days: int = 1) -> D
         F.count("*").alias("n"), F.sum("plain").alias("n_plain"), F.max(visit.cast("int")).alias("is_visit")
     ).withColumn("visit_time", F.when(F.col("is_visit") == 1, F.col("time"))).withColumn("__day", calendar_day("time"))
     steps = running(
-        grid, ["subject_id"], ["time"], "__day", ["n", "n_plain", "is_visit"], lasts=["visit_time"]
+        grid, ["subject_id"], ["time"], "__day", ["n", "n_plain", "is_visit"], maxes=["visit_time"]
     ).select(
         "subject_id", "time", (F.col("cum_n") - F.col("n")).alias("__before"), (F.col("cum_n_plain") - F.col("n_plain")).alias("__plain_before"),
-        F.col("last_visit_time").alias("visit_time"), (F.col("cum_is_visit") - 1).alias("visit_index"),
+        F.col("max_visit_time").alias("visit_time"), (F.col("cum_is_visit") - 1).alias("visit_index"),
     )
     same_time = Window.partitionBy("subject_id", "time").orderBy("source_event_id", "code")
     upto = same_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -163,7 +168,7 @@ def raw_window(cutoffs: DataFrame, ranked: DataFrame, context: int) -> DataFrame
 
 def last_n(history: DataFrame, n: int, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """Last ``n`` rows per episode; Spark limits each group before the shuffle."""
-    w = Window.partitionBy(*(keys or ["task", "row_id"])).orderBy(*[F.col(c).desc() for c in order])
+    w = Window.partitionBy(*(keys or ["row_id", "task"])).orderBy(*[F.col(c).desc() for c in order])
     return history.withColumn("__back", F.row_number().over(w)).filter(F.col("__back") <= n).drop("__back")
 
 
@@ -173,5 +178,14 @@ TOKEN_ORDER = ["time", "order_anchor_id", "role_order", "code"]
 
 def assign_position(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Dense 1..n position inside an episode that is already capped."""
-    w = Window.partitionBy(*(keys or ["task", "row_id"])).orderBy(*TOKEN_ORDER)
+    w = Window.partitionBy(*(keys or ["row_id", "task"])).orderBy(*TOKEN_ORDER)
     return tokens.withColumn("event_position", F.row_number().over(w))
+
+
+def cap_and_place(tokens: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
+    """Last ``n`` tokens per episode with their position, from one sort."""
+    group = Window.partitionBy(*(keys or ["row_id", "task"]))
+    back = F.row_number().over(group.orderBy(*[F.col(c).desc() for c in TOKEN_ORDER]))
+    placed = tokens.withColumn("__size", F.count("*").over(group)).withColumn("__back", back).filter(F.col("__back") <= n)
+    position = F.least(F.col("__size"), F.lit(n)) - F.col("__back") + 1
+    return placed.withColumn("event_position", position.cast("int")).drop("__size", "__back")

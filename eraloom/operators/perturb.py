@@ -13,6 +13,7 @@ from eraloom.operators.history import HISTORY, mark_codes
 from eraloom.operators.metrics import risk_metrics, spearman
 from eraloom.operators.predictions import with_baseline
 from eraloom.schemas import EPISODE_KEY, require_none
+from eraloom.session import materialize
 
 # Fixed values of the protocol: fractions, minimum visits, seed and the id range of copied rows.
 FRACTIONS = (0.0, 0.25, 0.5, 1.0)
@@ -36,7 +37,11 @@ def code_visits(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
 def candidate_stats(hist: DataFrame, codes: DataFrame, min_visits: int = MIN_VISITS) -> DataFrame:
     """Listed codes seen in enough visits of an episode."""
-    return code_visits(visit_rows(hist), codes).groupBy(*EPISODE_KEY, "code").agg(
+    return enough_visits(code_visits(visit_rows(hist), codes), min_visits)
+
+
+def enough_visits(existing: DataFrame, min_visits: int) -> DataFrame:
+    return existing.groupBy(*EPISODE_KEY, "code").agg(
         F.count("*").alias("n_existing_visits"), F.sum("n_mentions").alias("n_existing_mentions"),
         F.min("first_time").alias("first_diagnosis_time"),
     ).filter(F.col("n_existing_visits") >= min_visits)
@@ -53,7 +58,7 @@ def count_eligible(stats: DataFrame, visits: DataFrame, existing: DataFrame) ->
     visits come from a running count over the episode's visits, so no
     (code, visit) pairs are built.
     """
-    keys = ["task", "row_id"]
+    keys = ["row_id", "task"]
     marks = visits.select(*keys, F.col("visit_time").alias("t"), F.lit(0).alias("side"), F.lit(1).alias("one"))
     asks = stats.select(*keys, F.col("first_diagnosis_time").alias("t"), F.lit(1).alias("side"), F.lit(0).alias("one")).distinct()
     both = marks.unionByName(asks).withColumn("__day", calendar_day("t"))
@@ -75,23 +80,24 @@ def pick_candidate(counted: DataFrame) -> DataFrame:
         F.desc("n_existing_visits"), F.desc("n_existing_mentions"), F.desc("n_eligible_visits"),
         F.asc("first_diagnosis_time"), F.asc("code"),
     ]
-    return keep_by_order(counted, ["task", "row_id"], order).withColumnRenamed("code", "candidate_code")
+    return keep_by_order(counted, ["row_id", "task"], order).withColumnRenamed("code", "candidate_code")
 
 
 def candidate_plan(
     hist: DataFrame, codes: DataFrame, min_visits: int = MIN_VISITS, seed: int = SELECTION_SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """(episode plan, eligible visits with their copy rank)."""
-    rows = visit_rows(hist)
-    existing, visits = code_visits(rows, codes), visit_times(hist)
-    episodes = pick_candidate(count_eligible(candidate_stats(hist, codes, min_visits), visits, existing))
+    # Both are small next to the history and are read by several branches below.
+    existing, visits = materialize(code_visits(visit_rows(hist), codes)), materialize(visit_times(hist))
+    counted = count_eligible(enough_visits(existing, min_visits), visits, existing)
+    episodes = materialize(pick_candidate(counted))
     return episodes, rank_eligible(eligible_visits(episodes, visits, existing), seed)
 
 
 def eligible_visits(episodes: DataFrame, visits: DataFrame, existing: DataFrame) -> DataFrame:
     """Later visits of each episode in which its chosen code is absent."""
     later = visits.join(
-        episodes.select("task", "row_id", "candidate_code", "n_eligible_visits", "first_diagnosis_time"), ["task", "row_id"]
+        episodes.select("task", "row_id", "candidate_code", "n_eligible_visits", "first_diagnosis_time"), ["row_id", "task"]
     ).filter(F.col("visit_time") > F.col("first_diagnosis_time"))
     held = existing.select("task", "row_id", F.col("code").alias("candidate_code"), "compression_bucket")
     return later.join(held, ["task", "row_id", "candidate_code", "compression_bucket"], "left_anti")
@@ -102,7 +108,7 @@ def rank_eligible(visits: DataFrame, seed: int = SELECTION_SEED) -> DataFrame:
     hashed = visits.withColumn(
         "selection_score", copy_order_hash(seed, "task", "row_id", "candidate_code", "compression_bucket")
     ).withColumn("__seg", F.substring("selection_score", 1, 2)).withColumn("one", F.lit(1))
-    out = running(hashed, ["task", "row_id"], ["selection_score", "visit_time", "compression_bucket"], "__seg", ["one"])
+    out = running(hashed, ["row_id", "task"], ["selection_score", "visit_time", "compression_bucket"], "__seg", ["one"])
     return out.select(*visits.columns, "selection_score", (F.col("cum_one") - 1).alias("eligible_rank"))
 
 
@@ -126,12 +132,12 @@ def copied_rows(selected: DataFrame) -> DataFrame:
 
 def inject(hist: DataFrame, episodes: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Planned histories, once per fraction, with the copies added."""
-    planned = hist.select(*HISTORY).join(episodes.select("task", "row_id"), ["task", "row_id"], "left_semi")
+    planned = hist.select(*HISTORY).join(episodes.select("task", "row_id"), ["row_id", "task"], "left_semi")
     each = planned.withColumn("requested_copy_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     return each.unionByName(copied_rows(selected))
 
 
-CAP_KEY = ["task", "row_id", "requested_copy_fraction"]
+CAP_KEY = ["row_id", "task", "requested_copy_fraction"]
 # The other episode columns follow from the plan at the end and need not move with every token.
 PERTURBED_KEY = [*CAP_KEY, "prediction_time"]
 
@@ -141,10 +147,8 @@ def perturbed_long(injected: DataFrame, codes: DataFrame, context: int, gap_days
     if gap_days is None:
         tokens = eras.raw_tokens(history.last_n(injected, context, history.RAW_ORDER, CAP_KEY), PERTURBED_KEY)
     else:
-        tokens = history.last_n(
-            eras.condition_era(injected, codes, gap_days, PERTURBED_KEY), context, history.TOKEN_ORDER, CAP_KEY
-        )
-    return history.assign_position(tokens, CAP_KEY)
+        tokens = eras.condition_era(injected, codes, gap_days, PERTURBED_KEY)
+    return history.cap_and_place(tokens, context, CAP_KEY)
 
 
 def perturbed_sequences(
@@ -156,7 +160,7 @@ def perturbed_sequences(
     seqs = sequences.collect_sequences(sequences.encode_tokens(long, vocab), PERTURBED_KEY).drop("__times", "__anchors")
     copied = selected.groupBy(*CAP_KEY).agg(F.count("*").alias("n_copied_visits"))
     plan = episodes.select("task", "row_id", "subject_id", "label", "split", "candidate_code", "n_existing_visits", "n_existing_mentions", "n_eligible_visits")
-    out = seqs.join(plan, ["task", "row_id"]).join(copied, CAP_KEY, "left").fillna(0, ["n_copied_visits"])
+    out = seqs.join(plan, ["row_id", "task"]).join(copied, CAP_KEY, "left").fillna(0, ["n_copied_visits"])
     return out.withColumn("realized_copy_fraction", safe_ratio("n_copied_visits", "n_eligible_visits"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eraloom.functions.ordered import global_row_number
 from eraloom.functions.scalar import whole_days
 from eraloom.schemas import EPISODE_KEY, SPECIAL_TOKENS
+from eraloom.session import broadcast_checked
 
 
 def train_code_counts(long: DataFrame, min_count: int = 1) -> DataFrame:
@@ -28,7 +29,7 @@ def build_vocab(long: DataFrame, min_count: int = 1, max_size: int | None = None
 
 def encode_tokens(long: DataFrame, vocab: DataFrame) -> DataFrame:
     """Token id per row; codes outside the vocabulary become the unknown token."""
-    return long.join(vocab, "code", "left").select(
+    return long.join(broadcast_checked(vocab), "code", "left").select(
         *long.columns, F.coalesce("token_id", F.lit(SPECIAL_TOKENS["<UNK>"])).alias("token_id")
     )
 
@@ -66,7 +67,7 @@ def delta_days(long: DataFrame) -> DataFrame:
     """Whole days since the previous position, for long tables."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("task", "row_id").orderBy("event_position")
+    w = Window.partitionBy("row_id", "task").orderBy("event_position")
     return long.withColumn("delta_days", F.coalesce(whole_days(F.lag("time").over(w), F.col("time")), F.lit(0)))
 
 

@@ -71,14 +71,19 @@ def represent(timeline: Timeline, spec: Representation) -> DataFrame:
     if spec.kind == "raw":
         plain = eras.raw_tokens(window, [*EPISODE_KEY, "event_position"])
         return plain.select(*eras.LONG)
-    return history.assign_position(
-        history.last_n(no_backfill_tokens(timeline, window, spec.gap_days), n, history.TOKEN_ORDER)
-    ).select(*eras.LONG)
+    placed = history.cap_and_place(no_backfill_tokens(timeline, window, spec.gap_days), n)
+    episodes = timeline.labels.select(*[c for c in EPISODE_KEY if c != "prediction_time"])
+    return placed.join(episodes, ["row_id", "task"]).select(*eras.LONG)
+
+
+# What eras need of an episode; its other columns are attached at the end.
+SLIM_KEY = ["row_id", "task", "prediction_time"]
 
 
 def no_backfill_tokens(timeline: Timeline, window: DataFrame, gap_days: int) -> DataFrame:
     """Eras inside the raw window only; each episode is capped, so one shuffle by episode serves all steps."""
-    return eras.condition_era(window.repartition("task", "row_id"), timeline.codes, gap_days)
+    rows = window.select(*SLIM_KEY, *[c for c in window.columns if c not in EPISODE_KEY])
+    return eras.condition_era(rows.repartition("row_id", "task"), timeline.codes, gap_days, SLIM_KEY)
 
 
 def episode_audit(timeline: Timeline, spec: Representation, seqs: DataFrame, list_id: str = "", sha: str = "") -> DataFrame:
@@ -87,7 +92,7 @@ def episode_audit(timeline: Timeline, spec: Representation, seqs: DataFrame, lis
     bounds = eras.window_bounds(cutoffs, timeline.ranked, n)
     if mode == "no_backfill":
         window = history.raw_window(bounds, timeline.ranked, n)
-        transform = audit.transform_audit(no_backfill_tokens(timeline, window, spec.gap_days))
+        transform = audit.transform_audit(no_backfill_tokens(timeline, window, spec.gap_days), ["row_id", "task"])
     else:
         transform = audit.transform_audit_from_cutoffs(cutoffs, raw=spec.kind == "raw")
     return audit.final_audit(audit.history_audit(bounds, n, mode), transform, seqs, n, mode, list_id, sha)
@@ -110,7 +115,7 @@ def build_examples(
     counts = ["seq_len", "n_unique_tokens", "n_compression_events"]
     raw_len = F.least(F.col("original_history_len"), F.lit(spec.context_length))
     out = (
-        checked.join(seqs.select("task", "row_id", *arrays, *counts), ["task", "row_id"], "left")
+        checked.join(seqs.select("task", "row_id", *arrays, *counts), ["row_id", "task"], "left")
         .select(
             *EPISODE_KEY, F.lit(spec.name).alias("version"),
             *[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in arrays.items()],

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-EPISODE_KEY = ["task", "row_id", "subject_id", "prediction_time", "label", "split"]
+EPISODE_KEY = ["row_id", "task", "subject_id", "prediction_time", "label", "split"]
 SPLITS = ["train", "tuning", "held_out"]
 
 EVENTS = T.StructType([

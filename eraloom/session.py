@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Largest table, in rows, that is broadcast: well below the memory of an executor.
+BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -55,3 +58,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{work_dir(spark).rstrip('/')}/eraloom/{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a count, stopped at the bound, proves the table small."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
