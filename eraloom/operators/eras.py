@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eraloom.functions.ordered import calendar_day, running
+from eraloom.functions.ordered import calendar_day
 from eraloom.functions.scalar import (
     count_bin, era_prefix, strip_structure, structural_pattern, whole_days,
 )
@@ -138,11 +138,18 @@ def compress_eras(days: DataFrame, keys: list[str], gap_days: int) -> DataFrame:
 
 def condition_era(
     history: DataFrame, codes: DataFrame, gap_days: int, keys: list[str] | None = None,
+    cluster: list[str] | None = None,
 ) -> DataFrame:
-    """Compress listed codes of each episode history into eras."""
+    """Compress listed codes of each episode history into eras.
+
+    With ``cluster`` the listed rows are shuffled once by those columns and every
+    later step stays in place. Use it only when each cluster is bounded, as it is
+    for capped windows.
+    """
     keys = keys or EPISODE_KEY
     marked = mark_codes(history, codes)
-    points = first_mentions(marked.filter("is_compressible"), keys)
+    listed = marked.filter("is_compressible")
+    points = first_mentions(listed.repartition(*cluster) if cluster else listed, keys)
     states = compress_eras(era_days(points, keys, gap_days), keys, gap_days)
     return plain_tokens(marked.filter(~F.col("is_compressible")), keys).unionByName(states)
 
@@ -234,24 +241,32 @@ def episode_cutoffs(
             points, n_points=F.lit(1), n_eras=first, n_compressed=(F.col("place") == 2).cast("int"),
             n_codes=F.when(F.col("era") == 0, first).otherwise(0),
         ))
-    grown = grown.groupBy("subject_id", "time").agg(*[F.sum(c).alias(c) for c in counters])
-    asked = labels.select("subject_id", F.col("prediction_time").alias("time")).distinct().select(
-        "*", *[F.lit(0).cast("long").alias(c) for c in counters]
-    )
-    both = (
-        grown.withColumn("__side", F.lit(0)).withColumn("latest", F.col("time"))
-        .unionByName(
-            asked.withColumn("__side", F.lit(1 if inclusive else -1))
-            .withColumn("latest", F.lit(None).cast("timestamp_ntz"))
-        )
-        .withColumn("__day", calendar_day("time"))
+    day, keys = calendar_day("time").alias("day"), ["subject_id", "day"]
+    asked = labels.select("subject_id", F.col("prediction_time").alias("time"), calendar_day("prediction_time").alias("day")).distinct()
+    asked_days = asked.select(*keys).distinct()
+    zero = [F.lit(0).cast("long").alias(c) for c in counters]
+
+    # Whole days before the prediction day: one row per subject and day.
+    days = grown.select("*", day).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], F.max("time").alias("latest"))
+    none = F.lit(None).cast("timestamp_ntz").alias("latest")
+    before = Window.partitionBy("subject_id").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, -1)
+    carry = days.withColumn("asked", F.lit(1)).unionByName(asked_days.select("*", *zero, none, F.lit(0).alias("asked"))).select(
+        *keys, "asked", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in counters],
+        F.max("latest").over(before).alias("b_latest"),
+    ).filter("asked = 0").drop("asked")
+
+    # Inside the prediction day: only the days that are asked for are looked at row by row.
+    near = grown.select("*", day).join(asked_days, keys, "left_semi").groupBy(*keys, "time").agg(*[F.sum(c).alias(c) for c in counters])
+    both = near.select("*", F.col("time").alias("latest"), F.lit(0).alias("side")).unionByName(
+        asked.select("*", *zero, none, F.lit(1 if inclusive else -1).alias("side"))
     )
-    known = (
-        running(both, ["subject_id"], ["time", "__side"], "__day", counters, maxes=["latest"])
-        .filter("__side <> 0")
-        .select("subject_id", F.col("time").alias("prediction_time"),
-                *[F.col(f"cum_{c}").alias(c) for c in counters],
-                F.col("max_latest").alias("original_latest_time"))
+    upto = Window.partitionBy(*keys).orderBy("time", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.select(
+        *keys, "time", "side", *[F.sum(c).over(upto).alias(f"i_{c}") for c in counters], F.max("latest").over(upto).alias("i_latest")
+    ).filter("side <> 0")
+    known = inside.join(carry, keys).select(
+        "subject_id", F.col("time").alias("prediction_time"), *[(F.col(f"b_{c}") + F.col(f"i_{c}")).alias(c) for c in counters],
+        F.greatest("b_latest", "i_latest").alias("original_latest_time"),
     )
     return labels.select(*EPISODE_KEY).join(known, ["subject_id", "prediction_time"], "left").select(
         *EPISODE_KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in counters], "original_latest_time"

@@ -81,9 +81,9 @@ SLIM_KEY = ["row_id", "task", "prediction_time"]
 
 
 def no_backfill_tokens(timeline: Timeline, window: DataFrame, gap_days: int) -> DataFrame:
-    """Eras inside the raw window only; each episode is capped, so one shuffle by episode serves all steps."""
+    """Eras inside the raw window only; each episode is capped, so its listed rows may share a task."""
     rows = window.select(*SLIM_KEY, *[c for c in window.columns if c not in EPISODE_KEY])
-    return eras.condition_era(rows.repartition("row_id", "task"), timeline.codes, gap_days, SLIM_KEY)
+    return eras.condition_era(rows, timeline.codes, gap_days, SLIM_KEY, cluster=["row_id", "task"])
 
 
 def episode_audit(timeline: Timeline, spec: Representation, seqs: DataFrame, list_id: str = "", sha: str = "") -> DataFrame:
