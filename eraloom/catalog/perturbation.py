@@ -119,7 +119,7 @@ select t.row_id, t.f as requested_copy_fraction, count(*) as seq_len, sum(pos *
 
 def perturbed(spark, d, gap):
     e, v = plan_of(spark, d)
-    s = perturb.perturbed_sequences(injected(spark, d), e, perturb.select_fraction(v), adapters.code_list(spark), vocab_of(spark, d, BACKFILL), 64, gap)
+    s = perturb.perturbed_sequences(hist(spark, d), e, perturb.select_fraction(v), adapters.code_list(spark), vocab_of(spark, d, BACKFILL), 64, gap)
     tokens = F.aggregate(F.transform("token_ids", lambda x, i: x * (i + 1)), F.lit(0).cast("int"), lambda a, x: a + x)
     days = F.aggregate(F.transform("days_before_prediction", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return s.select(

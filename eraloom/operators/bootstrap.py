@@ -36,8 +36,7 @@ def cluster_draws(spark, n_clusters: int, n_rep: int, seed: int) -> DataFrame:
     One flat range numbers all draws; replicate and place are its quotient and
     remainder, so nothing is crossed.
     """
-    i = F.col("id")
-    rep, place = F.floor(i / F.lit(n_clusters)).cast("long"), i % n_clusters
+    rep, place = F.expr(f"id div {int(n_clusters)}"), F.col("id") % n_clusters
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), place.cast("string")), 256)
     hit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_clusters
     return (

@@ -133,8 +133,7 @@ def copied_rows(selected: DataFrame) -> DataFrame:
 def inject(hist: DataFrame, episodes: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Planned histories, once per fraction, with the copies added."""
     planned = hist.select(*HISTORY).join(episodes.select("task", "row_id"), ["row_id", "task"], "left_semi")
-    each = planned.withColumn("requested_copy_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    return each.unionByName(copied_rows(selected))
+    return per_fraction(planned, fractions).unionByName(copied_rows(selected))
 
 
 CAP_KEY = ["row_id", "task", "requested_copy_fraction"]
@@ -142,24 +141,44 @@ CAP_KEY = ["row_id", "task", "requested_copy_fraction"]
 PERTURBED_KEY = [*CAP_KEY, "prediction_time"]
 
 
-def perturbed_long(injected: DataFrame, codes: DataFrame, context: int, gap_days: int | None) -> DataFrame:
-    """Final long rows for all fractions in one job; ``gap_days`` None is raw."""
+def per_fraction(df: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    return df.withColumn("requested_copy_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+
+
+def perturbed_long(
+    hist: DataFrame, episodes: DataFrame, selected: DataFrame, codes: DataFrame, context: int, gap_days: int | None,
+    fractions: Sequence[float] = FRACTIONS,
+) -> DataFrame:
+    """Final long rows for all fractions in one job; ``gap_days`` None is raw.
+
+    Eras of a code depend on that code's mentions only. Copies touch one code
+    per episode, so all other codes are compressed once and shared by the
+    fractions.
+    """
     if gap_days is None:
+        injected = inject(hist, episodes, selected, fractions)
         tokens = eras.raw_tokens(history.last_n(injected, context, history.RAW_ORDER, CAP_KEY), PERTURBED_KEY)
-    else:
-        tokens = eras.condition_era(injected, codes, gap_days, PERTURBED_KEY)
-    return history.cap_and_place(tokens, context, CAP_KEY)
+        return history.cap_and_place(tokens, context, CAP_KEY)
+    planned = hist.select(*HISTORY).join(episodes.select("row_id", "task", "candidate_code"), ["row_id", "task"])
+    own = F.col("code") == F.col("candidate_code")
+    shared = [c for c in PERTURBED_KEY if c != "requested_copy_fraction"]
+    rest = eras.condition_era(planned.filter(~own), codes, gap_days, shared)
+    copied = per_fraction(planned.filter(own).select(*HISTORY), fractions).unionByName(copied_rows(selected))
+    changed = eras.condition_era(copied, codes, gap_days, PERTURBED_KEY)
+    return history.cap_and_place(per_fraction(rest, fractions).unionByName(changed), context, CAP_KEY)
 
 
 def perturbed_sequences(
-    injected: DataFrame, episodes: DataFrame, selected: DataFrame, codes: DataFrame, vocab: DataFrame,
-    context: int, gap_days: int | None,
+    hist: DataFrame, episodes: DataFrame, selected: DataFrame, codes: DataFrame, vocab: DataFrame,
+    context: int, gap_days: int | None, fractions: Sequence[float] = FRACTIONS,
 ) -> DataFrame:
     """Encoded sequences per episode and fraction under a frozen vocabulary."""
-    long = perturbed_long(injected, codes, context, gap_days)
+    long = perturbed_long(hist, episodes, selected, codes, context, gap_days, fractions)
     seqs = sequences.collect_sequences(sequences.encode_tokens(long, vocab), PERTURBED_KEY).drop("__times", "__anchors")
     copied = selected.groupBy(*CAP_KEY).agg(F.count("*").alias("n_copied_visits"))
-    plan = episodes.select("task", "row_id", "subject_id", "label", "split", "candidate_code", "n_existing_visits", "n_existing_mentions", "n_eligible_visits")
+    plan = episodes.select(
+        "row_id", "task", "subject_id", "label", "split", "candidate_code", "n_existing_visits", "n_existing_mentions", "n_eligible_visits"
+    )
     out = seqs.join(plan, ["row_id", "task"]).join(copied, CAP_KEY, "left").fillna(0, ["n_copied_visits"])
     return out.withColumn("realized_copy_fraction", safe_ratio("n_copied_visits", "n_eligible_visits"))
 
@@ -174,9 +193,7 @@ def plan_summary(episodes: DataFrame) -> DataFrame:
 
 def injection_summary(episodes: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Copies per fraction over all planned episodes; episodes without copies count as zero."""
-    each = episodes.select("task", "row_id", "n_eligible_visits").withColumn(
-        "requested_copy_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    )
+    each = per_fraction(episodes.select("task", "row_id", "n_eligible_visits"), fractions)
     copied = selected.groupBy(*CAP_KEY).agg(F.count("*").alias("n"))
     rows = each.join(copied, CAP_KEY, "left").fillna(0, ["n"])
     return rows.groupBy("task", "requested_copy_fraction").agg(

@@ -47,6 +47,18 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def table_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{work_dir(spark).rstrip('/')}/eraloom/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results read from them are gone too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet and read it back.
 
@@ -55,7 +67,7 @@ def materialize(df: DataFrame) -> DataFrame:
     A written table keeps column pruning and filter pushdown for the readers.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/eraloom/{uuid.uuid4().hex}"
+    path = f"{table_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -172,3 +172,20 @@ def test_interval_of_nan_free_values(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (math.inf,), (None,)], "x double")
     r = metrics.summarize_values(df, "x").first()
     assert (r.mean, r.n_valid) == (2.0, 2) and r.ci_low == pytest.approx(1.05)
+
+
+def test_no_copies_is_the_plain_rebuild(spark):
+    """Fraction 0 of a perturbed history equals the unperturbed representation."""
+    rows = [("2024-01-%02d 00:00" % k, "Visit/x", "visit_occurrence", None, 100 + k) for k in range(1, 20)]
+    rows += [("2024-01-%02d 01:00" % k, "A", "condition_occurrence", None, k) for k in (2, 5, 9)]
+    rows += [("2024-01-%02d 02:00" % k, "B", "condition_occurrence", None, 50 + k) for k in (3, 4, 17)]
+    codes = spark.createDataFrame([("A",), ("B",)], "code string")
+    t = prepare(events(spark, rows), labels(spark, [(7, 1, "2024-12-31", 1, "held_out")]), codes)
+    h = history.episode_history(t.labels, t.ranked.drop("is_compressible", "event_rank", "plain_rank"))
+    plan, visits = perturb.candidate_plan(h, codes)
+    assert plan.count() == 1 and visits.count() == plan.first().n_eligible_visits > 1
+    long = perturb.perturbed_long(h, plan, perturb.select_fraction(visits), codes, 30, 3).select("requested_copy_fraction", "event_position", "code")
+    plain = history.cap_and_place(eras.condition_era(h, codes, 3), 30).select("event_position", "code")
+    zero = long.filter("requested_copy_fraction = 0").drop("requested_copy_fraction")
+    assert zero.count() == plain.count() and not zero.exceptAll(plain).count()
+    assert long.filter("requested_copy_fraction = 1").drop("requested_copy_fraction").exceptAll(plain).count()
