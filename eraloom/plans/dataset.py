@@ -33,6 +33,8 @@ class Timeline:
     codes: DataFrame | None = None
     _points: dict[int, DataFrame] = field(default_factory=dict)
     _cutoffs: dict[int | None, DataFrame] = field(default_factory=dict)
+    _bounds: dict[tuple, DataFrame] = field(default_factory=dict)
+    _reach: DataFrame | None = None
 
     def points(self, gap_days: int) -> DataFrame:
         if gap_days not in self._points:
@@ -48,6 +50,20 @@ class Timeline:
             )
         return self._cutoffs[gap_days]
 
+    def reach(self) -> DataFrame:
+        """Event counts only, which is all that raw windows need."""
+        if self._cutoffs:
+            return next(iter(self._cutoffs.values()))
+        if self._reach is None:
+            self._reach = materialize(eras.episode_cutoffs(self.labels, self.ranked, None, self.inclusive))
+        return self._reach
+
+    def bounds(self, gap_days: int | None, context: int) -> DataFrame:
+        key = (gap_days, context)
+        if key not in self._bounds:
+            self._bounds[key] = materialize(eras.window_bounds(self.cutoffs(gap_days), self.ranked, context))
+        return self._bounds[key]
+
 
 def prepare(
     events: DataFrame, labels: DataFrame, codes: DataFrame, max_days: int = 1, inclusive: bool = True,
@@ -60,14 +76,13 @@ def prepare(
 def represent(timeline: Timeline, spec: Representation) -> DataFrame:
     """Final long table of one representation: at most ``context_length`` rows per episode."""
     n = spec.context_length
-    bounds = eras.window_bounds(timeline.cutoffs(spec.gap_days), timeline.ranked, n)
     if spec.window_mode == "structure_null":
         source = Representation(spec.name, "condition_era", "backfill", n, spec.gap_days)
         return eras.structure_null(represent(timeline, source), spec.gap_days)
     if spec.window_mode == "backfill":
         tokens = eras.validity_tokens(timeline.ranked, timeline.points(spec.gap_days), spec.gap_days)
-        return eras.backfill_tokens(bounds, tokens, n, timeline.inclusive)
-    window = history.raw_window(bounds, timeline.ranked, n)
+        return eras.backfill_tokens(timeline.bounds(spec.gap_days, n), tokens, n, timeline.inclusive)
+    window = history.raw_window(timeline.reach(), timeline.ranked, n)
     if spec.kind == "raw":
         plain = eras.raw_tokens(window, [*EPISODE_KEY, "event_position"])
         return plain.select(*eras.LONG)
@@ -88,8 +103,7 @@ def no_backfill_tokens(timeline: Timeline, window: DataFrame, gap_days: int) ->
 
 def episode_audit(timeline: Timeline, spec: Representation, seqs: DataFrame, list_id: str = "", sha: str = "") -> DataFrame:
     n, mode = spec.context_length, spec.window_mode
-    cutoffs = timeline.cutoffs(spec.gap_days)
-    bounds = eras.window_bounds(cutoffs, timeline.ranked, n)
+    cutoffs, bounds = timeline.cutoffs(spec.gap_days), timeline.bounds(spec.gap_days, n)
     if mode == "no_backfill":
         window = history.raw_window(bounds, timeline.ranked, n)
         transform = audit.transform_audit(no_backfill_tokens(timeline, window, spec.gap_days), ["row_id", "task"])
