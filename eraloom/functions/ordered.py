@@ -150,7 +150,8 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_nu
         ranked.groupBy("__part").count()
         .select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     )
-    return ranked.join(offsets, "__part").select(
+    # One row per partition of the sort.
+    return ranked.join(F.broadcast(offsets), "__part").select(
         *df.columns, (F.col("__offset") + F.col("__place") + 1).alias(out)
     )
 

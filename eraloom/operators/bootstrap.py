@@ -19,7 +19,7 @@ from eraloom.operators.metrics import (
 )
 from eraloom.operators.resample import replicate_metrics
 from eraloom.schemas import DataContractError, duplicate_keys
-from eraloom.session import materialize
+from eraloom.session import broadcast_checked, materialize
 
 PAIR_KEY = ["row_id", "subject_id", "y_true"]
 
@@ -181,7 +181,7 @@ def comparison_draws(pairs: DataFrame, n_rep: int, seed: int, keys: Sequence[str
         global_row_number(pairs.select(*keys, "subject_id").distinct(), [*[F.col(k) for k in keys], F.col("subject_id")])
     )
     spans = placed.groupBy(*keys).agg(F.min("row_number").alias("first"), F.count("*").alias("n"))
-    index = placed.join(spans, list(keys)).select(
+    index = placed.join(broadcast_checked(spans), list(keys)).select(
         *keys, "subject_id", (F.col("row_number") - F.col("first")).alias("cluster_index"), F.col("n").alias("n_clusters")
     )
     # One job per distinct cohort size; sizes come from the short comparison list.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eraloom.functions.scalar import era_gap_of, logit, safe_bool, sigmoid
 from eraloom.schemas import LONG_PREDICTION, WIDE_PREDICTION, DataContractError, require_columns, require_none
+from eraloom.session import broadcast_checked
 
 # Older column names and the representation each family implies.
 OLD_NAMES = {
@@ -181,7 +182,7 @@ def recover_platt(df: DataFrame, by: Sequence[str]) -> DataFrame:
     rows = df.select(*by, F.col("logit").alias("x"), logit("risk_calibrated").alias("t"))
     fit = rows.groupBy(*by).agg(F.regr_slope("t", "x").alias("platt_coef"), F.regr_intercept("t", "x").alias("platt_intercept"))
     error = F.abs(F.col("platt_coef") * F.col("x") + F.col("platt_intercept") - F.col("t"))
-    return rows.join(fit, list(by)).groupBy(*by).agg(
+    return rows.join(broadcast_checked(fit), list(by)).groupBy(*by).agg(
         F.max("platt_coef").alias("platt_coef"), F.max("platt_intercept").alias("platt_intercept"), F.max(error).alias("max_abs_error")
     )
 
@@ -196,7 +197,7 @@ def high_repeat(raw: DataFrame, reference: DataFrame, q: float = 0.9) -> tuple[D
         held(reference).select(*keys, F.col("seq_len").alias("ref_seq_len"), F.col("n_events_removed_vs_raw").alias("__removed")), keys
     ).withColumn("repeat_removed", F.coalesce("__removed", F.col("raw_seq_len") - F.col("ref_seq_len")).cast("double")).drop("__removed")
     cut = exact_percentiles(both, ["task"], "repeat_removed", {"repeat_removed_threshold": q})
-    flagged = both.join(cut, "task").withColumn("high_repeat_group", F.col("repeat_removed") >= F.col("repeat_removed_threshold"))
+    flagged = both.join(broadcast_checked(cut), "task").withColumn("high_repeat_group", F.col("repeat_removed") >= F.col("repeat_removed_threshold"))
     flagged = flagged.withColumn("group_name", F.when(F.col("high_repeat_group"), "high_repeat_top10").otherwise("other_90"))
     top = F.col("high_repeat_group")
     thresholds = flagged.groupBy("task").agg(

@@ -124,7 +124,7 @@ def sequence_features(examples: DataFrame, stats: DataFrame, max_len: int) -> Da
     )
     seen = F.col("v").isNotNull() & ~F.isnan("v")
     z = (F.col("v") - F.col("numeric_mean_train")) / F.greatest(F.col("numeric_std_train"), F.lit(1e-6))
-    rows = kept.join(stats, "token_id", "left").select(
+    rows = kept.join(broadcast_checked(stats), "token_id", "left").select(
         *EPISODE_KEY, "pos", "token_id",
         F.log1p(F.greatest("b", F.lit(0.0))).alias("log_days_before"),
         F.log1p(F.greatest("d", F.lit(0.0))).alias("log_delta_days"),
