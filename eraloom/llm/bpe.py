@@ -36,7 +36,7 @@ from eraloom.session import materialize
 LEXICON_WORDS = 262_144
 # Piece counts that a task gathers before it hands them on, and pieces whose encoding a worker remembers.
 FLUSH_PIECES = 400_000
-MEMO_PIECES = 250_000
+MEMO_PIECES = 500_000
 # Characters of text that are encoded together.
 BLOCK_CHARS = 1_000_000
 
@@ -505,6 +505,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, text(ids))
 
 
+@lru_cache(maxsize=1)
+def _digest_encoder(path: str, name: str) -> Encoder:
+    """Kept by a worker from task to task."""
+    token = merges(path).token
+    return Encoder(piece_ids(path, _mapped(name)), lambda ids: (" ".join(map(str, ids)), " ".join([token[i] for i in ids])))
+
+
 def encode_digests(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, and digests of its ids and of their decoded text.
 
@@ -516,8 +523,7 @@ def encode_digests(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> Dat
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        token = merges(path).token
-        enc = Encoder(piece_ids(path, _mapped(name)), lambda ids: (" ".join(map(str, ids)), " ".join([token[i] for i in ids])))
+        enc = _digest_encoder(path, name)
         gc.disable()  # many small lists and no cycles
         for s in series:
             rows = []

@@ -17,6 +17,7 @@ import gc
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,12 @@ GROUP_PIECES = 4096
 STEP = 64
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """Kept by a worker from task to task."""
+    return Encoder(piece_ids(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and ``ids_crc32``.
 
@@ -45,7 +52,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long>>")
     def cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         gc.disable()  # many small objects and no cycles
-        enc = Encoder(piece_ids(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        enc = _encoder(path)
         end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for s in series:
             rows = []
