@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eraloom.llm import bpe, near_dedup, packing
+from eraloom.llm import bpe, langid, near_dedup, packing, toxicity
 from eraloom.llm.common import tokenizer_path
 
 
@@ -20,10 +20,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op7_language_id, op10_bpe)}
 # SQL that gives the same rows, where it can be written.
 ORACLES: dict[str, str] = {}
