@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eraloom.llm import bpe, langid, near_dedup, packing, pii, toxicity
+from eraloom.llm import bpe, html_text, langid, near_dedup, packing, pii, toxicity
 from eraloom.llm.common import tokenizer_path
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op7_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op7_language_id, op10_bpe)}
 # SQL that gives the same rows, where it can be written.
 ORACLES: dict[str, str] = {}
