@@ -38,8 +38,8 @@ COORDINATES = BANDS * ROWS
 # Of 128 coordinates; at similarity 0.75 the mean is 96 and the standard deviation 4.9.
 LEAST_AGREEING = 68
 SMALL_BUCKET = 32
-BLOCK_CHARS = 1_500_000
-MEMO_WORDS = 500_000
+BLOCK_CHARS = 800_000
+MEMO_WORDS = 200_000
 
 
 # --- shingle sets and signatures ---------------------------------------------
@@ -133,15 +133,16 @@ def sketch(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             made = iter(signatures(full) if full else ())
             rows += [(len(x), xxhash.xxh3_128_digest(x.tobytes()), next(made).tobytes()) if len(x) else (0, None, None) for x in sets]
         yield pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "signature"])
+        gc.collect()
 
 
-@F.pandas_udf(T.StructType([T.StructField("fingerprint", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
-def full_set(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    gc.disable()
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def full_set(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The set of a text, null unless it has the wanted fingerprint."""
     shingler = Shingler()
-    for s in series:
-        sets = [shingler.of(t).tobytes() for t in s]
-        yield pd.DataFrame([(xxhash.xxh3_128_digest(x), x) for x in sets], columns=["fingerprint", "shingles"])
+    for texts, wanted in series:
+        sets = [shingler.of(t) for t in texts]
+        yield pd.Series([x.view(np.int64) if xxhash.xxh3_128_digest(x.tobytes()) == w else None for x, w in zip(sets, wanted)], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -153,13 +154,6 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((one == two).sum(axis=1).astype("int32"))
 
 
-@F.pandas_udf(T.LongType())
-def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Elements that two sorted sets share."""
-    take = lambda x: np.frombuffer(x, dtype=np.uint64)
-    return pd.Series([len(np.intersect1d(take(x), take(y), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
-
-
 # --- candidates, checks, components ------------------------------------------
 
 
@@ -180,18 +174,19 @@ def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     close = materialize(close)
     needed = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct().join(classes.select("rep", F.col("fingerprint").alias("wanted")), "rep")
+    # The texts of the documents in question only: the set is made after the join, since it needs what the join brings.
     sets = (
         docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id")
-        .select("doc_id", "wanted", full_set("text").alias("s"))
-        .where("s.fingerprint = wanted").select(F.col("doc_id").alias("rep"), F.col("s.shingles").alias("shingles"))
+        .select(F.col("doc_id").alias("rep"), full_set("text", "wanted").alias("shingles"))
+        .where("shingles is not null")
     )
     sets = materialize(sets)
-    size = lambda c: F.length(c) / 8
+    both = F.size(F.array_intersect("x", "y"))
     return (
         close.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        .withColumn("both", shared("x", "y"))
-        .where(F.col("both") * 100 >= (size("x") + size("y") - F.col("both")) * PERCENT)
+        .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+        .where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * PERCENT)
         .select("a", "b")
         .distinct()
     )
