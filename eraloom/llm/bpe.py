@@ -537,5 +537,6 @@ def encode_digests(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> Dat
                         hashlib.sha256(" ".join([w[1] for w in ws]).encode()).hexdigest(),
                     ))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            gc.collect()
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -64,6 +64,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
                         for k, at in enumerate(range(0, len(data), step))
                     ])
             yield pd.Series(rows, dtype=object)
+            gc.collect()
 
     return docs.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
 

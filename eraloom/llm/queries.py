@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eraloom.llm import bpe, html_text, langid, near_dedup, packing, pii, toxicity
+from eraloom.llm import ann, bpe, html_text, langid, near_dedup, packing, pii, toxicity, vector_dedup
 from eraloom.llm.common import tokenizer_path
 
 
@@ -32,14 +32,28 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op7_language_id, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op6_permutation_search, op7_language_id,
+        op9_vector_near_dedup, op10_bpe,
+    )
+}
 # SQL that gives the same rows, where it can be written.
 ORACLES: dict[str, str] = {}

@@ -118,6 +118,7 @@ def feature_column(weights: dict[str, float], text: str = "text") -> Column:
         lexicon = Lexicon(weights)
         for s in series:
             yield pd.Series([features(t, lexicon) for t in s], dtype=object)
+            gc.collect()
 
     return of(text)
 
