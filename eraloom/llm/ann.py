@@ -24,7 +24,7 @@ from eraloom.session import materialize
 
 PIVOTS = 128
 # Share of a part, and least number of its vectors, that are compared exactly.
-SHARE, LEAST = 0.05, 64
+SHARE, LEAST = 0.1, 512
 PART_VECTORS, BLOCK_QUERIES = 4096, 1024
 NEIGHBOURS = 10
 

@@ -4,7 +4,9 @@ A filter is a direction; a vector belongs to it when their cosine is at least
 a bound. The directions are all combinations of a few random codewords, one
 for each block of coordinates, so the filters of a vector are listed by
 combining the blocks' scores and dropping combinations that cannot reach the
-bound any more. Vectors that share a filter are compared exactly.
+bound any more. Several such codes over randomly turned coordinates make up for
+vectors that lie badly to one code. Vectors that share a filter are compared
+exactly.
 
 Equal vectors are one class with a size. A filter's members are dealt into
 blocks of bounded size and each pair of blocks is one task's work, so a filter
@@ -29,32 +31,39 @@ from eraloom.session import materialize
 
 LEAST_COSINE = 0.9
 CODES = 3  # blocks of coordinates
-# Filters that a vector is in, on average, and members that a filter should have.
-LISTED, MEMBERS = 30, 400
+TURNS = 6  # codes over turned coordinates
+# Filters of each code that a vector is in, on average, and members that a filter should have.
+LISTED, MEMBERS = 8, 400
 BLOCK = 1024
 SEED = 3
 
 
-@lru_cache(maxsize=8)
-def codewords(dim: int, words: int) -> tuple[np.ndarray, ...]:
-    """Random unit codewords of each block, scaled so that each direction has length 1."""
-    rng = np.random.default_rng([SEED, dim, words])
+@lru_cache(maxsize=64)
+def codewords(dim: int, words: int, turn: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """A random turn of the coordinates, and random unit codewords of each block, scaled so that each direction has length 1."""
+    rng = np.random.default_rng([SEED, dim, words, turn])
+    turned = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     cuts = np.linspace(0, dim, min(CODES, dim) + 1).astype(int)
     out = []
     for a, b in zip(cuts, cuts[1:]):
         w = rng.standard_normal((words, b - a))
         out.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(cuts) - 1))
-    return tuple(out)
+    return turned, tuple(out)
 
 
 def caps(x: np.ndarray, words: int, listed: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for all filters that the unit rows of ``x`` belong to.
+    """(row, filter) for all filters of all codes that the unit rows of ``x`` belong to."""
+    found = [_caps(x, words, listed, turn) for turn in range(TURNS)]
+    return np.concatenate([r for r, _ in found]), np.concatenate([f * TURNS + turn for turn, (_, f) in enumerate(found)])
 
-    The bound lets a random vector into ``listed`` filters on average. Rows
+
+def _caps(x: np.ndarray, words: int, listed: float, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for one code. The bound lets a random vector into ``listed`` filters on average. Rows
     that reach no filter go to their best one.
     """
     dim = x.shape[1]
-    code = codewords(dim, words)
+    turned, code = codewords(dim, words, turn)
+    x = x @ turned
     cuts = np.cumsum([0, *(w.shape[1] for w in code)])
     scores = [x[:, a:b] @ w.T for a, b, w in zip(cuts, cuts[1:], code)]
     filters = words ** len(code)
@@ -128,7 +137,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     ``component_id`` is null and which are kept. Rows that repeat an id count
     as vectors of their own in ``n_links``. Other columns are ignored.
     """
-    v = F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.col("embedding").cast("array<double>"))
+    v = F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.col("embedding"))
     rows = vectors.select("vec_id", v.alias("v"))
     rows = rows.select("vec_id", "v", fingerprint("v").alias("fp"))
     classes = materialize(

@@ -28,4 +28,4 @@ def matrix(column) -> np.ndarray:
     """Rows of an Arrow list column of vectors of one length, in double precision."""
     flat = column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten()
     n = len(column)
-    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
