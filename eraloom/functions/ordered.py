@@ -14,13 +14,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from eraloom.schemas import join_null_safe
 from eraloom.session import materialize
 
 INF = float("inf")
 
 
 def segment_count(df: DataFrame) -> int:
-    return max(8, min(2048, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Segments of an ordered pass: as many as shuffle partitions, which are set by the size of the data."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fit_splits(df: DataFrame, columns: Sequence[str], n: int | None = None) -> dict[str, list[float]]:
@@ -61,10 +63,10 @@ def running(
     """Inclusive running sums (``cum_x``), maxima (``max_x``) and last non-NULL values (``last_x``).
 
     ``segment`` must not decrease along ``order`` inside a key. With ``totals``
-    the group totals come along as ``tot_x``. Rows with a NULL key are dropped
-    up front, so both readers of ``df`` below plan the same scan and share it.
+    the group totals come along as ``tot_x``. NULL is a key like
+    any other.
     """
-    df = df.dropna(subset=[*keys, segment])
+    df = df.dropna(subset=[segment])
     inside = (
         Window.partitionBy(*keys, segment).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -90,7 +92,7 @@ def running(
         *[F.max(f"__m_{c}").over(before).alias(f"__q_{c}") for c in maxes],
         *[F.last(f"__l_{c}", True).over(before)["__v"].alias(f"__p_{c}") for c in lasts],
     )
-    joined = df.join(carry, [*keys, segment])
+    joined = join_null_safe(df, carry, [*keys, segment], "inner")
     return joined.select(
         *df.columns,
         *[(F.sum(c).over(inside) + F.col(f"__b_{c}")).alias(f"cum_{c}") for c in sums],
@@ -200,11 +202,11 @@ def exact_percentiles(
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Rank with ties averaged, per group."""
+    """Rank with ties averaged, per group; NULL values have no rank."""
     table = value_table(df, keys, value).select(
         *keys, value, (F.col("cum_w") - F.col("w") + (F.col("w") + 1) / 2).alias(out)
     )
-    return df.join(table, [*keys, value], "left").select(*df.columns, out)
+    return join_null_safe(df, table, [*keys, value]).select(*df.columns, out)
 
 
 def keep_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

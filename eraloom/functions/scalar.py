@@ -102,14 +102,10 @@ def safe_bool(x) -> Column:
 
 
 def normalize_label(x) -> Column:
-    """0/1 from boolean, numeric or text labels; NULL when not readable."""
+    """0/1 from boolean, numeric or text labels; NULL for everything else, also NaN and other numbers."""
     text = F.lower(F.trim(_c(x).cast("string")))
-    return (
-        F.when(text.isin("true", "yes"), 1)
-        .when(text.isin("false", "no"), 0)
-        .otherwise(F.expr("1") * text.try_cast("double").cast("int"))
-        .cast("int")
-    )
+    number = text.try_cast("double")
+    return F.when(text.isin("true", "yes") | (number == 1), 1).when(text.isin("false", "no") | (number == 0), 0).cast("int")
 
 
 def era_prefix(gap_days: int) -> str:

@@ -87,9 +87,9 @@ def comparison_pairs(pred: DataFrame, comparisons: Sequence[dict], score: str =
     )
 
 
-def require_paired(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def require_paired(pairs: DataFrame, by: Sequence[str] = (), key: Sequence[str] = PAIR_KEY) -> DataFrame:
     """Both sides of every comparison hold the same examples once."""
-    odd = pairs.groupBy("comparison", *by, *PAIR_KEY).agg(
+    odd = pairs.groupBy("comparison", *by, *key).agg(
         F.count("*").alias("n"), F.countDistinct("side").alias("s")
     ).filter((F.col("n") != 2) | (F.col("s") != 2))
     if odd.limit(1).count():
@@ -280,6 +280,8 @@ def history_bootstrap(
         "comparison", "task", "side", "row_id", "subject_id", F.explode(items).alias("m")
     ).select("comparison", "task", "side", "row_id", "subject_id", "m.*")
     keys = ["comparison", "task", "history_metric"]
+    sided = audits.join(F.broadcast(sides), ["task", "compression_version"]).select("comparison", "task", "side", "row_id", "subject_id")
+    require_paired(sided, key=["task", "row_id", "subject_id"])
     pairs = materialize(
         _sides(long, [*keys, "row_id", "subject_id"])
         .withColumn("d", F.col("model_a_value") - F.col("model_b_value")).filter(F.col("d").isNotNull())
@@ -298,11 +300,16 @@ def history_bootstrap(
 def interaction_bootstrap(
     ens: DataFrame, versions: dict[str, str], n_rep: int, seed: int = 42, metrics: Sequence[str] = PREDICTIVE_METRICS,
 ) -> DataFrame:
-    """(A2 - B2) - (A1 - B1) per metric; ``versions`` maps a1, b1, a2, b2 to versions."""
-    role = F.create_map(*[x for r, v in versions.items() for x in (F.lit(v), F.lit(r))])
-    rows = materialize(ens.filter(F.col("compression_version").isin(*versions.values())).select(
-        "task", role[F.col("compression_version")].alias("role"), *PAIR_KEY, F.col("risk_calibrated").alias("score")
-    ))
+    """(A2 - B2) - (A1 - B1) per metric; ``versions`` maps a1, b1, a2, b2 to versions.
+
+    All four are scored on the examples that they have in common; having none
+    is an error.
+    """
+    wide = paired_join_many(ens, ["task", *PAIR_KEY], "compression_version", {v: r for r, v in versions.items()}, "risk_calibrated")
+    each = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("score")) for r in versions])
+    rows = materialize(wide.select("task", *PAIR_KEY, F.explode(each).alias("r")).select("task", "r.role", *PAIR_KEY, "r.score"))
+    if not rows.limit(1).count():
+        raise DataContractError("the four versions have no example in common")
     found = fit_splits(rows, ["score", "row_id"])
     kw = {"score": "score", "splits": {"score": found["score"], "id": found["row_id"]}}
 

@@ -16,7 +16,7 @@ from eraloom.functions.ordered import (
     add_segment, average_ranks, exact_percentiles, fit_splits, running,
 )
 from eraloom.functions.scalar import clip
-from eraloom.schemas import require_none
+from eraloom.schemas import join_null_safe, require_none
 
 LOWER_IS_BETTER = ["brier", "logloss"]
 PREDICTIVE_METRICS = ["auroc", "auprc", "brier", "logloss", "top_10pct_precision"]
@@ -262,7 +262,7 @@ def stability_summary(ens: DataFrame, keys: Sequence[str], spread: str) -> DataF
     marks = exact_percentiles(ens, keys, spread, {
         "median_prediction_std": 0.5, "p90_prediction_std": 0.9, "p95_prediction_std": 0.95,
     })
-    return base.join(marks, list(keys))
+    return join_null_safe(base, marks, list(keys))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
@@ -279,7 +279,7 @@ def summarize_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
     base = rows.groupBy(*groups).agg(
         F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.count("*").alias("n_valid")
     )
-    return base.join(exact_percentiles(rows, groups, value, {"ci_low": 0.025, "ci_high": 0.975}), groups).drop("__all")
+    return join_null_safe(base, exact_percentiles(rows, groups, value, {"ci_low": 0.025, "ci_high": 0.975}), groups).drop("__all")
 
 
 def last_episode(df: DataFrame, keys: Sequence[str] = ("task", "compression_version", "subject_id")) -> DataFrame:

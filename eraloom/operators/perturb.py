@@ -12,7 +12,7 @@ from eraloom.operators import eras, history, sequences
 from eraloom.operators.history import HISTORY, mark_codes
 from eraloom.operators.metrics import risk_metrics, spearman
 from eraloom.operators.predictions import with_baseline
-from eraloom.schemas import EPISODE_KEY, require_none
+from eraloom.schemas import EPISODE_KEY, join_null_safe, require_none
 from eraloom.session import materialize
 
 # Fixed values of the protocol: fractions, minimum visits, seed and the id range of copied rows.
@@ -188,7 +188,7 @@ def plan_summary(episodes: DataFrame) -> DataFrame:
         F.count("*").alias("n_episodes"), F.countDistinct("subject_id").alias("n_patients"), F.sum("label").alias("n_positive"),
         F.avg("n_existing_visits").alias("mean_existing_visits"), F.avg("n_eligible_visits").alias("mean_eligible_visits"),
     )
-    return base.join(exact_percentiles(episodes, ["task"], "n_eligible_visits", {"median_eligible_visits": 0.5}), "task")
+    return join_null_safe(base, exact_percentiles(episodes, ["task"], "n_eligible_visits", {"median_eligible_visits": 0.5}), ["task"])
 
 
 def injection_summary(episodes: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
@@ -231,4 +231,7 @@ def perturbation_metrics(pred: DataFrame, by: Sequence[str], score: str = "risk_
     shift = rows.groupBy(*by).agg(F.avg(d).alias("mean_delta_risk_vs_0"), F.avg("__abs").alias("mean_abs_delta_risk_vs_0"))
     marks = exact_percentiles(rows, by, "__abs", {"median_abs_delta_risk_vs_0": 0.5, "p95_abs_delta_risk_vs_0": 0.95})
     order = spearman(rows, score, zero, by).withColumnRenamed("spearman", "spearman_risk_vs_0")
-    return risk_metrics(pred, by, score=score).join(shift, list(by)).join(marks, list(by)).join(order, list(by))
+    out = risk_metrics(pred, by, score=score)
+    for part in (shift, marks, order):
+        out = join_null_safe(out, part, list(by))
+    return out

@@ -9,6 +9,7 @@ from eraloom.functions.scalar import safe_ratio
 from eraloom.operators.bootstrap import mean_bootstrap
 from eraloom.operators.metrics import risk_metrics, spearman, top_fraction
 from eraloom.operators.predictions import with_baseline
+from eraloom.schemas import join_null_safe, require_none
 
 GROUP = ["task", "compression_version", "requested_copy_fraction"]
 VERSION = ["task", "compression_version"]
@@ -53,7 +54,7 @@ def probability_stability(pred: DataFrame) -> DataFrame:
     )
     marks = exact_percentiles(rows, GROUP, "a", {"median_abs_delta_probability": 0.5, "p95_abs_delta_probability": 0.95})
     order = spearman(rows, "risk_at_0", "risk_perturbed", GROUP).withColumnRenamed("spearman", "spearman_risk_vs_0")
-    return base.join(marks, GROUP).join(order, GROUP)
+    return join_null_safe(join_null_safe(base, marks, list(GROUP)), order, list(GROUP))
 
 
 def top_membership(pred: DataFrame, top: float = 0.10) -> DataFrame:
@@ -134,13 +135,14 @@ def cross_overlap(pred: DataFrame, raw: str, compressed: str, top: float = 0.10)
 
 
 def robustness_bootstrap(pred: DataFrame, raw: str, compressed: str, n_rep: int, seed: int = 42) -> DataFrame:
-    """Mean absolute change of raw minus that of compressed, with cluster intervals."""
+    """Mean absolute change of raw minus that of compressed, with cluster intervals; both must cover the same examples."""
     rows = paired_with_zero(pred).withColumn("a", F.abs(F.col("risk_perturbed") - F.col("risk_at_0")))
     keys = ["task", "requested_copy_fraction", "row_id", "subject_id", "y_true"]
     at = lambda v: F.max(F.when(F.col("compression_version") == v, F.col("a")))
     wide = rows.filter("requested_copy_fraction > 0").groupBy(*keys).agg(
         at(raw).alias("abs_delta_raw"), at(compressed).alias("abs_delta_compressed")
-    ).dropna(subset=["abs_delta_raw", "abs_delta_compressed"])
+    )
+    require_none(wide, F.col("abs_delta_raw").isNull() | F.col("abs_delta_compressed").isNull(), "raw and compressed do not cover the same perturbed examples")
     wide = wide.withColumn("advantage", F.col("abs_delta_raw") - F.col("abs_delta_compressed"))
     by = ["task", "requested_copy_fraction"]
     means = wide.groupBy(*by).agg(F.avg("abs_delta_raw").alias("mean_abs_delta_raw"), F.avg("abs_delta_compressed").alias("mean_abs_delta_compressed"))
