@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eraloom.llm import ann, bpe, html_text, langid, near_dedup, packing, pii, toxicity, vector_dedup
+from eraloom.llm import ann, bpe, html_text, langid, licenses, near_dedup, packing, pii, toxicity, vector_dedup
 from eraloom.llm.common import tokenizer_path
 
 
@@ -40,6 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_text, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op6_permutation_search, op7_language_id,
-        op9_vector_near_dedup, op10_bpe,
+        op8_license_scan, op9_vector_near_dedup, op10_bpe,
     )
 }
 # SQL that gives the same rows, where it can be written.

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eraloom.llm import ann, bpe, graph, html_text, langid, near_dedup, packing, pii, toxicity, vector_dedup
+from eraloom.llm import ann, bpe, graph, html_text, langid, licenses, near_dedup, packing, pii, toxicity, vector_dedup
 from eraloom.llm.common import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, rep long, group int, label int, key long, component long"
@@ -422,3 +422,37 @@ def test_vector_near_duplicates(spark, monkeypatch, block):
     got = [tuple(r) for r in vector_dedup.near_vectors(vectors(spark, rows + bad)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert vector_dedup.near_vectors(vectors(spark, [])).count() == 0
+
+
+# --- licences -----------------------------------------------------------------
+
+
+def test_licences(spark):
+    mit = licenses.TEMPLATES[2][1]
+    wrapped = "\n".join(" ".join(mit.split()[i : i + 11]) for i in range(0, len(mit.split()), 11))
+    rows = [
+        (1, "Some text.\nReleased under the MIT License.\nMore text"), (2, f"Title\nCopyright (c) 2020 Someone\n{wrapped}\nother words here"), (3, "LICENSED UNDER CC BY-NC 4.0"),
+        (4, "This work is licenced under the GNU General Public Licence, version 3.\nx\nLicensed under the Apache License, Version 2.0."), (5, "the license of the house is in the garden"),
+        (6, ""), (7, None), (None, "Released under the MIT License."), (1, "Some text.\nReleased under the MIT License.\nMore text"), (8, "word " * 20000 + "\nReleased under the MIT License."),
+    ]
+    got = licenses.scan(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: (r["license"], r["matches"]) for r in got}
+    assert by[1] == ("MIT", "MIT:1:1") and by[2][0] == "MIT" and by[2][1].startswith("MIT:") and by[3] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0:0:0")
+    assert by[4] == ("Apache-2.0", "GPL-3.0:0:0,Apache-2.0:2:2") or by[4] == ("GPL-3.0", "GPL-3.0:0:0,Apache-2.0:2:2")
+    assert by[5] == by[6] == by[7] == (None, "") and by[None][0] == "MIT" and by[8] == ("MIT", "MIT:1:1")
+    assert all((r["license"] is None) == (r["score"] == 0) == (r["n_matches"] == 0) and (r["score"] == 0 or r["score"] >= 0.8) for r in got)
+    assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_size_bounds_lose_no_template():
+    lib, rng = licenses.library(), random.Random(8)
+    for _ in range(400):
+        base = rng.choice(licenses.TEMPLATES)[1].split()
+        ws = licenses.normal_words(" ".join(w for w in base if rng.random() > 0.08) + " tail" * rng.randrange(3))
+        run, n = licenses.bigrams(ws), max(len(ws) - 1, 0)
+        all_ = [(2 * sum((run & t).values()) / (m + n), name) for m, name, t in lib.made if m + n]
+        want = min(((-s, name) for s, name in all_ if s >= lib.least), default=None)
+        got = lib.best(run, n)
+        assert (got is None and want is None) or (-got[0], got[1]) == want
+        assert want is None or not lib.telling.isdisjoint(ws)
