@@ -161,17 +161,17 @@ class Model:
     def __init__(self, weights: dict[str, float], trees: GBTClassificationModel | None, scale: IsotonicRegressionModel | None, share: float):
         self.weights, self.trees, self.scale, self.share = weights, trees, scale, share
 
-    def score(self, df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-        """Columns ``keep`` of ``df`` and ``score``."""
+    def score(self, df: DataFrame, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+        """Columns ``keep`` of ``df`` and the score as ``out``."""
         if self.trees is None:
-            return df.select(*keep, F.lit(self.share).alias("score"))
+            return df.select(*keep, F.lit(self.share).alias(out))
         own = [f"_tox_{i}" for i in range(len(keep))]  # names of the model's columns never clash with the caller's
         rows = df.select(*[F.col(c).alias(o) for c, o in zip(keep, own)], array_to_vector(feature_column(self.weights, text)).alias("features"))
         rows = self.trees.transform(rows).withColumn("margin", vector_to_array("probability")[1])
         if self.scale is not None:
             rows = self.scale.transform(rows)
         result = F.col("calibrated" if self.scale is not None else "margin")
-        return rows.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return rows.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0)).alias(out))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
