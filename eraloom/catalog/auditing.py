@@ -264,7 +264,7 @@ def merged(spark, d):
 
 @add("dq17_validate_predictions", "with " + SCORES + """, h as (select *, case when row_id % 1000 = 3 then risk_raw + 1 else risk_raw end as rr from scores where split = 'held_out' and requested_copy_fraction = 0),
 n as (select count(*) filter (where abs(rr - 1 / (1 + exp(-logit))) > 1e-6) as off, count(*) filter (where rr < 0 or rr > 1) as outside, count(*) - count(distinct (compression_version, seed, row_id)) as dup from h)
-select 'risk_raw_is_sigmoid_of_logit' as "check", off as n_violations, (off = 0)::int::bigint as passed from n union all select 'risks_in_unit_interval', outside, (outside = 0)::int from n union all select 'unique_held_out_key', dup, (dup = 0)::int from n
+select 'risk_raw_is_sigmoid_of_logit' as "check", off as n_violations, (off = 0)::int::bigint as passed from n union all select 'prediction_probabilities_in_unit_interval', outside, (outside = 0)::int from n union all select 'unique_held_out_key', dup, (dup = 0)::int from n
 union all select 'complete_seed_coverage', (2 - count(*))::bigint, (count(*) = 2)::int from (select compression_version from h group by 1 having count(distinct seed) = 5) union all select 'has_held_out_rows', (count(*) = 0)::int, (count(*) > 0)::int from h""")
 def validation(spark, d):
     bent = F.when(F.col("row_id") % 1000 == 3, F.col("risk_raw") + 1).otherwise(F.col("risk_raw"))
@@ -369,12 +369,12 @@ def relative(spark, d):
 
 INTEGRITY = "with " + HELD + """, cov as (select count(*) filter (where row_id % 100 = 5) as n from (select distinct row_id from held union select o_orderkey from orders)),
 pr as (select compression_version, count(distinct seed) as s from held group by 1), gr as (select compression_version, requested_copy_fraction, count(distinct seed) as s from scores where split = 'held_out' group by 1, 2),
-v as (select 'split_audit_all_ok' as "check", (select (n > 0)::int from cov)::bigint as n_violations union all select 'all_representation_invariants_pass', 0
-union all select 'predictions_have_unique_keys', (select count(*) - count(distinct (compression_version, seed, row_id)) from held) union all select 'predictions_cover_all_pairs', abs((select count(*) from pr) - 2)
-union all select 'predictions_cover_all_seeds', (select count(*) from pr where s <> 5) union all select 'predictions_only_held_out', (select count(*) from held where split <> 'held_out')
-union all select 'risk_raw_matches_sigmoid', (select count(*) from held where abs(risk_raw - 1 / (1 + exp(-logit))) > 1e-10) union all select 'risks_in_unit_interval', (select count(*) from held where not (risk_raw between 0 and 1 and risk_calibrated between 0 and 1))
+v as (select 'split_leakage_audit_all_checks_ok' as "check", (select (n > 0)::int from cov)::bigint as n_violations union all select 'all_representation_invariants_pass', 0
+union all select 'wide_predictions_have_no_duplicate_keys', (select count(*) - count(distinct (compression_version, seed, row_id)) from held) union all select 'predictions_cover_all_pairs', abs((select count(*) from pr) - 2)
+union all select 'predictions_cover_all_seeds', (select count(*) from pr where s <> 5) union all select 'wide_predictions_only_held_out', (select count(*) from held where split <> 'held_out')
+union all select 'risk_raw_matches_sigmoid_logit', (select count(*) from held where abs(risk_raw - 1 / (1 + exp(-logit))) > 1e-10) union all select 'prediction_probabilities_in_unit_interval', (select count(*) from held where not (risk_raw between 0 and 1 and risk_calibrated between 0 and 1))
 union all select 'ensemble_metrics_cover_all_pairs', abs((select count(*) from pr) - 2) union all select 'perturbed_groups_complete', abs((select count(*) from gr) - 8) union all select 'perturbed_ensemble_uses_all_seeds', (select count(*) from gr where s <> 5)
-union all select 'baseline_agreement_recorded', abs((select sum(s)::bigint from pr) - 10)) select *, case when n_violations = 0 then 'PASS' else 'FAIL' end as status from v"""
+union all select 'zero_percent_baseline_agreement_was_recorded', abs((select sum(s)::bigint from pr) - 10)) select *, case when n_violations = 0 then 'PASS' else 'FAIL' end as status from v"""
 
 
 @add("dq19_integrity_checks", INTEGRITY)

@@ -699,8 +699,8 @@ AUDITED = ", h as (select l.row_id, count(b.time) as n from labels l left join b
 
 def audit_checks_sql(context: int) -> str:
     return checks_sql(
-        "a", required_audit_columns="0", final_seq_len_equals_seq_len="0", seq_len_within_context=f"count(*) filter (where len > {context})", repeats_not_negative="0",
-        backfill_not_negative="0", backfill_not_above_length="0", input_is_raw_window=f"count(*) filter (where least(n, 64) <> least(n, {context}))", no_backfill_added_zero="0",
+        "a", required_episode_audit_columns="0", final_seq_len_equals_seq_len="0", seq_len_within_context=f"count(*) filter (where len > {context})", nonnegative_repeat_counts="0",
+        nonnegative_backfill_counts="0", backfill_not_above_final_len="0", no_backfill_input_is_raw_window=f"count(*) filter (where least(n, 64) <> least(n, {context}))", no_backfill_added_zero="0",
     )
 
 

@@ -203,24 +203,25 @@ def check_structure_null(
 
 def check_episode_audit(examples: DataFrame, context: int, kind: str, window_mode: str) -> DataFrame:
     """Six common invariants plus those of the window mode."""
-    present = [c for c in EPISODE_AUDIT_REQUIRED if c not in examples.columns]
+    missing = [c for c in EPISODE_AUDIT_REQUIRED if c not in examples.columns]
     c = F.col
+    # The names of the checks, here and below.
     rules = {
-        "required_audit_columns": F.lit(not present),
+        "required_episode_audit_columns": F.lit(not missing),
         "final_seq_len_equals_seq_len": c("final_seq_len") == c("seq_len"),
         "seq_len_within_context": c("seq_len") <= context,
-        "repeats_not_negative": c("n_repeats_removed") >= 0,
-        "backfill_not_negative": c("n_backfill_events_added") >= 0,
-        "backfill_not_above_length": c("n_backfill_events_added") <= c("seq_len"),
+        "nonnegative_repeat_counts": c("n_repeats_removed") >= 0,
+        "nonnegative_backfill_counts": c("n_backfill_events_added") >= 0,
+        "backfill_not_above_final_len": c("n_backfill_events_added") <= c("seq_len"),
     }
     if kind == "raw":
-        rules["raw_length_unchanged"] = c("transformed_history_len") == c("original_history_len")
-        rules["raw_repeats_zero"] = c("n_repeats_removed") == 0
-        rules["raw_backfill_zero"] = c("n_backfill_events_added") == 0
+        rules["raw_transform_length_equals_original"] = c("transformed_history_len") == c("original_history_len")
+        rules["raw_repeats_removed_zero"] = c("n_repeats_removed") == 0
+        rules["raw_added_zero"] = c("n_backfill_events_added") == 0
     if window_mode == "backfill":
         rules["backfill_uses_full_history"] = c("transformation_input_len") == c("original_history_len")
     if window_mode == "no_backfill":
-        rules["input_is_raw_window"] = c("transformation_input_len") == F.least(c("original_history_len"), F.lit(context))
+        rules["no_backfill_input_is_raw_window"] = c("transformation_input_len") == F.least(c("original_history_len"), F.lit(context))
         rules["no_backfill_added_zero"] = c("n_backfill_events_added") == 0
     names = list(rules)
     row = examples.agg(*[F.count_if(~rules[n]).alias(n) for n in names])

@@ -183,9 +183,13 @@ def assign_position(tokens: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def cap_and_place(tokens: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """Last ``n`` tokens per episode with their position, from one sort."""
+    """Last ``n`` tokens per episode with their position.
+
+    The rank alone decides what stays, so every task cuts its own rows down to
+    ``n`` per episode before the shuffle; the kept rows are counted after it.
+    """
     group = Window.partitionBy(*(keys or ["row_id", "task"]))
     back = F.row_number().over(group.orderBy(*[F.col(c).desc() for c in TOKEN_ORDER]))
-    placed = tokens.withColumn("__size", F.count("*").over(group)).withColumn("__back", back).filter(F.col("__back") <= n)
-    position = F.least(F.col("__size"), F.lit(n)) - F.col("__back") + 1
-    return placed.withColumn("event_position", position.cast("int")).drop("__size", "__back")
+    kept = tokens.withColumn("__back", back).filter(F.col("__back") <= n)
+    position = F.count("*").over(group) - F.col("__back") + 1
+    return kept.withColumn("event_position", position.cast("int")).drop("__back")
