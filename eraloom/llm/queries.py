@@ -59,5 +59,24 @@ QUERIES = {
         op8_license_scan, op9_vector_near_dedup, op10_bpe,
     )
 }
-# SQL that gives the same rows, where it can be written.
-ORACLES: dict[str, str] = {}
+# SQL that gives the same rows, where it can be written. Learned models, packing, tokens and approximate search
+# are tested against plain versions instead.
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+),
+shingles as (
+    select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from words
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as other from documents union select edges.y, reach.other from reach join edges on edges.x = reach.doc_id),
+low as (select doc_id, min(other) as component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id) join low using (doc_id)
+""",
+}
