@@ -18,8 +18,8 @@ from eraloom.operators.metrics import (
     LOWER_IS_BETTER, PREDICTIVE_METRICS, equal_subject_weights, risk_metrics,
 )
 from eraloom.operators.resample import replicate_metrics
-from eraloom.schemas import DataContractError, duplicate_keys
-from eraloom.session import broadcast_checked, materialize
+from eraloom.schemas import DataContractError, duplicate_keys, join_null_safe
+from eraloom.session import materialize
 
 PAIR_KEY = ["row_id", "subject_id", "y_true"]
 
@@ -30,6 +30,13 @@ def cluster_index(df: DataFrame, cluster: str = "subject_id") -> DataFrame:
     return placed.select(cluster, (F.col("row_number") - 1).alias("cluster_index"))
 
 
+def draw_hash(seed: int, rep, place, n_clusters) -> Column:
+    """The cluster that a place of a replicate draws, from a hash of (seed, replicate, place)."""
+    rep, place, n = (F.col(c) if isinstance(c, str) else c for c in (rep, place, n_clusters))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), place.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
 def cluster_draws(spark, n_clusters: int, n_rep: int, seed: int) -> DataFrame:
     """Multiplicity of each cluster in each replicate.
 
@@ -37,10 +44,8 @@ def cluster_draws(spark, n_clusters: int, n_rep: int, seed: int) -> DataFrame:
     remainder, so nothing is crossed.
     """
     rep, place = F.expr(f"id div {int(n_clusters)}"), F.col("id") % n_clusters
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), place.cast("string")), 256)
-    hit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_clusters
     return (
-        spark.range(n_rep * n_clusters).select(rep.alias("rep"), hit.alias("cluster_index"))
+        spark.range(n_rep * n_clusters).select(rep.alias("rep"), draw_hash(seed, rep, place, F.lit(n_clusters)).alias("cluster_index"))
         .groupBy("rep", "cluster_index").agg(F.count("*").alias("mult"))
     )
 
@@ -171,26 +176,25 @@ def _pair_sizes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def comparison_draws(pairs: DataFrame, n_rep: int, seed: int, keys: Sequence[str] = ("comparison", "task")) -> DataFrame:
-    """Draws for each comparison over its own subjects, all from one range.
+    """Draws for each comparison over its own subjects.
 
-    Subjects are indexed inside their comparison; comparisons with the same
-    subjects get the same draws.
+    Subjects are indexed inside their comparison and each place draws once per
+    replicate, so one plan serves any number of comparisons and cohort sizes;
+    comparisons with the same subjects get the same draws.
     """
-    spark = pairs.sparkSession
+    keys = list(keys)
     placed = materialize(
         global_row_number(pairs.select(*keys, "subject_id").distinct(), [*[F.col(k) for k in keys], F.col("subject_id")])
     )
-    spans = placed.groupBy(*keys).agg(F.min("row_number").alias("first"), F.count("*").alias("n"))
-    index = placed.join(broadcast_checked(spans), list(keys)).select(
-        *keys, "subject_id", (F.col("row_number") - F.col("first")).alias("cluster_index"), F.col("n").alias("n_clusters")
+    spans = placed.groupBy(*keys).agg(F.min("row_number").alias("first"), F.count("*").alias("n_clusters"))
+    index = join_null_safe(placed, spans, keys, "inner").select(
+        *keys, "subject_id", (F.col("row_number") - F.col("first")).alias("cluster_index"), "n_clusters"
     )
-    # One job per distinct cohort size; sizes come from the short comparison list.
-    sizes = sorted({r["n"] for r in spans.select("n").distinct().collect()})
-    out = None
-    for n in sizes:
-        d = cluster_draws(spark, n, n_rep, seed).withColumn("n_clusters", F.lit(n).cast("long"))
-        out = d if out is None else out.unionByName(d)
-    return index.join(out, ["n_clusters", "cluster_index"]).select(*keys, "subject_id", "rep", "mult")
+    index = materialize(index)
+    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rep - 1).cast("long")))
+    drawn = index.select(*keys, "cluster_index", "n_clusters", reps.alias("rep"))
+    hits = drawn.groupBy(*keys, "rep", draw_hash(seed, "rep", "cluster_index", "n_clusters").alias("cluster_index")).agg(F.count("*").alias("mult"))
+    return join_null_safe(index, hits, [*keys, "cluster_index"], "inner").select(*keys, "subject_id", "rep", "mult")
 
 
 def _delta_summary(point: DataFrame, reps: DataFrame, keys: Sequence[str]) -> DataFrame:
