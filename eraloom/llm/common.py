@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,6 +37,18 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(2**30)) < share)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While something is written, hand Python at most ``rows`` rows at a time, so that batches of long texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_file(spark: SparkSession, data: bytes, suffix: str) -> str:
     """Write ``data`` below ``spark.checkpoint.dir`` and hand it to every executor; its ``SparkFiles`` name.
 
