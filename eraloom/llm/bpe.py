@@ -36,7 +36,7 @@ from eraloom.session import materialize
 LEXICON_WORDS = 262_144
 # Piece counts that a task gathers before it hands them on, and pieces whose encoding a worker remembers.
 FLUSH_PIECES = 400_000
-MEMO_PIECES = 500_000
+MEMO_PIECES = 700_000
 # Characters of text that are encoded together.
 BLOCK_CHARS = 1_000_000
 
@@ -98,11 +98,20 @@ def words(text: str) -> list[str]:
 def chunks(text: str | None) -> list[str]:
     """Pieces of a text between white space, which no word and no special token crosses; none for null.
 
-    Texts with control characters on which Python and Unicode disagree stay one piece.
+    Pieces are in normal form, which makes them repeat more often, unless the
+    text may hold a special token or would change if brought to normal form
+    twice. Texts with control characters on which Python and Unicode disagree
+    stay one piece.
     """
     if not text:
         return []
-    return [text] if _odd_space.search(text) else text.split()
+    if _odd_space.search(text):
+        return [text]
+    if "<|" not in text:
+        normal = _normal(text)
+        if normal.isascii() or unicodedata.is_normalized("NFC", normal):
+            return normal.split()
+    return text.split()
 
 
 def words_of_chunks(pieces: list[str]) -> list[list[str]]:
@@ -366,13 +375,9 @@ class Encoder:
         self.ids_of, self.form = ids_of, form
         self.memo: dict[str, object] = {}
 
-    def learn(self, asked: set[str]) -> None:
-        new = list(asked.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list(asked)
-        if new:
-            self.memo.update(zip(new, map(self.form, self.ids_of(new))))
+    def learn(self, new: set[str]) -> None:
+        asked = list(new)
+        self.memo.update(zip(asked, map(self.form, self.ids_of(asked))))
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[list[list]]:
         """For blocks of texts, the form of each text's pieces in order; null is the empty text."""
@@ -387,9 +392,17 @@ class Encoder:
             yield self._take(block)
 
     def _take(self, block: list[list[str]]) -> list[list]:
-        self.learn(set().union(*block))
-        get = self.memo.__getitem__
-        return [list(map(get, pieces)) for pieces in block]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        get = self.memo.get
+        out = [list(map(get, pieces)) for pieces in block]
+        lacking = [(pieces, forms, [i for i, f in enumerate(forms) if f is None]) for pieces, forms in zip(block, out) if None in forms]
+        if lacking:
+            self.learn({pieces[i] for pieces, _, at in lacking for i in at})
+            for pieces, forms, at in lacking:
+                for i in at:
+                    forms[i] = get(pieces[i])
+        return out
 
 
 def piece_ids(path: str, lexicon: Lexicon | None = None) -> Callable[[list[str]], list[list[int]]]:
@@ -400,7 +413,7 @@ def piece_ids(path: str, lexicon: Lexicon | None = None) -> Callable[[list[str]]
     def ids_of(pieces: list[str]) -> list[list[int]]:
         cut = words_of_chunks(pieces)
         new = list(set().union(*cut).difference(merged))
-        if len(merged) + len(new) > MEMO_PIECES:
+        if len(merged) + len(new) > MEMO_PIECES // 2:
             merged.clear()
             new = list(set().union(*cut))
         found, lacking = {}, new
