@@ -4,7 +4,10 @@ A page is a sequence of words and tags. Words score positive, tags negative;
 one linear scan finds the contiguous region of greatest sum. Elements that
 never hold an article (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments, scripts, styles) count as one tag with all they hold,
-so their words are neither scored nor returned.
+so their words are neither scored nor returned. A form, a role or a class is no
+proof: such an element is read like any other when it holds the page's article
+or most of its words, and one whose name only has a telling word among others
+costs a penalty.
 
 The weights come from labelled pages: pages whose markup names the one element
 that holds the article. They teach how strongly each tag speaks against being
@@ -41,10 +44,16 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NEVER = frozenset("head script style noscript template iframe svg math canvas object nav aside footer form button select textarea menu dialog title noembed noframes".split())
 HOLDERS = ("article", "main")
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|widget|related|recommend\w*|share|sharing|social|comments?|disqus|replies|footer|masthead|copyright|pagination|pager|skip|toolbar)(?:$|[\s_-])",
+    r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"nav\w*|menu|breadcrumbs?|sidebar|widget|related|recommend\w*|share|sharing|social|comments?|disqus|replies|footer|masthead|copyright|pagination|pager|skip|toolbar)",
     re.I,
 )
+# Words that may stand beside those without changing what the name says, and words that make it a modifier of something else.
+NEUTRAL = frozenset("site page post entry global top bottom left right primary secondary inner outer wrap wrapper container box bar block area panel list item items link links button buttons icon icons posts articles stories group slot unit form trail".split())
+MODIFIERS = frozenset("has with no without not non hide".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Key and penalty (before scaling) of an element whose name has one of those words among others.
+SUSPECT, SUSPECT_PENALTY = "*named", 5.0
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -64,55 +73,127 @@ def _keys(name: str, attributes: str) -> tuple[list[str], dict[str, str]]:
     return [name, *(f"{name}.{c.lower()}" for c in found.get("class", "").split())], found
 
 
-def tokens(page: str | None, boiler: frozenset[str] = frozenset()) -> Iterator[tuple[str, object]]:
-    """('text', text), ('open', keys), ('close', name) and ('skip', keys) for boilerplate elements as a whole, in page order.
+def _named(name: str, found: dict[str, str], held: int) -> int:
+    """2 if the element's class or id is a usual name of boilerplate, 1 if it has a word of one among others, else 0.
 
-    A page header is boilerplate, a header inside the holding element is not.
+    ``has-sidebar``, ``no-comments`` and the like tell of something else. Ids
+    of headings, and of sections inside the holding element, are made from
+    their titles and tell nothing.
     """
-    page = page or ""
-    at, held = 0, 0
-    skipping, depth = None, 0  # the boilerplate element that is open, and how deep its own name nests
+    names = [(x, False) for x in found.get("class", "").split()]
+    if name not in HEADINGS and not (held and name == "section"):
+        names += [(x, True) for x in found.get("id", "").split()]
+    most = 0
+    for x, by_id in names:
+        words = [w for w in re.split(r"[_-]+", x.lower()) if w]
+        hits = [bool(NAMED.fullmatch(w)) for w in words]
+        if not any(hits) or not MODIFIERS.isdisjoint(words[: hits.index(True)]):
+            continue
+        if all(h or w in NEUTRAL or w.isdigit() for h, w in zip(hits, words)):
+            return 2
+        most = max(most, int(not (by_id and held)))
+    return most
+
+
+def _pieces(page: str) -> list[tuple[str, str, str]]:
+    """('text', text, ''), ('open', name, attributes), ('empty', name, attributes), ('close', name, '') and ('raw', name, '') in page order."""
+    out, at = [], 0
     while at < len(page):
         m = _markup.search(page, at)
         stop = m.start() if m else len(page)
-        if stop > at and skipping is None:
-            yield "text", page[at:stop]
+        if stop > at:
+            out.append(("text", page[at:stop], ""))
         if m is None:
-            return
+            break
         at = m.end()
         if m[2] is None:
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        empty = name in VOID or m[3].endswith("/")
-        if name in RAW and not closing and not empty:
+        name = m[2].lower()
+        if m[1]:
+            out.append(("close", name, ""))
+        elif name in VOID or m[3].endswith("/"):
+            out.append(("empty", name, m[3]))
+        elif name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if skipping is None:
-                yield "skip", [name]
+            out.append(("raw", name, ""))
+        else:
+            out.append(("open", name, m[3]))
+    return out
+
+
+class _Extents:
+    """Where a page's elements end, and what they hold."""
+
+    def __init__(self, pieces: list[tuple[str, str, str]]):
+        self.ends = [len(pieces)] * len(pieces)
+        self.holders: list[int] = []
+        self.words = [0]  # of the pieces before, without elements that never hold an article
+        opened: dict[str, list[int]] = {}
+        for i, (what, x, _) in enumerate(pieces):
+            if what == "open":
+                opened.setdefault(x, []).append(i)
+            elif what == "close" and opened.get(x):
+                self.ends[opened[x].pop()] = i
+        until = -1
+        for i, (what, x, _) in enumerate(pieces):
+            if what == "open":
+                if x in HOLDERS:
+                    self.holders.append(i)
+                if x in NEVER and x != "form":
+                    until = max(until, self.ends[i])
+            self.words.append(self.words[-1] + (len(x.split()) if what == "text" and i > until else 0))
+        self.mains = [i for i in self.holders if pieces[i][1] == "main"]
+
+    def essential(self, i: int) -> bool:
+        """Whether element ``i`` holds a main or all holders of the page, or most of the words while no holder is apart from it."""
+        end = self.ends[i]
+        inside = [h for h in self.holders if i < h < end]
+        if inside:
+            return len(inside) == len(self.holders) or any(i < h < end for h in self.mains)
+        apart = any(h > end or self.ends[h] < i for h in self.holders)
+        return not apart and 2 * (self.words[min(end, len(self.words) - 1)] - self.words[i]) > self.words[-1]
+
+
+def tokens(page: str | None, boiler: frozenset[str] = frozenset()) -> Iterator[tuple[str, object]]:
+    """('text', text), ('open', keys), ('close', name) and ('skip', keys) for boilerplate elements as a whole, in page order.
+
+    A page header is boilerplate, a header inside the holding element is not.
+    """
+    pieces = _pieces(page or "")
+    extents: _Extents | None = None
+    i, held = 0, 0
+    while i < len(pieces):
+        what, name, attributes = pieces[i]
+        i += 1
+        if what == "text":
+            yield "text", name
             continue
-        if skipping is not None:
-            if name == skipping and not empty:
-                depth += -1 if closing else 1
-                if not depth:
-                    skipping = None
+        if what == "raw":
+            yield "skip", [name]
             continue
-        if closing:
+        if what == "close":
             held -= name in HOLDERS and held > 0
             yield "close", name
             continue
-        keys, found = _keys(name, m[3])
-        named = f"{found.get('class', '')} {found.get('id', '')}"
-        bad = (
-            name in NEVER or name == "header" and not held or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-            or name not in ("html", "body", *HOLDERS) and (bool(NAMED.search(named)) or any(k in boiler for k in keys[1:]))
-        )
+        keys, found = _keys(name, attributes)
+        named = _named(name, found, held) if name not in ("html", "body", *HOLDERS) and ("class" in found or "id" in found) else 0
+        bad = name in NEVER and name != "form" or name == "header" and not held or "hidden" in found or found.get("aria-hidden") == "true"
+        if not bad and (
+            name == "form" or found.get("role", "").lower() in ROLES or named == 2
+            or name not in ("html", "body", *HOLDERS) and any(k in boiler for k in keys[1:])
+        ):
+            if what == "open":
+                extents = extents or _Extents(pieces)
+            bad = what == "empty" or not extents.essential(i - 1)
         if bad:
             yield "skip", keys
-            if not empty:
-                skipping, depth = name, 1
+            if what == "open":
+                extents = extents or _Extents(pieces)
+                i = extents.ends[i - 1] + 1
             continue
         held += name in HOLDERS
-        yield "open", keys
+        yield "open", [*keys, SUSPECT] if named == 1 else keys
 
 
 def best_region(page: str | None, w: Weights) -> tuple[list[tuple[str, object]], int, int]:
@@ -126,7 +207,7 @@ def best_region(page: str | None, w: Weights) -> tuple[list[tuple[str, object]],
             if total > best:
                 best, span = total, (since, i + 1)
         else:
-            total -= w.scale * (get("/" + x, 0.5) if what == "close" else max(get(k, 0.5) for k in x))
+            total -= w.scale * (get("/" + x, 0.5) if what == "close" else max(get(k, SUSPECT_PENALTY if k == SUSPECT else 0.5) for k in x))
         if total <= 0:
             total, since = 0.0, i + 1
     return found, *span
@@ -199,7 +280,7 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
     if not total:
         return Weights()
     get = lambda k, place: n.get((k, place), 0)
-    keys = {k for k, _ in n}
+    keys = {k for k, _ in n} - {SUSPECT}
     tags = {k: 0.05 + max(0.0, math.log((get(k, "out") + 1) / (get(k, "in") + 1))) for k in keys}
     boiler = frozenset(k for k in keys if "." in k and not get(k, "in") and not get(k, "around") and get(k, "out") >= max(3, BOILER_SHARE * total) and k.split(".")[0] not in HOLDERS)
 

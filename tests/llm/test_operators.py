@@ -456,3 +456,20 @@ def test_size_bounds_lose_no_template():
         got = lib.best(run, n)
         assert (got is None and want is None) or (-got[0], got[1]) == want
         assert want is None or not lib.telling.isdisjoint(ws)
+
+
+def test_layout_names_do_not_hide_the_article():
+    w = html_text.Weights()
+    body = "<h1>Title of it</h1><p>" + "first words of text " * 20 + "</p><section id='related-work'><h2 id='social-history'>Related work</h2><p>" + "later words here " * 20 + "</p></section>"
+    ad = "<div class='ad'>Buy this now</div>"
+    for page in (
+        f"<div class='content has-sidebar'><article>{body}</article></div>{ad}", f"<div class='container with-sidebar'><p>x</p>{body}</div>", f"<div class='post no-comments'>{body}</div>",
+        f"<div id='widget'><article>{body}</article></div>", f"<form id=f1><div class='sidebar'>{body}</div>{ad}</form>", f"<main><div class='market-share'>{body}</div></main>",
+        f"<article><div id='market-share'>{body}</div>{ad}</article>",
+    ):
+        got = html_text.main_text(page, w)
+        assert "Title of it" in got and "Related work" in got and got.count("later words here") == 20 and got.count("first words of text") == 20, page
+        assert "Buy" not in got, page
+    for names in ("class='comments'", "class='related-posts'", "id='sidebar'", "class='site-footer wide'"):
+        assert "noise" not in html_text.main_text(f"<article>{body}</article><div {names}>{'noise ' * 30}</div>", w), names
+        assert "noise" not in html_text.main_text(f"<article>{body}<div {names}>{'noise ' * 30}</div></article>", w), names
