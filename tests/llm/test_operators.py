@@ -473,3 +473,17 @@ def test_layout_names_do_not_hide_the_article():
     for names in ("class='comments'", "class='related-posts'", "id='sidebar'", "class='site-footer wide'"):
         assert "noise" not in html_text.main_text(f"<article>{body}</article><div {names}>{'noise ' * 30}</div>", w), names
         assert "noise" not in html_text.main_text(f"<article>{body}<div {names}>{'noise ' * 30}</div></article>", w), names
+
+
+def test_full_licences_and_relatives():
+    lib = licenses.library()
+    for name, x in licenses.all_templates():
+        # A few words go, some stand before and after.
+        ws = [w for i, w in enumerate(x.split()) if len(x) < 2000 or i % 50 != 9]
+        got = lib.scan("Some words before it\n" + " ".join(ws) + "\nand others after it")
+        assert got and max(got, key=lambda t: t[3])[0] == name, (name, x[:80], got)
+    header = licenses.HEADER.format(what="program", sep=";", family="General Public License", either="; either", version="2")
+    assert [t[0] for t in lib.scan(header)] == ["GPL-2.0"]
+    assert [t[0] for t in lib.scan(header.replace("General", "Affero General").replace("version 2", "version 3"))] == ["AGPL-3.0"]
+    for x, want in (("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("Licensed under CC BY-NC 3.0", ["CC-BY-NC-3.0"]), ("Licensed under CC BY-NC 9.0", [])):
+        assert [t[0] for t in lib.scan(x)] == want
