@@ -487,3 +487,9 @@ def test_full_licences_and_relatives():
     assert [t[0] for t in lib.scan(header.replace("General", "Affero General").replace("version 2", "version 3"))] == ["AGPL-3.0"]
     for x, want in (("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("Licensed under CC BY-NC 3.0", ["CC-BY-NC-3.0"]), ("Licensed under CC BY-NC 9.0", [])):
         assert [t[0] for t in lib.scan(x)] == want
+
+
+def test_licence_inside_a_line():
+    lib, mit = licenses.library(), licenses.TEMPLATES[2][1]
+    assert lib.scan("We wrote this over years. Released under the MIT License. Have fun with all of it")[0][:3] == ("MIT", 0, 0)
+    assert [t[0] for t in lib.scan("words of prose " * 3000 + mit + " more prose" * 3000 + " Licensed under CC BY-SA 4.0. The end of it")] == ["MIT", "CC-BY-SA-4.0"]
