@@ -16,21 +16,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import fold, hash_sample
+from eraloom.llm.common import fold
 
 DIMENSION = 1024
 SEED = 7
-# Labelled documents that the profiles are learned from, and letters with a vector of their own (others share one).
+# Labelled documents that the profiles are learned from.
 TRAIN_DOCS = 20_000
-LETTERS = 60
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 BLOCK_DOCS, BLOCK_CHARS = 256, 2_000_000
+# Trigrams that are bound at a time, for memory.
+BLOCK_TRIGRAMS = 16_384
 
 
 @dataclass(frozen=True)
 class Profiles:
-    letters: str  # letters with a vector of their own
+    letters: str  # all letters of the training texts; others are in no profile and share one vector
     languages: tuple[str, ...]  # in order
     bundles: bytes  # float32, one row of DIMENSION for each language, of unit length
 
@@ -50,7 +51,7 @@ def _codes(letters: str) -> np.ndarray:
 @lru_cache(maxsize=4)
 def _vectors(letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of all codes, rotated for the first, second and last place of a trigram."""
-    base = np.stack([np.random.default_rng([SEED, x]).choice(np.array([-1, 1], dtype=np.float32), DIMENSION) for x in (0, *map(ord, letters), 1)])
+    base = np.stack([np.random.default_rng([SEED, x]).choice(np.array([-1, 1], dtype=np.int8), DIMENSION) for x in (0, *map(ord, letters), 1)])
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
 
@@ -64,7 +65,7 @@ def trigrams(text: str | None, letters: str) -> tuple[np.ndarray, np.ndarray]:
     c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])].astype(np.int64)
     n = len(letters) + 2
     code = (c[:-2] * n + c[1:-1]) * n + c[2:]
-    if len(code) > n**3 // 8:
+    if n <= 128 and len(code) > n**3 // 8:
         counts = np.bincount(code, minlength=1)
         found = np.flatnonzero(counts)
         return found, counts[found]
@@ -85,10 +86,15 @@ def bundles(texts: Iterable[str | None], letters: str) -> np.ndarray:
     """Bundle of each text; zero without a letter."""
     found = [trigrams(t, letters) for t in texts]
     used = np.unique(np.concatenate([c for c, _ in found])) if found else np.zeros(0, dtype=np.int64)
-    counts = np.zeros((len(found), len(used)), dtype=np.float32)
-    for i, (c, n) in enumerate(found):
-        counts[i, np.searchsorted(used, c)] = n
-    return counts @ bind(used, letters)
+    out = np.zeros((len(found), DIMENSION), dtype=np.float32)
+    for at in range(0, len(used), BLOCK_TRIGRAMS):
+        part = used[at : at + BLOCK_TRIGRAMS]
+        counts = np.zeros((len(found), len(part)), dtype=np.float32)
+        for i, (c, n) in enumerate(found):
+            a, b = np.searchsorted(c, part[0]), np.searchsorted(c, part[-1], side="right")
+            counts[i, np.searchsorted(part, c[a:b])] = n[a:b]
+        out += counts @ bind(part, letters).astype(np.float32)
+    return out
 
 
 def _blocks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
@@ -103,25 +109,43 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
         yield block
 
 
+def _by_language(train: DataFrame, train_docs: int) -> DataFrame:
+    """About ``train_docs`` rows by the hash of their id, as many of each language as far as it has them.
+
+    The driver gets the number of documents of each language.
+    """
+    sizes = train.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = sorted(r["_n"] for r in sizes.select("_n").collect())
+    left = train_docs
+    for i, n in enumerate(counts):
+        most = max(left // (len(counts) - i), 1)
+        if n > most:
+            break
+        left -= n
+    else:
+        return train
+    share = sizes.select("lang", (F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")) * 2**30).cast("long").alias("_share"))
+    return train.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**30)) < F.col("_share"))
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
     """Learn profiles from the documents with a language whose fold is not held out.
 
-    About ``train_docs`` of them are taken, by the hash of their id. The driver
-    gets the letters' counts and one vector for each language.
+    About ``train_docs`` of them are taken, by the hash of their id, so that
+    rare languages are there too. The driver gets the letters and one vector
+    for each language.
     """
     part = fold("doc_id", FOLDS)
     train = docs.select("doc_id", "text", "lang").where((part >= 0) & (part != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    train = hash_sample(train, "doc_id", train_docs).select("text", "lang")
+    train = _by_language(train, train_docs).select("text", "lang")
 
     def count(batches):
         for pdf in batches:
             points = np.frombuffer("".join(pdf["text"]).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            found, n = np.unique(points, return_counts=True)
-            keep = [chr(x).isalpha() for x in found.tolist()]
-            yield pd.DataFrame({"letter": found[keep].astype("int64"), "n": n[keep]})
+            yield pd.DataFrame({"letter": [x for x in np.unique(points).tolist() if chr(x).isalpha()]}, dtype="int64")
 
-    ranked = train.select("text").mapInPandas(count, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS)
-    letters = "".join(sorted(chr(r["letter"]) for r in ranked.collect()))
+    found = train.select("text").mapInPandas(count, "letter long").distinct().collect()
+    letters = "".join(sorted(chr(r["letter"]) for r in found))
 
     def bundle(batches):
         total: dict[str, np.ndarray] = {}

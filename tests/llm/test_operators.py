@@ -493,3 +493,18 @@ def test_licence_inside_a_line():
     lib, mit = licenses.library(), licenses.TEMPLATES[2][1]
     assert lib.scan("We wrote this over years. Released under the MIT License. Have fun with all of it")[0][:3] == ("MIT", 0, 0)
     assert [t[0] for t in lib.scan("words of prose " * 3000 + mit + " more prose" * 3000 + " Licensed under CC BY-SA 4.0. The end of it")] == ["MIT", "CC-BY-SA-4.0"]
+
+
+def test_languages_of_many_scripts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_TRIGRAMS", 50)
+    rng, rows = random.Random(4), []
+    # Latin, Cyrillic and Devanagari letters hold most rows; two languages of rare letters have the same word lengths.
+    scripts = {"la": range(0x61, 0x7B), "cy": range(0x430, 0x450), "hi": range(0x915, 0x93A), "ge": range(0x10D0, 0x10F0), "am": range(0x561, 0x580)}
+    words = {g: ["".join(chr(rng.choice(x)) for _ in range(5)) for _ in range(30)] for g, x in scripts.items()}
+    for i in range(600):
+        g = ("ge" if i % 50 == 0 else "am") if i % 25 == 0 else ("la", "cy", "hi")[i % 3]
+        rows.append((i, " ".join(rng.choice(words[g]) for _ in range(60 if g in ("la", "cy", "hi") else 8)), g))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, rows)).collect()}
+    assert all(got[i] == g for i, _, g in rows)
+    # A sample of a few rows still has each language.
+    assert langid.fit(docs(spark, rows), 60).languages == ("am", "cy", "ge", "hi", "la")
