@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import fold
+from eraloom.llm.common import fold, hash_sample
 
 DIMENSION = 1024
 SEED = 7
@@ -24,6 +24,10 @@ SEED = 7
 TRAIN_DOCS = 20_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+# Labelled documents, and lengths of their beginnings, from which the least cosine of text of a learned language comes.
+BOUND_DOCS, LENGTHS, LEAST_DOCS = 2_000, tuple(2**k for k in range(1, 14)), 20
+# A bound lies at this quantile of texts with shuffled letters, but no higher than this part of a low quantile of labelled text.
+JUNK_QUANTILE, CLEAN_QUANTILE, CLEAN_PART = 0.95, 0.05, 0.8
 BLOCK_DOCS, BLOCK_CHARS = 256, 2_000_000
 # Trigrams that are bound at a time, for memory.
 BLOCK_TRIGRAMS = 16_384
@@ -188,6 +192,44 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> tuple:
     return best(text)
 
 
+def shuffled(text: str) -> str:
+    """``text`` with its letters in another order, the same one each time."""
+    letters = [x for x in text if x.isalpha()]
+    order = iter(np.random.default_rng([SEED, len(text), len(letters)]).permutation(len(letters)).tolist())
+    return "".join(letters[next(order)] if x.isalpha() else x for x in text)
+
+
+def bounds(docs: DataFrame, profiles: Profiles) -> list[tuple[int, float]]:
+    """(length, least cosine) by length: short texts of a language score low, long junk scores high.
+
+    Learned from beginnings of labelled documents and the same with shuffled
+    letters. The driver gets one row for each length.
+    """
+    part = fold("doc_id", FOLDS)
+    known = docs.where((part >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sample = hash_sample(known.select("doc_id", F.substring("text", 1, LENGTHS[-1]).alias("text")), "doc_id", BOUND_DOCS).select("text")
+
+    def score(batches):
+        for pdf in batches:
+            pairs = [(n, x[:n]) for x in pdf["text"] for n in LENGTHS if len(x) >= n and any(c.isalpha() for c in x[:n])]
+            out = {"length": [n for n, _ in pairs]}
+            for name, texts in (("clean", [x for _, x in pairs]), ("junk", [shuffled(x.lower()) for _, x in pairs])):
+                found = [np.zeros(0)]
+                for block in _blocks(texts):
+                    v = bundles(block, profiles.letters)
+                    size = np.linalg.norm(v, axis=1)
+                    found.append(((v @ profiles.matrix().T) / np.where(size, size, 1)[:, None]).max(axis=1))
+                out[name] = np.concatenate(found).astype(float)
+            yield pd.DataFrame(out)
+
+    if not profiles.languages:
+        return []
+    rows = sample.mapInPandas(score, "length int, clean double, junk double").groupBy("length").agg(
+        F.count("*").alias("n"), F.percentile("clean", F.lit(CLEAN_QUANTILE)).alias("clean"), F.percentile("junk", F.lit(JUNK_QUANTILE)).alias("junk")
+    )
+    return sorted((r["length"], max(0.0, min(r["junk"], CLEAN_PART * r["clean"]))) for r in rows.collect() if r["n"] >= LEAST_DOCS)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
 

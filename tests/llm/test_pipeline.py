@@ -62,3 +62,16 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
+
+
+def test_text_of_no_learned_language_goes(spark):
+    rng, rows = random.Random(5), []
+    words = {g: ["".join(rng.choice(x) + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(60)] for g, x in (("aa", "bdfgklm"), ("bb", "nprstvw"))}
+    for i in range(600):
+        g = "aa" if i % 2 else "bb"
+        rows.append((i, " ".join(rng.choice(words[g]) for _ in range(rng.randrange(10, 80))), g))
+    short = [(1000 + i, " ".join(rng.choice(words["aa"]) for _ in range(4)), None) for i in range(20)]
+    junk = [(2000 + i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40)), None) for i in range(40) for letters in ["bcdfghjklmnpqrstvwxyzaeiou" if i % 2 else "абвгдежзиклмнопрст"]]
+    docs = spark.createDataFrame([(i, x, g, "s", len(x), 0.5, True) for i, x, g in rows + short + junk], DOCS)
+    kept = {r["doc_id"] for r in pipeline.keep_languages(spark, docs, "").collect()}
+    assert {i for i, _, _ in rows + short} <= kept and not kept & {i for i, _, _ in junk}
