@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eraloom.llm import ann, bpe, html_text, langid, licenses, near_dedup, packing, pii, toxicity, vector_dedup
+from eraloom.llm import ann, bpe, collocations, html_text, langid, licenses, mixture_packing, near_dedup, packing, periodic, pii, toxicity, vector_dedup
 from eraloom.llm.common import tokenizer_path
 
 
@@ -52,11 +52,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find(table(spark, sf_dir, "documents"), tails=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_text, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op6_permutation_search, op7_language_id,
-        op8_license_scan, op9_vector_near_dedup, op10_bpe,
+        op8_license_scan, op9_vector_near_dedup, op10_bpe, op11_mixture_packing, op12_periodic_runs, op13_collocations,
     )
 }
 # SQL that gives the same rows, where it can be written. Learned models, packing, tokens and approximate search
@@ -78,5 +90,31 @@ reach as (select doc_id, doc_id as other from documents union select edges.y, re
 low as (select doc_id, min(other) as component_id from reach group by 1)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join sizes using (doc_id) join low using (doc_id)
+""",
+    "op13_collocations": r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from words group by 1),
+grams as (
+    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) as g from words, (values (1), (2), (3)) v(k) where len(ws) >= k
+),
+counts as (select lang, k, g, count(*)::hugeint as f from grams group by 1, 2, 3),
+candidates as (select * from counts where k >= 2 and f >= 10),
+cuts as (
+    select c.lang, c.g, c.f as a, j.i, l.f as l, r.f as r, (1000000 * c.f * c.f) // (l.f * r.f) as score
+    from candidates c join (values (1), (2)) j(i) on j.i < c.k
+    join counts l on l.lang = c.lang and l.g = c.g[1:j.i] join counts r on r.lang = c.lang and r.g = c.g[j.i + 1:c.k]
+),
+lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, i) = 1),
+held as (
+    select lang, g[1:2] as g, max(f) as f from candidates where k = 3 group by 1, 2
+    union all select lang, g[2:3], max(f) from candidates where k = 3 group by 1, 2
+),
+open as (select * from lowest where not exists (select 1 from held h where h.lang = lowest.lang and h.g = lowest.g and 100 * h.f >= 50 * lowest.a)),
+ranked as (select *, array_to_string(g, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from open)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
 """,
 }
