@@ -266,8 +266,6 @@ def _members(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
 
 def phrases(routed: DataFrame, hot: list[tuple[str, str]], least: int = LEAST_COUNT) -> DataFrame:
     """(lang, w1, w2, w3, n) of the phrases of two and three words with at least ``least`` occurrences; ``w3`` is null for two."""
-    common = frozenset(f"{lang}\t{word}" for lang, word in hot)
-
     def sort(table: pa.Table) -> pa.Table:
         words = table.column("words").combine_chunks()
         sizes = np.diff(words.offsets.to_numpy())
@@ -281,16 +279,18 @@ def phrases(routed: DataFrame, hot: list[tuple[str, str]], least: int = LEAST_CO
         keys = np.stack(keys)
         weights = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("n")]).astype(np.int64)
         text = names.to_pylist()
-        end = text.index("\n") if "\n" in text else -1
+        place = {t: i for i, t in enumerate(text)}
+        end = place.get("\n", -1)
         # Pairs of two hot words are counted by their suffixes without a third word only.
-        lead_hot = np.array([t in common for t in text])
         of_pair = weights.copy()
-        for i in np.flatnonzero(lead_hot):
-            lang = text[i].rsplit("\t", 1)[0]
-            mine = np.flatnonzero(keys[0] == i)
-            known = np.array([f"{lang}\t{t}" in common for t in text])
-            split = known[keys[1][mine]] & (keys[2][mine] != end)
-            of_pair[mine[split]] = 0
+        mates: dict[str, list[int]] = {}
+        for lang, word in hot:
+            mates.setdefault(lang, []).append(place.get(word, -1))
+        for lang, word in hot:
+            lead = place.get(f"{lang}\t{word}")
+            if lead is not None:
+                mine = np.flatnonzero(keys[0] == lead)
+                of_pair[mine[np.isin(keys[1][mine], mates[lang]) & (keys[2][mine] != end)]] = 0
         rows: list[tuple] = []
         for depth, heads, (members, first) in frequent(keys, weights, least):
             if depth == 1:

@@ -99,22 +99,28 @@ with pieces as (
 words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
 totals as (select lang, sum(len(ws))::bigint as n from words group by 1),
 grams as (
-    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) as g from words, (values (1), (2), (3)) v(k) where len(ws) >= k
+    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as g
+    from words, (values (1), (2), (3)) v(k) where len(ws) >= k
+),
+counts as (select lang, k, g, count(*)::hugeint as f from grams group by 1, 2, 3 having count(*) >= 10),
+candidates as (select *, string_split(g, ' ') as ws from counts where k >= 2),
+parts as (
+    select lang, g, ws, k, f, i, array_to_string(ws[1:i], ' ') as left_part, array_to_string(ws[i + 1:k], ' ') as right_part
+    from candidates, (values (1), (2)) j(i) where i < k
 ),
-counts as (select lang, k, g, count(*)::hugeint as f from grams group by 1, 2, 3),
-candidates as (select * from counts where k >= 2 and f >= 10),
 cuts as (
-    select c.lang, c.g, c.f as a, j.i, l.f as l, r.f as r, (1000000 * c.f * c.f) // (l.f * r.f) as score
-    from candidates c join (values (1), (2)) j(i) on j.i < c.k
-    join counts l on l.lang = c.lang and l.g = c.g[1:j.i] join counts r on r.lang = c.lang and r.g = c.g[j.i + 1:c.k]
+    select p.lang, p.g, p.f as a, i, l.f as l, r.f as r, (1000000 * p.f * p.f) // (l.f * r.f) as score
+    from parts p join counts l on l.lang = p.lang and l.g = left_part join counts r on r.lang = p.lang and r.g = right_part
 ),
 lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, i) = 1),
 held as (
-    select lang, g[1:2] as g, max(f) as f from candidates where k = 3 group by 1, 2
-    union all select lang, g[2:3], max(f) from candidates where k = 3 group by 1, 2
+    select lang, g, max(f) as f from (
+        select lang, array_to_string(ws[1:2], ' ') as g, f from candidates where k = 3
+        union all select lang, array_to_string(ws[2:3], ' '), f from candidates where k = 3
+    ) group by 1, 2
 ),
-open as (select * from lowest where not exists (select 1 from held h where h.lang = lowest.lang and h.g = lowest.g and 100 * h.f >= 50 * lowest.a)),
-ranked as (select *, array_to_string(g, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from open)
-select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+open as (select lowest.* from lowest left join held using (lang, g) where held.f is null or 100 * held.f < 50 * lowest.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, g) as rank from open)
+select lang, rank, g as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
 """,
 }
