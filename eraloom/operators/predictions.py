@@ -170,8 +170,9 @@ def validate_predictions(pred: DataFrame, pairs: DataFrame, seeds: Sequence[int]
     repeats = held.groupBy(*[k for k in RUN_KEY if k != "split"]).count().agg(F.count_if(F.col("count") > 1).alias("c"))
     gaps = seed_coverage(held, pairs, seeds).agg(F.count_if(~F.col("complete")).alias("d"))
     row = rows.join(F.broadcast(repeats)).join(F.broadcast(gaps))  # one row each
+    # Check ids that readers of the result look up.
     items = F.array(*[F.struct(F.lit(n).alias("check"), v.cast("long").alias("n_violations")) for n, v in {
-        "risk_raw_is_sigmoid_of_logit": F.col("a"), "risks_in_unit_interval": F.col("b"), "unique_held_out_key": F.col("c"),
+        "risk_raw_is_sigmoid_of_logit": F.col("a"), "prediction_probabilities_in_unit_interval": F.col("b"), "unique_held_out_key": F.col("c"),
         "complete_seed_coverage": F.col("d"), "has_held_out_rows": (F.col("n") == 0).cast("int"),
     }.items()])
     return row.select(F.explode(items).alias("i")).select("i.*", (F.col("i.n_violations") == 0).alias("passed"))
