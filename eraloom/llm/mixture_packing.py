@@ -24,10 +24,8 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heapreplace
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -43,6 +41,8 @@ END_ID = 0
 QUEUES = 256
 # Documents that Python gets at a time.
 BATCH_DOCS = 200
+# Windows whose borders are worked out together.
+BLOCK = 256
 # Scale of due times: above the square of any number of tokens.
 FINE = 2**160
 
@@ -182,7 +182,6 @@ class Schedule:
             self.phases.append((at, base, active))
             base = [b + s for b, s in zip(base, self._split(active, low))]
         self.starts = [p[0] for p in self.phases]
-        self.served = lru_cache(maxsize=4096)(self._served)
 
     @staticmethod
     def _split(shares: list[int], t: int) -> list[int]:
@@ -206,7 +205,7 @@ class Schedule:
                 heapreplace(heap, (-((2 * out[j] - 1) * FINE // shares[j]), -j))
         return out
 
-    def _served(self, t: int) -> tuple[int, ...]:
+    def served(self, t: int) -> tuple[int, ...]:
         """Tokens that each queue has handed over among the first ``t``."""
         t = min(t, self.total)
         if t == 0:
@@ -228,7 +227,8 @@ class Windows:
     """A schedule's windows: where each queue's tokens stand, as window and offset.
 
     All windows are full but the last, which is cut into sequences whose
-    lengths are powers of two, so no sequence needs padding.
+    lengths are powers of two, so no sequence needs padding. Window borders are
+    worked out ``BLOCK`` windows at a time and kept while they are in use.
     """
 
     def __init__(self, schedule: Schedule, window: int):
@@ -240,33 +240,45 @@ class Windows:
             for bit in reversed(range(rest.bit_length())):
                 if rest >> bit & 1:
                     self.cuts.append(self.cuts[-1] + (1 << bit))
-        self.of = lru_cache(maxsize=4096)(self._of)
-
-    def _of(self, k: int) -> tuple[tuple[int, ...], tuple[int, ...], list[int]]:
-        """For each queue: tokens handed over before window ``k`` and after it, and the offset of its turn."""
-        before, after = self.schedule.served(k * self.window), self.schedule.served((k + 1) * self.window)
-        return before, after, [0, *accumulate(b - a for a, b in zip(before, after))]
-
-    def pieces(self, queue: int, first: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, sequence, offset) of the pieces of a document: ``n`` tokens of ``queue`` from place ``first``."""
-        served, window = self.schedule.served, self.window
-        k = min(self.schedule.guess(queue, first) // window, self.last)
-        while served(k * window)[queue] > first:
-            k -= 1
-        while served((k + 1) * window)[queue] <= first:
-            k += 1
-        x, end = first, first + n
-        while x < end:
-            before, after, offsets = self.of(k)
-            stop = min(end, after[queue])
-            if stop > x:
-                at = offsets[queue] + x - before[queue]
-                if k < self.last or len(self.cuts) == 1:
-                    yield x - first, stop - x, k, at
-                else:
-                    yield from self._cut(x - first, stop - x, at)
-                x = stop
-            k += 1
+        self.block = lru_cache(maxsize=64)(self._block)
+
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that each queue has handed over when each window of a block begins and the last one ends, and the same of all queues before it."""
+        served = np.array([self.schedule.served(k * self.window) for k in range(b * BLOCK, (b + 1) * BLOCK + 1)], dtype=np.int64)
+        return served, np.cumsum(served, axis=1) - served
+
+    def _window_of(self, queue: int, place: int) -> int:
+        k = min(self.schedule.guess(queue, place) // self.window, self.last)
+        b = k // BLOCK
+        while (at := self.block(b)[0][:, queue])[0] > place:
+            b -= 1
+        while at[-1] <= place:
+            b += 1
+            at = self.block(b)[0][:, queue]
+        return b * BLOCK + int(np.searchsorted(at, place, side="right")) - 1
+
+    def pieces(self, queue: int, first: int, n: int) -> tuple[np.ndarray, ...]:
+        """Start, length, sequence and offset of the pieces of a document: ``n`` tokens of ``queue`` from place ``first``."""
+        k, end, found = self._window_of(queue, first), first + n, []
+        while True:
+            b = k // BLOCK
+            served, before = self.block(b)
+            i = k - b * BLOCK
+            j = max(i + 1, int(np.searchsorted(served[:, queue], end, side="left")))
+            edges = served[i : min(j, BLOCK) + 1, queue]
+            starts, ends = np.maximum(edges[:-1], first), np.minimum(edges[1:], end)
+            turn = np.diff(before[i : min(j, BLOCK) + 1, queue])
+            full = ends > starts
+            found.append((starts - first, ends - starts, np.arange(k, k + len(starts)), turn + starts - edges[:-1], full))
+            if j <= BLOCK:
+                break
+            k = (b + 1) * BLOCK
+        start, length, sequence, offset, full = map(np.concatenate, zip(*found)) if len(found) > 1 else found[0]
+        start, length, sequence, offset = (x[full] for x in (start, length, sequence, offset))
+        if len(self.cuts) == 1 or sequence[-1] < self.last:
+            return start, length, sequence, offset
+        tail = list(self._cut(int(start[-1]), int(length[-1]), int(offset[-1])))
+        return tuple(np.r_[x[:-1], np.array(y, dtype=np.int64)] for x, y in zip((start, length, sequence, offset), zip(*tail)))
 
     def _cut(self, start: int, length: int, at: int) -> Iterator[tuple[int, int, int, int]]:
         """A piece of the last window, cut where its sequences end."""
@@ -311,20 +323,27 @@ def pack(tokens: DataFrame, targets: dict[str | None, float] | None = None, wind
     parts = materialize(parts.select("source", "part", "queue", F.coalesce(before, F.lit(0)).alias("base")))
     begins = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "queue", "base")
 
-    @F.pandas_udf("array<struct<start long, length long, ids_crc32 long, sequence_id long, offset long>>")
-    def cut(series: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(Schedule(lengths, shares), window)
-        for ids, n, queue, first in series:
-            out = []
-            for data, count, q, x in zip(ids, n.tolist(), queue.tolist(), first.tolist()):
-                wide = np.frombuffer(data, dtype="<u2" if len(data) == 2 * count else "<u4").astype("<u4").tobytes()
-                out.append([(s, m, zlib.crc32(wide[4 * s : 4 * (s + m)]), k, at) for s, m, k, at in windows.pieces(q, x, count)])
-            yield pd.Series(out, dtype=object)
+        for batch in batches:
+            doc, source, n = batch.column(0), batch.column(1), batch.column(3)
+            found, sums = [], []
+            for data, count, q, x in zip(batch.column(2), n.to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                raw = data.as_buffer()
+                wide = memoryview(np.frombuffer(raw, dtype="<u2" if raw.size == 2 * count else "<u4").astype("<u4").tobytes())
+                found.append(windows.pieces(q, x, count))
+                at = (4 * found[-1][0]).tolist()
+                sums += [zlib.crc32(wide[a:b]) for a, b in zip(at, [*at[1:], 4 * count])]
+            if found:
+                start, length, sequence, offset = (np.concatenate(x) for x in zip(*found))
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                columns = [doc.take(of), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), n.take(of), pa.array(sequence), pa.array(offset), source.take(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     placed = tokens.join(begins, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
-    return (
-        placed.select("doc_id", "source", F.col("n").alias("doc_tokens"), F.explode(cut("ids", "n", "queue", F.col("base") + F.col("at"))).alias("p"))
-        .select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset", "source")
+    kind = dict(tokens.dtypes)["doc_id"]
+    return placed.select("doc_id", "source", "ids", "n", "queue", (F.col("base") + F.col("at")).alias("first")).mapInArrow(
+        cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     )
 
 
