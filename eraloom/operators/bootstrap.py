@@ -12,13 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eraloom.functions.ordered import exact_percentiles, fit_splits, global_row_number
+from eraloom.functions.ordered import exact_percentiles, global_row_number
 from eraloom.functions.scalar import direction_label
 from eraloom.operators.metrics import (
     LOWER_IS_BETTER, PREDICTIVE_METRICS, equal_subject_weights, risk_metrics,
 )
-from eraloom.operators.resample import replicate_metrics
-from eraloom.schemas import DataContractError, duplicate_keys, join_null_safe
+from eraloom.operators.resample import cluster_indexes, replicate_metrics
+from eraloom.schemas import DataContractError, duplicate_keys
 from eraloom.session import materialize
 
 PAIR_KEY = ["row_id", "subject_id", "y_true"]
@@ -151,20 +151,13 @@ def paired_bootstrap(
         require_paired(pairs)
     pairs = materialize(pairs)
     keys = ["comparison", "task"]
-    found = fit_splits(pairs, ["score", "row_id"])
-    kw = {"score": "score", "splits": {"score": found["score"], "id": found["row_id"]}}
-    if equal_weight:
-        pairs = equal_subject_weights(pairs, [*keys, "side"])
-        kw |= {"weighted_top": True, "rank_clip": 1e-6}
-    point = _sides(_unpivot(
-        risk_metrics(pairs, [*keys, "side"], weight="weight" if equal_weight else None, **kw), [*keys, "side"], metrics,
-    ), [*keys, "metric"])
-    draws = comparison_draws(pairs, n_rep, seed)
-    reps = _sides(_unpivot(
-        replicate_metrics(
-            pairs, keys, draws, n_rep, kw["splits"], "weight" if equal_weight else None, equal_weight, kw.get("rank_clip")
-        ), [*keys, "rep", "side"], metrics,
-    ), [*keys, "rep", "metric"]).withColumn("delta", F.col("model_a_value") - F.col("model_b_value"))
+    rows = equal_subject_weights(pairs, [*keys, "side"]) if equal_weight else pairs
+    scored = materialize(replicate_metrics(
+        rows, keys, n_rep, seed, "weight" if equal_weight else None, equal_weight, 1e-6 if equal_weight else None
+    ))
+    values = _sides(_unpivot(scored, [*keys, "rep", "side"], metrics), [*keys, "rep", "metric"])
+    point = values.filter("rep < 0").drop("rep")
+    reps = values.filter("rep >= 0").withColumn("delta", F.col("model_a_value") - F.col("model_b_value"))
     return _delta_summary(point, reps, keys).join(_pair_sizes(pairs, keys), keys)
 
 
@@ -183,18 +176,12 @@ def comparison_draws(pairs: DataFrame, n_rep: int, seed: int, keys: Sequence[str
     comparisons with the same subjects get the same draws.
     """
     keys = list(keys)
-    placed = materialize(
-        global_row_number(pairs.select(*keys, "subject_id").distinct(), [*[F.col(k) for k in keys], F.col("subject_id")])
-    )
-    spans = placed.groupBy(*keys).agg(F.min("row_number").alias("first"), F.count("*").alias("n_clusters"))
-    index = join_null_safe(placed, spans, keys, "inner").select(
-        *keys, "subject_id", (F.col("row_number") - F.col("first")).alias("cluster_index"), "n_clusters"
-    )
-    index = materialize(index)
+    index = cluster_indexes(pairs, keys)
+    cohorts = index.select("n_clusters", "cluster_index").distinct()
     reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rep - 1).cast("long")))
-    drawn = index.select(*keys, "cluster_index", "n_clusters", reps.alias("rep"))
-    hits = drawn.groupBy(*keys, "rep", draw_hash(seed, "rep", "cluster_index", "n_clusters").alias("cluster_index")).agg(F.count("*").alias("mult"))
-    return join_null_safe(index, hits, [*keys, "cluster_index"], "inner").select(*keys, "subject_id", "rep", "mult")
+    drawn = cohorts.select("cluster_index", "n_clusters", reps.alias("rep"))
+    hits = drawn.groupBy("n_clusters", "rep", draw_hash(seed, "rep", "cluster_index", "n_clusters").alias("cluster_index")).agg(F.count("*").alias("mult"))
+    return index.join(hits, ["n_clusters", "cluster_index"]).select(*keys, "subject_id", "rep", "mult")
 
 
 def _delta_summary(point: DataFrame, reps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -229,12 +216,10 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Observed value and bootstrap interval of each metric per model."""
     df = materialize(df.select(*by, *PAIR_KEY, score))
-    found = fit_splits(df, [score, "row_id"])
-    kw = {"score": score, "splits": {"score": found[score], "id": found["row_id"]}}
-    observed = _unpivot(risk_metrics(df, by, **kw), by, metrics).withColumnRenamed("value", "observed")
-    draws = comparison_draws(df, n_rep, seed, by)
-    sampled = df.select(*by, *PAIR_KEY, F.col(score).alias("score"), F.lit("a").alias("side"))
-    reps = _unpivot(replicate_metrics(sampled, by, draws, n_rep, kw["splits"]), [*by, "rep"], metrics)
+    sided = df.select(*by, *PAIR_KEY, F.col(score).alias("score"), F.lit("a").alias("side"))
+    values = _unpivot(materialize(replicate_metrics(sided, by, n_rep, seed)), [*by, "rep"], metrics)
+    observed = values.filter("rep < 0").drop("rep").withColumnRenamed("value", "observed")
+    reps = values.filter("rep >= 0")
     stats = reps.filter(F.col("value").isNotNull()).groupBy(*by, "metric").agg(
         F.avg("value").alias("bootstrap_mean"), F.stddev_samp("value").alias("bootstrap_std"),
         F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"),
@@ -314,19 +299,16 @@ def interaction_bootstrap(
     rows = materialize(wide.select("task", *PAIR_KEY, F.explode(each).alias("r")).select("task", "r.role", *PAIR_KEY, "r.score"))
     if not rows.limit(1).count():
         raise DataContractError("the four versions have no example in common")
-    found = fit_splits(rows, ["score", "row_id"])
-    kw = {"score": "score", "splits": {"score": found["score"], "id": found["row_id"]}}
-
     def effect(m: DataFrame, keys: list[str]) -> DataFrame:
         at = lambda r: F.max(F.when(F.col("role") == r, F.col("value")))
         return _unpivot(m, [*keys, "role"], metrics).groupBy(*keys, "metric").agg(
             ((at("a2") - at("b2")) - (at("a1") - at("b1"))).alias("delta")
         )
 
-    point = effect(risk_metrics(rows, ["task", "role"], **kw), ["task"]).withColumnRenamed("delta", "point_interaction")
-    draws = comparison_draws(rows, n_rep, seed, ["task"])
-    sampled = replicate_metrics(rows.withColumnRenamed("role", "side"), ["task"], draws, n_rep, kw["splits"])
-    reps = effect(sampled.withColumnRenamed("side", "role"), ["task", "rep"])
+    scored = materialize(replicate_metrics(rows.withColumnRenamed("role", "side"), ["task"], n_rep, seed))
+    values = effect(scored.withColumnRenamed("side", "role"), ["task", "rep"])
+    point = values.filter("rep < 0").select("task", "metric", F.col("delta").alias("point_interaction"))
+    reps = values.filter("rep >= 0")
     both = reps.join(point, ["task", "metric"]).filter(F.col("delta").isNotNull())
     return both.groupBy("task", "metric").agg(
         F.max("point_interaction").alias("point_interaction"), *interval(),

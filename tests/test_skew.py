@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eraloom.functions.ordered import add_segment, asof_backward, calendar_day, exact_percentiles, fit_splits, global_row_number, running
-from eraloom.operators import bootstrap, eras, history, metrics
-from eraloom.operators.resample import block_metrics, replicate_metrics
+from eraloom.operators import bootstrap, eras, history, metrics, resample
 from eraloom.plans.dataset import Representation, prepare, represent
 from eraloom.schemas import EPISODE_KEY
 
@@ -126,29 +125,45 @@ def test_metrics_match_brute_force_with_hot_ties(spark):
     m = metrics.risk_metrics(df, ["g"], score="p", weight="w").first()
     want = brute(list(y), list(p), list(range(n)), list(w))
     assert (m.auroc, m.auprc, m.top_10pct_precision) == pytest.approx(want)
-    b = block_metrics(p, y, np.arange(n), w[:, None], 0.1, False)
-    assert (b["auroc"][0], b["auprc"][0], b["top_10pct_precision"][0]) == pytest.approx(want)
+    order = np.lexsort((np.arange(n), -p))
+    total, pos = w.sum(), w @ y
+    nothing = {k: np.zeros(1) for k in ("above_w", "above_p", "level_w", "level_p", "prior_w")} | {"all_w": np.array([total]), "all_p": np.array([pos])}
+    b = resample.segment_sums(p[order], y[order].astype(float), w[order][:, None], False, nothing, False)
+    assert (b["auc"][0] / pos / (total - pos), b["ap"][0] / pos, b["top"][0] / np.ceil(0.1 * total)) == pytest.approx(want)
 
 
-def test_replicate_paths_agree(spark):
-    """The block path and the score-table path give the same replicates; one subject holds a third of the rows."""
-    rng = np.random.default_rng(9)
-    n = 300
+def sided_rows(spark, n=300, levels=100, seed=9):
+    """Both sides of a comparison; one subject holds a third of the rows."""
+    rng = np.random.default_rng(seed)
     base = pd.DataFrame({"row_id": range(n), "subject_id": np.where(rng.random(n) < 0.34, 0, rng.integers(1, 60, n)), "y_true": rng.integers(0, 2, n)})
-    pairs = pd.concat([base.assign(side=s, score=np.round(rng.random(n), 2), comparison="c", task="t") for s in "ab"])
-    df = spark.createDataFrame(pairs)
-    keys = ["comparison", "task"]
-    draws = bootstrap.comparison_draws(df, 70, 42)
-    found = fit_splits(df, ["score", "row_id"])
-    splits = {"score": found["score"], "id": found["row_id"]}
-    for equal in (False, True):
-        rows = metrics.equal_subject_weights(df, [*keys, "side"]) if equal else df
-        args = dict(weight="weight" if equal else None, weighted_top=equal, rank_clip=1e-6 if equal else None)
-        a = replicate_metrics(rows, keys, draws, 70, splits, **args).toPandas().sort_values(["rep", "side"]).reset_index(drop=True)
-        b = replicate_metrics(rows, keys, draws, 70, splits, block_rows=0, **args).toPandas().sort_values(["rep", "side"]).reset_index(drop=True)
-        assert len(a) == len(b) == 140
-        for m in metrics.PREDICTIVE_METRICS:
-            assert np.allclose(a[m], b[m], equal_nan=True), m
+    return pd.concat([base.assign(side=s, score=np.floor(rng.random(n) * levels) / levels, comparison="c", task="t") for s in "ab"])
+
+
+@pytest.mark.parametrize("levels, cells, equal", [(100, 8_000_000, False), (100, 2000, True), (3, 2000, False), (1, 2000, False)])
+def test_replicates_equal_weighted_score_tables(spark, monkeypatch, levels, cells, equal):
+    """Merged ranking states give what the score tables of the drawn rows give, in one segment and in many, with heavy ties."""
+    monkeypatch.setattr(resample, "SEGMENT_CELLS", cells)
+    df = spark.createDataFrame(sided_rows(spark, levels=levels))
+    keys, n_rep = ["comparison", "task"], 70
+    rows = metrics.equal_subject_weights(df, [*keys, "side"]) if equal else df
+    got = resample.replicate_metrics(rows, keys, n_rep, 42, "weight" if equal else None, equal, 1e-6 if equal else None).toPandas()
+    assert len(got) == 2 * (n_rep + 1)
+    drawn = rows.join(bootstrap.comparison_draws(df, n_rep, 42), [*keys, "subject_id"])
+    observed = rows.withColumn("rep", F.lit(-1).cast("long")).withColumn("mult", F.lit(1).cast("long"))
+    both = drawn.unionByName(observed.select(*drawn.columns)).withColumn("mw", F.col("mult") * F.col("weight") if equal else F.col("mult").cast("double"))
+    want = metrics.risk_metrics(
+        both, [*keys, "rep", "side"], score="score", weight="mw", weighted_top=equal, rank_clip=1e-6 if equal else None
+    ).toPandas()
+    got, want = (x.sort_values(["rep", "side"]).reset_index(drop=True) for x in (got, want))
+    for m in metrics.PREDICTIVE_METRICS:
+        assert np.allclose(got[m], want[m], equal_nan=True), m
+
+
+def test_segments_are_bounded_when_one_score_holds_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(resample, "SEGMENT_CELLS", 2000)
+    df = spark.createDataFrame(sided_rows(spark, levels=1))
+    scores, heavy, ids = resample._cuts(df, 70)
+    assert heavy and len(ids) >= 600 * 70 // 2000 - 2
 
 
 def test_top_fraction_flags_each_row_once(spark):
