@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eraloom.catalog.dataset import BACKFILL, held_hist as hist, vocab_of
 from eraloom.catalog.evaluation import A, B, REPS, draws_sql, metrics_sql
-from eraloom.catalog.shared import HIST, LISTED, SCORES, era_sql, last_n_sql, once, r, rounded, scores
+from eraloom.catalog.shared import HIST, LISTED, SCORES, era_sql, last_n_sql, once, r, rounded, scores, timeline
 from eraloom.operators import metrics, perturb, robustness
 from eraloom.operators.predictions import with_baseline
 from eraloom.session import materialize
@@ -25,7 +25,7 @@ def add(name: str, sql: str | None = None):
 
 def plan_of(spark, d):
     def make():
-        e, v = perturb.candidate_plan(hist(spark, d), adapters.code_list(spark))
+        e, v = perturb.candidate_plan(timeline(spark, d))
         return materialize(e), materialize(v)
 
     return once(spark, d, "plan", make)
@@ -50,27 +50,28 @@ sel as (select vp.*, f from vp cross join fr where eligible_rank < ceil(n_eligib
 
 @add("cf1_candidate_stats", "with " + PLAN + " select * from cs")
 def stats(spark, d):
-    s = perturb.candidate_stats(hist(spark, d), adapters.code_list(spark))
+    t = timeline(spark, d)
+    s = perturb.candidate_stats(t, perturb.code_visits(t))
     return s.select("row_id", "code", "n_existing_visits", "n_existing_mentions", "first_diagnosis_time")
 
 
 @add("cf2_eligible_counts", "with " + PLAN + " select row_id, code, n_eligible_visits from cnt")
 def counts(spark, d):
-    h, codes = hist(spark, d), adapters.code_list(spark)
-    c = perturb.count_eligible(perturb.candidate_stats(h, codes), perturb.visit_times(h), perturb.code_visits(perturb.visit_rows(h), codes))
+    t = timeline(spark, d)
+    c = perturb.count_eligible(t, perturb.candidate_stats(t, perturb.code_visits(t)))
     return c.select("row_id", "code", "n_eligible_visits")
 
 
 @add("cf2_eligible_visits", "with " + PLAN + " select row_id, code as candidate_code, compression_bucket, visit_time from vp")
 def visits(spark, d):
-    h, codes = hist(spark, d), adapters.code_list(spark)
-    v = perturb.eligible_visits(plan_of(spark, d)[0], perturb.visit_times(h), perturb.code_visits(perturb.visit_rows(h), codes))
+    t = timeline(spark, d)
+    v = perturb.eligible_visits(t, plan_of(spark, d)[0], perturb.code_visits(t))
     return v.select("row_id", "candidate_code", "compression_bucket", "visit_time")
 
 
 @add("cf3_win10_candidate_plan", "with " + PLAN + " select row_id, code as candidate_code, n_existing_visits, n_existing_mentions, first_diagnosis_time, n_eligible_visits from ep")
 def plan(spark, d):
-    e, _ = perturb.candidate_plan(hist(spark, d), adapters.code_list(spark))
+    e, _ = perturb.candidate_plan(timeline(spark, d))
     return e.select("row_id", "candidate_code", "n_existing_visits", "n_existing_mentions", "first_diagnosis_time", "n_eligible_visits")
 
 
@@ -119,7 +120,7 @@ select t.row_id, t.f as requested_copy_fraction, count(*) as seq_len, sum(pos *
 
 def perturbed(spark, d, gap):
     e, v = plan_of(spark, d)
-    s = perturb.perturbed_sequences(hist(spark, d), e, perturb.select_fraction(v), adapters.code_list(spark), vocab_of(spark, d, BACKFILL), 64, gap)
+    s = perturb.perturbed_sequences(timeline(spark, d), e, perturb.select_fraction(v), vocab_of(spark, d, BACKFILL), 64, gap)
     tokens = F.aggregate(F.transform("token_ids", lambda x, i: x * (i + 1)), F.lit(0).cast("int"), lambda a, x: a + x)
     days = F.aggregate(F.transform("days_before_prediction", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return s.select(

@@ -195,7 +195,7 @@ def validity_tokens(ranked: DataFrame, points: DataFrame, gap_days: int) -> Data
     def held(since: Column, until: Column) -> dict[str, Column]:
         return {
             "valid_from": since, "valid_to": until.cast("timestamp_ntz"),
-            "event_rank": F.col("event_rank"),
+            "event_rank": F.col("event_rank"), "base_code": F.col("code"),
         }
 
     code, time, nxt, anchor = F.col("code"), F.col("time"), F.col("next_time"), F.col("source_event_id")
@@ -214,7 +214,7 @@ def validity_tokens(ranked: DataFrame, points: DataFrame, gap_days: int) -> Data
         "subject_id", "time", "code", "numeric_value", "text_value",
         F.lit(False).alias("is_compression_token"), F.col("source_event_id").alias("order_anchor_id"),
         F.lit(0).alias("role_order"), F.col("time").alias("valid_from"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_to"), "event_rank",
+        F.lit(None).cast("timestamp_ntz").alias("valid_to"), "event_rank", F.col("code").alias("base_code"),
     )
     return plain.unionByName(states)
 
@@ -304,21 +304,21 @@ def transformed_length() -> Column:
     return F.col("n_plain") + F.col("n_eras") + 2 * F.col("n_compressed")
 
 
-def backfill_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusive: bool = True) -> DataFrame:
-    """Last ``context`` tokens that hold at each prediction time, with positions.
+def held_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusive: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens that hold at each prediction time, from ``floor_rank`` on; ``extra`` columns of ``bounds`` come along.
 
     Episodes meet tokens on (subject, rank block) between ``floor_rank`` and the
     cutoff, so the pairs are bounded by the stretch that can matter.
     """
     wanted = bounds.filter("n_events > 0").select(
-        *EPISODE_KEY, "floor_rank", F.col("n_events").alias("__high"),
+        *EPISODE_KEY, *extra, "floor_rank", F.col("n_events").alias("__high"),
         F.least(transformed_length(), F.lit(context)).alias("__kept"),
         F.explode(blocks(F.col("floor_rank") - 1, F.col("n_events"), context)).alias("__block"),
     )
     placed = tokens.withColumn("__block", F.floor((F.col("event_rank") - 1) / F.lit(context)))
     cut = F.col("prediction_time")
     reached = (lambda c: c <= cut) if inclusive else (lambda c: c < cut)
-    held = (
+    return (
         wanted.join(placed, ["subject_id", "__block"])
         .filter(
             (F.col("event_rank") >= F.col("floor_rank")) & (F.col("event_rank") <= F.col("__high"))
@@ -327,6 +327,11 @@ def backfill_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusiv
         )
         .withColumn("days_before_prediction", whole_days("time", "prediction_time").cast("float"))
     )
+
+
+def backfill_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusive: bool = True) -> DataFrame:
+    """Last ``context`` tokens that hold at each prediction time, with positions."""
+    held = held_tokens(bounds, tokens, context, inclusive)
     back = Window.partitionBy("row_id", "task").orderBy(
         F.col("time").desc(), F.col("order_anchor_id").desc(), F.col("role_order").desc(), F.col("code").desc()
     )

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, functions as F
 
 from eraloom.functions.ordered import calendar_day, exact_percentiles, keep_by_order, running
 from eraloom.functions.scalar import ceil_fraction, copy_order_hash, fractional_days, safe_ratio
 from eraloom.operators import eras, history, sequences
-from eraloom.operators.history import HISTORY, mark_codes
+from eraloom.operators.history import HISTORY, legal
 from eraloom.operators.metrics import risk_metrics, spearman
 from eraloom.operators.predictions import with_baseline
 from eraloom.schemas import EPISODE_KEY, join_null_safe, require_none
 from eraloom.session import materialize
 
+if TYPE_CHECKING:
+    from eraloom.plans.dataset import Timeline
+
 # Fixed values of the protocol: fractions, minimum visits, seed and the id range of copied rows.
 FRACTIONS = (0.0, 0.25, 0.5, 1.0)
 MIN_VISITS = 2
@@ -23,55 +27,68 @@ COPY_ID_BASE = 7_000_000_000_000_000
 COPY_ID_STEP = 100_000
 
 
-def visit_rows(hist: DataFrame, split: str = "held_out") -> DataFrame:
-    return hist.filter((F.col("split") == split) & F.col("compression_bucket").startswith("reconstructed_visit="))
+def visit_events(timeline: Timeline) -> DataFrame:
+    """Events that lie in a reconstructed visit."""
+    return timeline.ranked.filter(F.col("compression_bucket").startswith("reconstructed_visit="))
 
 
-def code_visits(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Mentions of each listed code per episode and visit."""
-    listed = mark_codes(rows, codes).filter("is_compressible")
-    return listed.groupBy(*EPISODE_KEY, "code", "compression_bucket").agg(
-        F.count("*").alias("n_mentions"), F.min("time").alias("first_time")
-    )
+def subject_visits(timeline: Timeline) -> DataFrame:
+    """Visits of each subject with the time of their first event."""
+    return visit_events(timeline).groupBy("subject_id", "compression_bucket").agg(F.min("time").alias("visit_time"))
 
 
-def candidate_stats(hist: DataFrame, codes: DataFrame, min_visits: int = MIN_VISITS) -> DataFrame:
-    """Listed codes seen in enough visits of an episode."""
-    return enough_visits(code_visits(visit_rows(hist), codes), min_visits)
+def code_visits(timeline: Timeline) -> DataFrame:
+    """Listed codes of each subject by visit: the first mention, and the code's first mention in any visit."""
+    first = visit_events(timeline).filter("is_compressible").groupBy("subject_id", "code", "compression_bucket").agg(F.min("time").alias("first_time"))
+    start = first.groupBy("subject_id", "code").agg(F.min("first_time").alias("first_diagnosis_time"))
+    return first.join(start, ["subject_id", "code"])
 
 
-def enough_visits(existing: DataFrame, min_visits: int) -> DataFrame:
-    return existing.groupBy(*EPISODE_KEY, "code").agg(
-        F.count("*").alias("n_existing_visits"), F.sum("n_mentions").alias("n_existing_mentions"),
-        F.min("first_time").alias("first_diagnosis_time"),
-    ).filter(F.col("n_existing_visits") >= min_visits)
+def as_of(steps: DataFrame, asks: DataFrame, keys: list[str], counts: list[str], inclusive: bool = True) -> DataFrame:
+    """``counts`` of ``steps`` up to the time of each distinct row (keys, time) of ``asks``."""
+    asked = asks.select(*keys, "time", *[F.lit(0).alias(c) for c in counts], F.lit(1 if inclusive else -1).alias("side")).distinct()
+    both = steps.select(*keys, "time", *counts, F.lit(0).alias("side")).unionByName(asked).withColumn("__day", calendar_day("time"))
+    return running(both, keys, ["time", "side"], "__day", counts).filter("side <> 0").select(*keys, "time", *[f"cum_{c}" for c in counts])
 
 
-def visit_times(hist: DataFrame) -> DataFrame:
-    return visit_rows(hist).groupBy(*EPISODE_KEY, "compression_bucket").agg(F.min("time").alias("visit_time"))
+def candidate_stats(timeline: Timeline, held: DataFrame, min_visits: int = MIN_VISITS, split: str = "held_out") -> DataFrame:
+    """Listed codes seen in enough visits before the prediction, for the episodes of a split.
+
+    ``held`` comes from :func:`code_visits`. Every number is a running count
+    over a subject's mentions of a code, read off at the prediction time, so
+    episodes meet the codes of their subject and never its events.
+    ``n_later_held`` counts the code's visits that begin after its first mention.
+    """
+    keys = ["subject_id", "code"]
+    visits = held.join(subject_visits(timeline), ["subject_id", "compression_bucket"])
+    later = (F.col("visit_time") > F.col("first_diagnosis_time")).cast("int")
+    zero = F.lit(0)
+    mentions = visit_events(timeline).filter("is_compressible").select(*keys, "time", F.lit(1).alias("m"), zero.alias("v"), zero.alias("l"))
+    steps = mentions.unionByName(visits.select(*keys, F.col("first_time").alias("time"), zero.alias("m"), F.lit(1).alias("v"), later.alias("l")))
+    asks = timeline.labels.filter(F.col("split") == split).select(*EPISODE_KEY).join(
+        held.select(*keys, "first_diagnosis_time").distinct(), "subject_id"
+    ).filter(legal("first_diagnosis_time", timeline.inclusive))
+    known = as_of(steps, asks.withColumnRenamed("prediction_time", "time"), keys, ["m", "v", "l"], timeline.inclusive)
+    return asks.join(known.withColumnRenamed("time", "prediction_time"), [*keys, "prediction_time"]).select(
+        *EPISODE_KEY, "code", F.col("cum_v").alias("n_existing_visits"), F.col("cum_m").alias("n_existing_mentions"), "first_diagnosis_time",
+        F.col("cum_l").alias("n_later_held"),
+    ).filter(F.col("n_existing_visits") >= min_visits)
 
 
-def count_eligible(stats: DataFrame, visits: DataFrame, existing: DataFrame) -> DataFrame:
+def count_eligible(timeline: Timeline, stats: DataFrame) -> DataFrame:
     """Later visits without the code, counted without listing them.
 
-    The count is all later visits minus later visits that hold the code. Later
-    visits come from a running count over the episode's visits, so no
-    (code, visit) pairs are built.
+    All visits before the prediction, less those up to the code's first
+    mention, less the later ones that hold the code.
     """
-    keys = ["row_id", "task"]
-    marks = visits.select(*keys, F.col("visit_time").alias("t"), F.lit(0).alias("side"), F.lit(1).alias("one"))
-    asks = stats.select(*keys, F.col("first_diagnosis_time").alias("t"), F.lit(1).alias("side"), F.lit(0).alias("one")).distinct()
-    both = marks.unionByName(asks).withColumn("__day", calendar_day("t"))
-    upto = running(both, keys, ["t", "side"], "__day", ["one"]).filter("side = 1").select(
-        *keys, F.col("t").alias("first_diagnosis_time"), F.col("cum_one").alias("__upto")
-    )
-    total = visits.groupBy(*keys).agg(F.count("*").alias("__all"))
-    held = existing.join(visits, [*EPISODE_KEY, "compression_bucket"]).join(
-        stats.select(*keys, "code", "first_diagnosis_time"), [*keys, "code"]
-    ).groupBy(*keys, "code").agg(F.count_if(F.col("visit_time") > F.col("first_diagnosis_time")).alias("__held"))
-    out = stats.join(upto, [*keys, "first_diagnosis_time"]).join(total, keys).join(held, [*keys, "code"], "left")
-    n = F.col("__all") - F.col("__upto") - F.coalesce("__held", F.lit(0))
-    return out.select(*stats.columns, n.alias("n_eligible_visits")).filter("n_eligible_visits > 0")
+    steps = subject_visits(timeline).select("subject_id", F.col("visit_time").alias("time"), F.lit(1).alias("one"))
+    upto = as_of(steps, stats.select("subject_id", F.col("first_diagnosis_time").alias("time")), ["subject_id"], ["one"])
+    upto = upto.select("subject_id", F.col("time").alias("first_diagnosis_time"), F.col("cum_one").alias("__upto"))
+    seen = as_of(steps, stats.select("subject_id", F.col("prediction_time").alias("time")), ["subject_id"], ["one"], timeline.inclusive)
+    seen = seen.select("subject_id", F.col("time").alias("prediction_time"), F.col("cum_one").alias("__seen"))
+    out = stats.join(upto, ["subject_id", "first_diagnosis_time"]).join(seen, ["subject_id", "prediction_time"])
+    n = F.col("__seen") - F.col("__upto") - F.col("n_later_held")
+    return out.select(*[c for c in stats.columns if c != "n_later_held"], n.alias("n_eligible_visits")).filter("n_eligible_visits > 0")
 
 
 def pick_candidate(counted: DataFrame) -> DataFrame:
@@ -83,24 +100,24 @@ def pick_candidate(counted: DataFrame) -> DataFrame:
     return keep_by_order(counted, ["row_id", "task"], order).withColumnRenamed("code", "candidate_code")
 
 
-def candidate_plan(
-    hist: DataFrame, codes: DataFrame, min_visits: int = MIN_VISITS, seed: int = SELECTION_SEED,
-) -> tuple[DataFrame, DataFrame]:
+def candidate_plan(timeline: Timeline, min_visits: int = MIN_VISITS, seed: int = SELECTION_SEED) -> tuple[DataFrame, DataFrame]:
     """(episode plan, eligible visits with their copy rank)."""
-    # Both are small next to the history and are read by several branches below.
-    existing, visits = materialize(code_visits(visit_rows(hist), codes)), materialize(visit_times(hist))
-    counted = count_eligible(enough_visits(existing, min_visits), visits, existing)
+    held = materialize(code_visits(timeline))  # read by several branches below
+    counted = count_eligible(timeline, materialize(candidate_stats(timeline, held, min_visits)))
     episodes = materialize(pick_candidate(counted))
-    return episodes, rank_eligible(eligible_visits(episodes, visits, existing), seed)
+    return episodes, rank_eligible(eligible_visits(timeline, episodes, held), seed)
 
 
-def eligible_visits(episodes: DataFrame, visits: DataFrame, existing: DataFrame) -> DataFrame:
-    """Later visits of each episode in which its chosen code is absent."""
-    later = visits.join(
-        episodes.select("task", "row_id", "candidate_code", "n_eligible_visits", "first_diagnosis_time"), ["row_id", "task"]
-    ).filter(F.col("visit_time") > F.col("first_diagnosis_time"))
-    held = existing.select("task", "row_id", F.col("code").alias("candidate_code"), "compression_bucket")
-    return later.join(held, ["task", "row_id", "candidate_code", "compression_bucket"], "left_anti")
+def eligible_visits(timeline: Timeline, episodes: DataFrame, held: DataFrame) -> DataFrame:
+    """Later visits of each episode in which its chosen code is absent so far."""
+    wanted = episodes.select(*EPISODE_KEY, "candidate_code", "n_eligible_visits", "first_diagnosis_time")
+    later = wanted.join(subject_visits(timeline), "subject_id").filter(
+        (F.col("visit_time") > F.col("first_diagnosis_time")) & legal("visit_time", timeline.inclusive)
+    )
+    known = held.select("subject_id", F.col("code").alias("candidate_code"), "compression_bucket", "first_time")
+    same = [later[c] == known[c] for c in ("subject_id", "candidate_code", "compression_bucket")]
+    cut = known["first_time"] <= later["prediction_time"] if timeline.inclusive else known["first_time"] < later["prediction_time"]
+    return later.join(known, [*same, cut], "left_anti")
 
 
 def rank_eligible(visits: DataFrame, seed: int = SELECTION_SEED) -> DataFrame:
@@ -146,34 +163,45 @@ def per_fraction(df: DataFrame, fractions: Sequence[float]) -> DataFrame:
 
 
 def perturbed_long(
-    hist: DataFrame, episodes: DataFrame, selected: DataFrame, codes: DataFrame, context: int, gap_days: int | None,
-    fractions: Sequence[float] = FRACTIONS,
+    timeline: Timeline, episodes: DataFrame, selected: DataFrame, context: int, gap_days: int | None, fractions: Sequence[float] = FRACTIONS,
 ) -> DataFrame:
     """Final long rows for all fractions in one job; ``gap_days`` None is raw.
 
-    Eras of a code depend on that code's mentions only. Copies touch one code
-    per episode, so all other codes are compressed once and shared by the
-    fractions.
+    Copies touch one code per episode. The tokens of all other codes that hold
+    at the prediction time are taken from the shared timeline, at most
+    ``context`` of them, once for all fractions. Only the eras of the one code
+    are found anew, from its first mentions by visit and the copies.
     """
+    key = episodes.select("row_id", "task", "candidate_code")
     if gap_days is None:
-        injected = inject(hist, episodes, selected, fractions)
+        reach = timeline.reach().join(key, ["row_id", "task"], "left_semi")
+        window = history.raw_window(reach, timeline.ranked, context).select(*HISTORY)
+        injected = per_fraction(window, fractions).unionByName(copied_rows(selected))
         tokens = eras.raw_tokens(history.last_n(injected, context, history.RAW_ORDER, CAP_KEY), PERTURBED_KEY)
         return history.cap_and_place(tokens, context, CAP_KEY)
-    planned = hist.select(*HISTORY).join(episodes.select("row_id", "task", "candidate_code"), ["row_id", "task"])
-    own = F.col("code") == F.col("candidate_code")
-    shared = [c for c in PERTURBED_KEY if c != "requested_copy_fraction"]
-    rest = eras.condition_era(planned.filter(~own), codes, gap_days, shared)
-    copied = per_fraction(planned.filter(own).select(*HISTORY), fractions).unionByName(copied_rows(selected))
-    changed = eras.condition_era(copied, codes, gap_days, PERTURBED_KEY)
-    return history.cap_and_place(per_fraction(rest, fractions).unionByName(changed), context, CAP_KEY)
+    points = timeline.points(gap_days)
+    bounds = timeline.bounds(gap_days, context).join(key, ["row_id", "task"])
+    held = eras.held_tokens(bounds, eras.validity_tokens(timeline.ranked, points, gap_days), context, timeline.inclusive, ("candidate_code",))
+    rest = history.last_n(held.filter("base_code <> candidate_code"), context, history.TOKEN_ORDER)
+    rest = rest.select("row_id", "task", "prediction_time", *eras.TOKEN)
+    point = ["code", "compression_bucket", "time", "source_event_id", "numeric_value", "text_value"]
+    mine = points.withColumn("compression_bucket", F.lit(None).cast("string")).select("subject_id", *point)
+    wanted = episodes.select("row_id", "task", "subject_id", "prediction_time", F.col("candidate_code").alias("code"))
+    own = wanted.join(mine, ["subject_id", "code"]).filter(legal("time", timeline.inclusive))
+    both = per_fraction(own.select("row_id", "task", "prediction_time", *point), fractions).unionByName(
+        copied_rows(selected).select(*PERTURBED_KEY, *point)
+    )
+    changed = eras.compress_eras(eras.era_days(both.withColumn("n_mentions", F.lit(1)), PERTURBED_KEY, gap_days), PERTURBED_KEY, gap_days)
+    tokens = per_fraction(rest, fractions).unionByName(changed.select(*PERTURBED_KEY, *eras.TOKEN))
+    return history.cap_and_place(tokens, context, CAP_KEY)
 
 
 def perturbed_sequences(
-    hist: DataFrame, episodes: DataFrame, selected: DataFrame, codes: DataFrame, vocab: DataFrame,
-    context: int, gap_days: int | None, fractions: Sequence[float] = FRACTIONS,
+    timeline: Timeline, episodes: DataFrame, selected: DataFrame, vocab: DataFrame, context: int, gap_days: int | None,
+    fractions: Sequence[float] = FRACTIONS,
 ) -> DataFrame:
     """Encoded sequences per episode and fraction under a frozen vocabulary."""
-    long = perturbed_long(hist, episodes, selected, codes, context, gap_days, fractions)
+    long = perturbed_long(timeline, episodes, selected, context, gap_days, fractions)
     seqs = sequences.collect_sequences(sequences.encode_tokens(long, vocab), PERTURBED_KEY).drop("__times", "__anchors")
     copied = selected.groupBy(*CAP_KEY).agg(F.count("*").alias("n_copied_visits"))
     plan = episodes.select(

@@ -182,9 +182,9 @@ def test_no_copies_is_the_plain_rebuild(spark):
     codes = spark.createDataFrame([("A",), ("B",)], "code string")
     t = prepare(events(spark, rows), labels(spark, [(7, 1, "2024-12-31", 1, "held_out")]), codes)
     h = history.episode_history(t.labels, t.ranked.drop("is_compressible", "event_rank", "plain_rank"))
-    plan, visits = perturb.candidate_plan(h, codes)
+    plan, visits = perturb.candidate_plan(t)
     assert plan.count() == 1 and visits.count() == plan.first().n_eligible_visits > 1
-    long = perturb.perturbed_long(h, plan, perturb.select_fraction(visits), codes, 30, 3).select("requested_copy_fraction", "event_position", "code")
+    long = perturb.perturbed_long(t, plan, perturb.select_fraction(visits), 30, 3).select("requested_copy_fraction", "event_position", "code")
     plain = history.cap_and_place(eras.condition_era(h, codes, 3), 30).select("event_position", "code")
     zero = long.filter("requested_copy_fraction = 0").drop("requested_copy_fraction")
     assert zero.count() == plain.count() and not zero.exceptAll(plain).count()
