@@ -38,8 +38,8 @@ UNKNOWN = "und"
 # A word is hot with more than one in so many of all words, so there are fewer hot words than that.
 HOT = 1000
 # Words that a task sorts together before it hands them on, and words for each bucket.
-CHUNK_WORDS = 1_500_000
-BUCKET_WORDS = 3_000_000
+CHUNK_WORDS = 1_000_000
+BUCKET_WORDS = 1_500_000
 # Documents that Python gets at a time.
 BATCH_DOCS = 500
 
