@@ -195,7 +195,7 @@ def validity_tokens(ranked: DataFrame, points: DataFrame, gap_days: int) -> Data
     def held(since: Column, until: Column) -> dict[str, Column]:
         return {
             "valid_from": since, "valid_to": until.cast("timestamp_ntz"),
-            "event_rank": F.col("event_rank"), "base_code": F.col("code"),
+            "event_rank": F.col("event_rank"), "base_code": F.col("code"), "plain_rank": F.lit(None).cast("long"),
         }
 
     code, time, nxt, anchor = F.col("code"), F.col("time"), F.col("next_time"), F.col("source_event_id")
@@ -215,6 +215,7 @@ def validity_tokens(ranked: DataFrame, points: DataFrame, gap_days: int) -> Data
         F.lit(False).alias("is_compression_token"), F.col("source_event_id").alias("order_anchor_id"),
         F.lit(0).alias("role_order"), F.col("time").alias("valid_from"),
         F.lit(None).cast("timestamp_ntz").alias("valid_to"), "event_rank", F.col("code").alias("base_code"),
+        F.col("plain_rank").cast("long").alias("plain_rank"),
     )
     return plain.unionByName(states)
 
@@ -304,29 +305,68 @@ def transformed_length() -> Column:
     return F.col("n_plain") + F.col("n_eras") + 2 * F.col("n_compressed")
 
 
+# Days of the validity index: about 90 years before and after 1970; times beyond lie on its ends.
+DAY_LEVELS = 16
+
+
+def day_number(t: Column) -> Column:
+    """Calendar day as a number from 0 on."""
+    day = F.unix_date(F.to_date(t)) + (1 << DAY_LEVELS - 1)
+    return F.greatest(F.lit(0), F.least(day, F.lit((1 << DAY_LEVELS) - 1)))
+
+
+def day_nodes(first: Column, last: Column) -> Column:
+    """The day range as blocks of 1, 2, 4, ... aligned days, at most two of each size; as numbers."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low, high = F.ceil(first / size), F.floor((last + 1) / size)
+        key = lambda node: level.cast("long") * (1 << DAY_LEVELS + 2) + node
+        left = F.when((low < high) & (low % 2 == 1), key(low))
+        right = F.when((low < high) & (high % 2 == 1), key(high - 1))
+        return F.array(left, right)
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), at)
+    return F.filter(F.flatten(each), lambda x: x.isNotNull())
+
+
+def nodes_of_day(day: Column) -> Column:
+    """The aligned blocks that hold a day."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(DAY_LEVELS)),
+        lambda level: level.cast("long") * (1 << DAY_LEVELS + 2) + F.call_function("shiftright", day.cast("long"), level),
+    )
+
+
 def held_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusive: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Tokens that hold at each prediction time, from ``floor_rank`` on; ``extra`` columns of ``bounds`` come along.
+    """Tokens that can be among the last ``context`` ones that hold at each prediction time; ``extra`` columns of ``bounds`` come along.
 
-    Episodes meet tokens on (subject, rank block) between ``floor_rank`` and the
-    cutoff, so the pairs are bounded by the stretch that can matter.
+    Tokens of listed codes hold for a while. Each one's days are cut into
+    aligned blocks, and an episode looks up the blocks that hold its day, so it
+    meets the tokens that hold then, not the many that later mentions have
+    replaced. Plain tokens hold forever; an episode meets its last ``context``
+    of them, which lie in at most two blocks of plain ranks.
     """
-    wanted = bounds.filter("n_events > 0").select(
-        *EPISODE_KEY, *extra, "floor_rank", F.col("n_events").alias("__high"),
-        F.least(transformed_length(), F.lit(context)).alias("__kept"),
-        F.explode(blocks(F.col("floor_rank") - 1, F.col("n_events"), context)).alias("__block"),
-    )
-    placed = tokens.withColumn("__block", F.floor((F.col("event_rank") - 1) / F.lit(context)))
+    kept = F.least(transformed_length(), F.lit(context)).alias("__kept")
+    episodes = bounds.filter("n_events > 0").select(*EPISODE_KEY, *extra, "floor_rank", "n_plain", kept)
+    last_plain = episodes.filter("n_plain > 0").withColumn("__low", F.greatest(F.col("n_plain") - context, F.lit(0)))
+    last_plain = last_plain.withColumn("__block", F.explode(blocks(F.col("__low"), F.col("n_plain"), context)))
+    plain = tokens.filter(F.col("plain_rank").isNotNull()).withColumn("__block", F.floor((F.col("plain_rank") - 1) / F.lit(context)))
+    columns = [*EPISODE_KEY, *extra, "__kept", *[c for c in TOKEN if c != "days_before_prediction"], "base_code"]
+    always = last_plain.join(plain, ["subject_id", "__block"]).filter(
+        (F.col("plain_rank") > F.col("__low")) & (F.col("plain_rank") <= F.col("n_plain"))
+    ).select(*columns)
+
+    asked = episodes.withColumn("__node", F.explode(nodes_of_day(day_number(F.col("prediction_time")))))
+    until = F.when(F.col("valid_to").isNull(), F.lit((1 << DAY_LEVELS) - 1)).otherwise(day_number(F.col("valid_to")))
+    listed = tokens.filter(F.col("plain_rank").isNull() & F.col("valid_from").isNotNull())
+    listed = listed.withColumn("__node", F.explode(day_nodes(day_number(F.col("valid_from")), until)))
     cut = F.col("prediction_time")
     reached = (lambda c: c <= cut) if inclusive else (lambda c: c < cut)
-    return (
-        wanted.join(placed, ["subject_id", "__block"])
-        .filter(
-            (F.col("event_rank") >= F.col("floor_rank")) & (F.col("event_rank") <= F.col("__high"))
-            & reached(F.col("valid_from"))
-            & (F.col("valid_to").isNull() | ~reached(F.col("valid_to")))
-        )
-        .withColumn("days_before_prediction", whole_days("time", "prediction_time").cast("float"))
-    )
+    for_now = asked.join(listed, ["subject_id", "__node"]).filter(
+        reached(F.col("valid_from")) & (F.col("valid_to").isNull() | ~reached(F.col("valid_to"))) & (F.col("event_rank") >= F.col("floor_rank"))
+    ).select(*columns)
+    return always.unionByName(for_now).withColumn("days_before_prediction", whole_days("time", "prediction_time").cast("float"))
 
 
 def backfill_tokens(bounds: DataFrame, tokens: DataFrame, context: int, inclusive: bool = True) -> DataFrame:

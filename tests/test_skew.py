@@ -180,6 +180,44 @@ def test_no_cross_product_in_headline_plans(spark, hot_events, hot_labels):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_day_blocks_of_a_range_hold_exactly_its_days(spark):
+    rng = np.random.default_rng(2)
+    top = (1 << eras.DAY_LEVELS) - 1
+    ends = [(0, top), (0, 0), (top, top), (5, 5), (1, top)] + [tuple(sorted(rng.integers(0, top + 1, 2).tolist())) for _ in range(60)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "i int, a long, b long")
+    blocks = df.select("i", F.explode(eras.day_nodes(F.col("a"), F.col("b"))).alias("node"))
+    assert blocks.groupBy("i").count().agg(F.max("count")).first()[0] <= 2 * eras.DAY_LEVELS
+    near = sorted({d for a, b in ends for d in (a - 1, a, (a + b) // 2, b, b + 1) if 0 <= d <= top})
+    days = spark.createDataFrame([(d,) for d in near], "d long").select("d", F.explode(eras.nodes_of_day(F.col("d"))).alias("node"))
+    met = {}
+    for r in days.join(blocks, "node").select("i", "d").collect():
+        met[r.i, r.d] = met.get((r.i, r.d), 0) + 1
+    assert met == {(i, d): 1 for i, (a, b) in enumerate(ends) for d in near if a <= d <= b}
+
+
+def test_episodes_of_a_listed_heavy_subject_meet_held_tokens_only(spark):
+    """A subject with half of all rows, 99 in 100 of them mentions of listed codes: pairs grow with eras, not with mentions."""
+    rng = np.random.default_rng(5)
+    n = 8000
+    start = pd.Timestamp("2000-01-01")
+    heavy = rng.random(n) < 0.5
+    pdf = pd.DataFrame({
+        "subject_id": np.where(heavy, 0, rng.integers(1, 200, n)), "time": start + pd.to_timedelta(rng.integers(0, 10 * 365 * 24, n), unit="h"),
+        "code": np.where(rng.random(n) < 0.99, rng.choice(["A", "B"], n), "C"), "omop_table": "condition_occurrence",
+        "numeric_value": 0.0, "source_event_id": rng.permutation(n),
+    })
+    ask = pd.DataFrame({"task": "t", "row_id": range(100), "subject_id": 0, "prediction_time": start + pd.to_timedelta(rng.integers(365, 3650, 100), unit="D"), "label": 0, "split": "held_out"})
+    events = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz")).withColumn("text_value", F.lit(None).cast("string"))
+    labels = spark.createDataFrame(ask).withColumn("prediction_time", F.col("prediction_time").cast("timestamp_ntz"))
+    t = prepare(events, labels, spark.createDataFrame([("A",), ("B",)], "code string"))
+    held = eras.held_tokens(t.bounds(90, 64), eras.validity_tokens(t.ranked, t.points(90), 90), 64)
+    assert held.groupBy("row_id").count().agg(F.max("count")).first()[0] < 64 + 64
+    full = history.episode_history(t.labels, t.ranked.drop("is_compressible", "event_rank", "plain_rank"))
+    want = history.cap_and_place(eras.condition_era(full, t.codes, 90), 64).select(*eras.LONG)
+    got = represent(t, Representation("x", "condition_era", "backfill", 64, 90)).select(*eras.LONG)
+    assert got.count() == want.count() and not got.exceptAll(want).count()
+
+
 def test_subject_day_is_the_widest_ordered_group(hot_events):
     df, pdf = hot_events
     largest = df.groupBy("subject_id", calendar_day("time")).count().agg(F.max("count")).first()[0]
