@@ -367,9 +367,8 @@ def relative(spark, d):
     return rounded(report.relative_benefit(boot_rows(spark, d)).select("metric", "relative_benefit_pct", "relative_ci_low_pct", "relative_ci_high_pct"), 4)
 
 
-INTEGRITY = "with " + HELD + """, cov as (select count(*) filter (where row_id % 100 = 5) as n from (select distinct row_id from held union select o_orderkey from orders)),
-pr as (select compression_version, count(distinct seed) as s from held group by 1), gr as (select compression_version, requested_copy_fraction, count(distinct seed) as s from scores where split = 'held_out' group by 1, 2),
-v as (select 'split_leakage_audit_all_checks_ok' as "check", (select (n > 0)::int from cov)::bigint as n_violations union all select 'all_representation_invariants_pass', 0
+INTEGRITY = "with " + HELD + """, pr as (select compression_version, count(distinct seed) as s from held group by 1), gr as (select compression_version, requested_copy_fraction, count(distinct seed) as s from scores where split = 'held_out' group by 1, 2),
+v as (select 'split_leakage_audit_all_checks_ok' as "check", (select count(*) from (""" + CATALOG["dq10_audit_status"][1] + """) where status <> 'OK')::bigint as n_violations union all select 'all_representation_invariants_pass', 0
 union all select 'wide_predictions_have_no_duplicate_keys', (select count(*) - count(distinct (compression_version, seed, row_id)) from held) union all select 'predictions_cover_all_pairs', abs((select count(*) from pr) - 2)
 union all select 'predictions_cover_all_seeds', (select count(*) from pr where s <> 5) union all select 'wide_predictions_only_held_out', (select count(*) from held where split <> 'held_out')
 union all select 'risk_raw_matches_sigmoid_logit', (select count(*) from held where abs(risk_raw - 1 / (1 + exp(-logit))) > 1e-10) union all select 'prediction_probabilities_in_unit_interval', (select count(*) from held where not (risk_raw between 0 and 1 and risk_calibrated between 0 and 1))
@@ -380,12 +379,11 @@ union all select 'zero_percent_baseline_agreement_was_recorded', abs((select sum
 @add("dq19_integrity_checks", INTEGRITY)
 def integrity(spark, d):
     t = timeline(spark, d)
-    clean = core(spark, d).filter("source_name in ('labels', 'missing')")
     window = history.raw_window(t.cutoffs(90), t.ranked, 64)
     zero = held(spark, d)
     ens_rows = perturbed_ensemble(spark, d)
     return report.integrity_checks(
-        splits.audit_status(clean, adapters.subject_splits(spark, d)), audit.check_no_backfill(long_of(spark, d, NO_BACKFILL), window),
+        splits.audit_status(core(spark, d), adapters.subject_splits(spark, d)), audit.check_no_backfill(long_of(spark, d, NO_BACKFILL), window),
         zero, metrics.risk_metrics(ens(spark, d), ["task", "compression_version"]), ens_rows,
         perturb.baseline_agreement(zero, zero, ["task", "compression_version", "seed"]), 2, 5, 8,
     )

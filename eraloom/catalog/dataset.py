@@ -434,35 +434,64 @@ def persistent_stats(spark, d):
 AUDIT_BASE = f""",
 full_stats as (select row_id, count(*) as n, min(time) as t0, max(time) as t1, count(*) filter (where code in {LISTED}) as persist,
     count(distinct case when code in {LISTED} then code end) as codes from history group by row_id),
-win_stats as (select row_id, count(*) as wn, min(time) as wt0, arg_min(source_event_id, (time, source_event_id)) as wid, count(*) filter (where code in {LISTED}) as wpersist from win group by row_id)
+win_stats as (select row_id, count(*) as wn, min(time) as wt0, max(time) as wt1, arg_min(source_event_id, (time, source_event_id)) as wid, count(*) filter (where code in {LISTED}) as wpersist,
+    count(distinct case when code in {LISTED} then code end) as wcodes from win group by row_id)
 """
 
 
-@add("pip10_history_audit", "with " + WINDOW + AUDIT_BASE + """
-select f.row_id, n as original_history_len, t1 as original_latest_time, wn as raw_window_len, wt0 as raw_window_boundary_time, wid as raw_window_boundary_source_event_id,
-    n as transformation_input_len, persist as n_persistent_events_original, codes as n_unique_persistent_codes_original, wpersist as n_persistent_events_raw_window,
-    (n > 64)::int::bigint as was_raw_window_truncated from full_stats f join win_stats w on f.row_id = w.row_id""")
-def history_audit(spark, d):
-    t = timeline(spark, d)
-    bounds = eras.window_bounds(t.cutoffs(90), t.ranked, CONTEXT)
-    a = audit.history_audit(bounds, CONTEXT, "backfill").filter("original_history_len > 0")
-    return rounded(a.drop("task", "subject_id", "prediction_time", "label", "split", "n_persistent_events_transform_input"))
+def exclusive(sql: str) -> str:
+    """The same query with events strictly before the prediction only."""
+    assert "b.time <= l.prediction_time" in sql
+    return sql.replace("b.time <= l.prediction_time", "b.time < l.prediction_time")
+
+
+def exclusive_timeline(spark, d):
+    """Episodes see only what lies before their prediction, so some have no history."""
+    from eraloom.plans.dataset import prepare
+
+    return once(spark, d, "exclusive timeline", lambda: prepare(
+        events(spark, d), adapters.episode_labels(spark, d), adapters.code_list(spark), inclusive=False
+    ))
+
+
+def history_audit_sql(mode: str) -> str:
+    size, persist, codes = ("wn", "wpersist", "wcodes") if mode == "no_backfill" else ("n", "persist", "codes")
+    return "with " + WINDOW + AUDIT_BASE + f"""
+select l.row_id, coalesce(n, 0) as original_history_len, t0 as original_earliest_time, t1 as original_latest_time, coalesce(wn, 0) as raw_window_len, wt0 as raw_window_boundary_time,
+    wid as raw_window_boundary_source_event_id, wt1 as raw_window_latest_time, coalesce({size}, 0) as transformation_input_len, coalesce(persist, 0) as n_persistent_events_original,
+    coalesce(codes, 0) as n_unique_persistent_codes_original, coalesce(wpersist, 0) as n_persistent_events_raw_window, coalesce(wcodes, 0) as n_unique_persistent_codes_raw_window,
+    coalesce({persist}, 0) as n_persistent_events_transform_input, coalesce({codes}, 0) as n_unique_persistent_codes_transform_input, (coalesce(n, 0) > 64)::int::bigint as was_raw_window_truncated
+    from labels l left join full_stats f on l.row_id = f.row_id left join win_stats w on l.row_id = w.row_id"""
+
+
+def history_audit_query(mode: str, of=timeline):
+    def run(spark, d):
+        t = of(spark, d)
+        a = audit.history_audit(t.bounds(90, CONTEXT), t.window_codes(90, CONTEXT), CONTEXT, mode)
+        return rounded(a.drop("task", "subject_id", "prediction_time", "label", "split"))
+
+    return run
+
+
+CATALOG["pip10_history_audit"] = (history_audit_query("backfill"), history_audit_sql("backfill"))
+CATALOG["pip10_ag19_history_audit_no_backfill"] = (history_audit_query("no_backfill"), history_audit_sql("no_backfill"))
+CATALOG["pip10_history_audit_exclusive"] = (history_audit_query("no_backfill", exclusive_timeline), exclusive(history_audit_sql("no_backfill")))
 
 
 TRANSFORM = """
-select row_id, count(*) as transformed_history_len_before_truncation, sum(a_persist)::bigint as persistent_events_accounted_by_transform,
-    sum(a_rep)::bigint as n_repeats_removed, sum(a_dup)::bigint as n_visit_day_duplicates_removed, sum(a_era)::bigint as n_era_repeat_mentions_removed,
-    sum(a_eras)::bigint as n_condition_eras, sum(a_comp)::bigint as n_compressed_eras from {t} group by row_id
+select l.row_id, count(t.row_id) as transformed_history_len_before_truncation, coalesce(sum(a_persist), 0)::bigint as persistent_events_accounted_by_transform,
+    coalesce(sum(a_rep), 0)::bigint as n_repeats_removed, coalesce(sum(a_dup), 0)::bigint as n_visit_day_duplicates_removed, coalesce(sum(a_era), 0)::bigint as n_era_repeat_mentions_removed,
+    coalesce(sum(a_eras), 0)::bigint as n_condition_eras, coalesce(sum(a_comp), 0)::bigint as n_compressed_eras from labels l {how} join {t} t on t.row_id = l.row_id group by l.row_id
 """
 
 
-@add("pip11_transform_audit", "with " + HIST + era_sql("history") + TRANSFORM.format(t="tokens"))
+@add("pip11_transform_audit", "with " + HIST + era_sql("history") + TRANSFORM.format(t="tokens", how="left"))
 def transform_audit(spark, d):
     a = audit.transform_audit_from_cutoffs(timeline(spark, d).cutoffs(90), raw=False)
-    return rounded(a.filter("transformed_history_len_before_truncation > 0").drop("task", "subject_id", "prediction_time", "label", "split"))
+    return rounded(a.drop("task", "subject_id", "prediction_time", "label", "split"))
 
 
-@add("pip11_transform_audit_by_tokens", "with " + NO_BACKFILL_LONG + TRANSFORM.format(t="tokens_nb"))
+@add("pip11_transform_audit_by_tokens", "with " + NO_BACKFILL_LONG + TRANSFORM.format(t="tokens_nb", how=""))
 def transform_audit_tokens(spark, d):
     t = timeline(spark, d)
     from eraloom.plans.dataset import no_backfill_tokens
@@ -477,11 +506,12 @@ def final_sql(long: str, tokens: str, mode: str) -> str:
     return AUDIT_BASE + f""",
 tr as (select row_id, count(*) as tn, sum(a_rep)::bigint as rep from {tokens} group by row_id),
 fin as (select row_id, count(*) as fn, min(time) as ft0, max(time) as ft1, max(days_before_prediction) as far from {long} group by row_id)
-select f.row_id, tn as transformed_history_len, rep as n_repeats_removed, fn as final_seq_len, ({any_cut})::int::bigint as was_truncated, (tn > 64)::int::bigint as was_transformed_truncated,
+select l.row_id, coalesce(tn, 0) as transformed_history_len, coalesce(rep, 0) as n_repeats_removed, coalesce(fn, 0) as final_seq_len, coalesce({any_cut}, false)::int::bigint as was_truncated,
+    coalesce(tn > 64, false)::int::bigint as was_transformed_truncated,
     ft0 as earliest_retained_time, ft1 as latest_retained_time, cast(far as double) as earliest_retained_days_before_prediction,
     cast(date_sub('day', ft0, l.prediction_time) as double) as covered_days, cast(date_sub('day', ft0, ft1) as double) as retained_calendar_span_days,
     cast({added} as bigint) as n_backfill_events_added
-from full_stats f join win_stats w on f.row_id = w.row_id join tr on tr.row_id = f.row_id join fin on fin.row_id = f.row_id join labels l on l.row_id = f.row_id
+from labels l left join full_stats f on f.row_id = l.row_id left join win_stats w on l.row_id = w.row_id left join tr on tr.row_id = l.row_id left join fin on fin.row_id = l.row_id
 """
 
 
@@ -493,7 +523,7 @@ FINAL_COLS = [
 
 def final_query(spec):
     def run(spark, d):
-        return rounded(examples_of(spark, d, spec)[0].filter("original_history_len > 0").select(*FINAL_COLS))
+        return rounded(examples_of(spark, d, spec)[0].select(*FINAL_COLS))
 
     return run
 
@@ -501,6 +531,21 @@ def final_query(spec):
 CATALOG["pip12_final_audit_backfill"] = (final_query(BACKFILL), "with " + WINDOW + era_sql("history") + last_n_sql("tokens", "long") + final_sql("long", "tokens", "backfill"))
 CATALOG["pip12_jn12_final_audit_no_backfill"] = (final_query(NO_BACKFILL), "with " + NO_BACKFILL_LONG + final_sql("long_nb", "tokens_nb", "no_backfill"))
 
+
+def final_exclusive_query(spec):
+    def run(spark, d):
+        return rounded(build_examples(exclusive_timeline(spark, d), spec)[0].select(*FINAL_COLS))
+
+    return run
+
+
+CATALOG["pip12_final_audit_backfill_exclusive"] = (
+    final_exclusive_query(BACKFILL), exclusive("with " + WINDOW + era_sql("history") + last_n_sql("tokens", "long") + final_sql("long", "tokens", "backfill")),
+)
+CATALOG["pip12_final_audit_no_backfill_exclusive"] = (
+    final_exclusive_query(NO_BACKFILL), exclusive("with " + NO_BACKFILL_LONG + final_sql("long_nb", "tokens_nb", "no_backfill")),
+)
+
 VOCAB = """,
 counts as (select t.code, count(*) as n from long t join labels l on t.row_id = l.row_id where l.split = 'train' group by t.code),
 vocab as (select code, 2 + row_number() over (order by n desc, code) as token_id from counts union all select * from (values ('<PAD>', 0), ('<UNK>', 1), ('<CLS>', 2)))
@@ -557,17 +602,15 @@ def examples(spark, d):
 @add("pip14_empty_history", "with " + BASE + """, h as (select l.row_id, b.time from labels l left join base b on l.subject_id = b.subject_id and b.time < l.prediction_time)
 select count(*) filter (where n = 0) as n_empty, count(*) as n_examples, sum(least(n, 64))::bigint as n_tokens from (select row_id, count(time) as n from h group by row_id)""")
 def empty_history(spark, d):
-    from eraloom.plans.dataset import prepare
-
-    t = prepare(adapters.clinical_events(spark, d), adapters.episode_labels(spark, d), adapters.code_list(spark), inclusive=False)
-    ex, _, _ = build_examples(t, RAW)
+    ex, _, _ = build_examples(exclusive_timeline(spark, d), RAW)
     return ex.agg(F.count_if(F.col("seq_len") == 0).alias("n_empty"), F.count("*").alias("n_examples"), F.sum(F.size("token_ids")).alias("n_tokens"))
 
 
 @add("ag10_fn15_array_counts", "with " + EXAMPLES + """
-select row_id, count(distinct token_id) as n_distinct, count(distinct code) as n_codes, count(*) filter (where regexp_matches(code, '^DX_ERA90_(START|END|COUNT_BIN)/')) as n_state from enc group by row_id""")
+select l.row_id, count(distinct token_id) as n_distinct, count(distinct code) as n_codes, count(*) filter (where regexp_matches(code, '^DX_ERA90_(START|END|COUNT_BIN)/')) as n_state
+from labels l left join enc e on e.row_id = l.row_id group by l.row_id""")
 def array_counts(spark, d):
-    ex = examples_of(spark, d, BACKFILL)[0].filter("seq_len > 0")
+    ex = examples_of(spark, d, BACKFILL)[0]
     state = F.filter("codes", lambda c: c.rlike(structural_pattern(90)))
     return ex.select("row_id", F.size(F.array_distinct("token_ids")).cast("long").alias("n_distinct"), F.size(F.array_distinct("codes")).cast("long").alias("n_codes"), F.size(state).cast("long").alias("n_state"))
 
@@ -589,10 +632,11 @@ def numeric_stats(spark, d):
 @add("pip16_sequence_features", "with " + NUM_STATS + """, feat as (select e.row_id, ln(1 + greatest(days_before_prediction, 0)) as b, ln(1 + greatest(delta, 0)) as g,
     case when numeric_value is null then 0 else least(greatest((numeric_value - mean) / greatest(std, 1e-6), -10), 10) end as z, (numeric_value is not null)::int as p
     from (select *, max(pos) over (partition by row_id) as len from enc) e join tstats s on e.token_id = s.token_id where pos > len - 32)
-select row_id, count(*) as n, round(sum(b), 4) as days_sum, round(sum(g), 4) as delta_sum, round(sum(z), 4) as z_sum, sum(p)::bigint as n_present from feat group by row_id""")
+select l.row_id, count(f.row_id) as n, round(coalesce(sum(b), 0), 4) as days_sum, round(coalesce(sum(g), 0), 4) as delta_sum, round(coalesce(sum(z), 0), 4) as z_sum, coalesce(sum(p), 0)::bigint as n_present
+from labels l left join feat f on f.row_id = l.row_id group by l.row_id""")
 def features(spark, d):
     ex, v, _ = examples_of(spark, d, BACKFILL)
-    s = sequences.sequence_features(ex.filter("seq_len > 0"), sequences.token_numeric_stats(ex, v), 32)
+    s = sequences.sequence_features(ex, sequences.token_numeric_stats(ex, v), 32)
     total = lambda c: r(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
     return s.select(
         "row_id", F.size("token_id").cast("long").alias("n"), total("log_days_before").alias("days_sum"), total("log_delta_days").alias("delta_sum"),
@@ -773,9 +817,10 @@ def bins(spark, d):
 
 
 @add("fn14_slice_and_pad", "with " + EXAMPLES + """, t as (select row_id, pos, token_id, max(pos) over (partition by row_id) as len from enc)
-select row_id, string_agg(token_id::varchar, ' ' order by pos) || repeat(' 0', (10 - least(any_value(len), 10))::int) as tokens from t where pos > len - 10 group by row_id""")
+select l.row_id, array_to_string(list_concat(coalesce(list(token_id order by pos) filter (where pos > len - 10), []), range(0, 10)).list_transform(lambda x, i: case when i <= least(coalesce(any_value(len), 0), 10) then x else 0 end)[1:10], ' ') as tokens
+from labels l left join t on t.row_id = l.row_id group by l.row_id""")
 def slice_pad(spark, d):
-    ex = examples_of(spark, d, BACKFILL)[0].filter("seq_len > 0").select("row_id", sequences.last_elements("token_ids", 10).alias("t"))
+    ex = examples_of(spark, d, BACKFILL)[0].select("row_id", sequences.last_elements("token_ids", 10).alias("t"))
     ex = ex.withColumn("goal", F.array_repeat(F.lit(0), 10))
     return ex.select("row_id", F.array_join(sequences.padded("t", "goal", F.lit(0)), " ").alias("tokens"))
 

@@ -261,9 +261,9 @@ ts as (select {GRP}, count(*) filter (where b) as n_top_at_0, count(*) filter (w
 """
 
 
-@add("cf12_fn17_top_membership", "with " + PENS + TOP_PART + f" select {GRP}, row_id, top10_status from mb where top10_status <> 'outside'")
+@add("cf12_fn17_top_membership", "with " + PENS + TOP_PART + f" select {GRP}, row_id, top10_status from mb")
 def membership(spark, d):
-    return robustness.top_membership(perturbed_ensemble(spark, d)).filter("top10_status <> 'outside'").select(*GRP.split(", "), "row_id", "top10_status")
+    return robustness.top_membership(perturbed_ensemble(spark, d)).select(*GRP.split(", "), "row_id", "top10_status")
 
 
 @add("cf13_fn20_top_stability", "with " + PENS + TOP_PART + f""" select {GRP}, n_top_at_0, n_top_perturbed, n_overlap, round(retention_fraction, 6) as retention_fraction, round(jaccard, 6) as jaccard, round(churn_fraction, 6) as churn_fraction, rp as n_retained_positive,

@@ -30,21 +30,30 @@ def persistent_stats(history: DataFrame, flag: str, suffix: str, keys: list[str]
     )
 
 
-def history_audit(bounds: DataFrame, context: int, window_mode: str) -> DataFrame:
-    """Lengths, boundary event and listed counts, read off the cutoffs."""
+def history_audit(bounds: DataFrame, codes: DataFrame, context: int, window_mode: str) -> DataFrame:
+    """Lengths, boundary event and listed counts, read off the cutoffs.
+
+    ``codes`` comes from :func:`eras.window_codes`. An episode without events
+    has zeros, and no times.
+    """
     n, listed = F.col("n_events"), F.col("n_events") - F.col("n_plain")
     window = F.least(n, F.lit(context))
     only_window = window_mode == "no_backfill"
-    return bounds.select(
-        *EPISODE_KEY, n.cast("int").alias("original_history_len"), "original_latest_time",
+    in_window = F.col("n_codes_in_window")
+    return bounds.join(codes, ["row_id", "task"]).select(
+        *EPISODE_KEY, n.cast("int").alias("original_history_len"), "original_earliest_time", "original_latest_time",
         window.cast("int").alias("raw_window_len"),
-        "raw_window_boundary_time", "raw_window_boundary_source_event_id",
+        F.when(n > 0, F.col("raw_window_boundary_time")).alias("raw_window_boundary_time"),
+        F.when(n > 0, F.col("raw_window_boundary_source_event_id")).alias("raw_window_boundary_source_event_id"),
+        F.when(n > 0, F.col("original_latest_time")).alias("raw_window_latest_time"),
         (window if only_window else n).cast("int").alias("transformation_input_len"),
         listed.cast("int").alias("n_persistent_events_original"),
         F.col("n_codes").cast("int").alias("n_unique_persistent_codes_original"),
-        F.col("n_listed_in_window").cast("int").alias("n_persistent_events_raw_window"),
-        (F.col("n_listed_in_window") if only_window else listed).cast("int")
+        F.when(n > 0, F.col("n_listed_in_window")).otherwise(0).cast("int").alias("n_persistent_events_raw_window"),
+        in_window.cast("int").alias("n_unique_persistent_codes_raw_window"),
+        F.when(n > 0, F.col("n_listed_in_window") if only_window else listed).otherwise(0).cast("int")
         .alias("n_persistent_events_transform_input"),
+        (in_window if only_window else F.col("n_codes")).cast("int").alias("n_unique_persistent_codes_transform_input"),
         (n > context).alias("was_raw_window_truncated"),
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eraloom.functions.ordered import calendar_day
+from eraloom.functions.ordered import calendar_day, running
 from eraloom.functions.scalar import (
     count_bin, era_prefix, strip_structure, structural_pattern, whole_days,
 )
@@ -301,6 +301,42 @@ def window_bounds(cutoffs: DataFrame, ranked: DataFrame, context: int) -> DataFr
     )
 
 
+def window_codes(cutoffs: DataFrame, ranked: DataFrame, context: int) -> DataFrame:
+    """Per episode: distinct listed codes among its last ``context`` events, and the time of its first event.
+
+    A mention at rank r whose code came last at rank p is the first of its code
+    in the windows that end from max(r, p + context) to r + context - 1. So the
+    number of distinct codes is a running sum over the ranks at which windows
+    end, read off at the episode's last event; no window is looked at.
+    """
+    keys = ["subject_id", "code"]
+    listed = ranked.filter("is_compressible").select(*keys, "event_rank", calendar_day("time").alias("day"))
+    days = listed.groupBy(*keys, "day").agg(F.max("event_rank").alias("__last"))
+    days = days.select(*keys, "day", F.lag("__last").over(Window.partitionBy(*keys).orderBy("day")).alias("__before"))
+    in_day = Window.partitionBy(*keys, "day").orderBy("event_rank")
+    previous = F.coalesce(F.lag("event_rank").over(in_day), F.col("__before"))
+    spans = listed.join(days, [*keys, "day"]).select(
+        "subject_id", F.col("event_rank").alias("r"), F.coalesce(F.greatest(F.col("event_rank"), previous + context), F.col("event_rank")).alias("since")
+    ).filter(F.col("since") < F.col("r") + context)
+    ends = F.explode(F.array(
+        F.struct(F.col("since").alias("rank"), F.lit(1).alias("step")), F.struct((F.col("r") + context).alias("rank"), F.lit(-1).alias("step")),
+    ))
+    steps = spans.select("subject_id", ends.alias("e")).groupBy("subject_id", "e.rank").agg(F.sum("e.step").alias("step"))
+    asked = cutoffs.select("subject_id", F.col("n_events").alias("rank")).distinct()
+    both = steps.select("subject_id", "rank", "step", F.lit(0).alias("side")).unionByName(
+        asked.select("subject_id", "rank", F.lit(0).cast("long").alias("step"), F.lit(1).alias("side"))
+    ).withColumn("__seg", F.floor(F.col("rank") / F.lit(4096)))
+    known = running(both, ["subject_id"], ["rank", "side"], "__seg", ["step"]).filter("side = 1").select(
+        "subject_id", F.col("rank").alias("n_events"), F.col("cum_step").alias("n_codes_in_window")
+    )
+    start = ranked.groupBy("subject_id").agg(F.min("time").alias("__start"))
+    out = cutoffs.select(*EPISODE_KEY, "n_events").join(known, ["subject_id", "n_events"], "left").join(start, "subject_id", "left")
+    return out.select(
+        "row_id", "task", F.coalesce("n_codes_in_window", F.lit(0)).alias("n_codes_in_window"),
+        F.when(F.col("n_events") > 0, F.col("__start")).alias("original_earliest_time"),
+    )
+
+
 def transformed_length() -> Column:
     return F.col("n_plain") + F.col("n_eras") + 2 * F.col("n_compressed")
 

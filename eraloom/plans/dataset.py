@@ -64,6 +64,9 @@ class Timeline:
             self._bounds[key] = materialize(eras.window_bounds(self.cutoffs(gap_days), self.ranked, context))
         return self._bounds[key]
 
+    def window_codes(self, gap_days: int | None, context: int) -> DataFrame:
+        return eras.window_codes(self.cutoffs(gap_days), self.ranked, context)
+
 
 def prepare(
     events: DataFrame, labels: DataFrame, codes: DataFrame, max_days: int = 1, inclusive: bool = True,
@@ -109,7 +112,8 @@ def episode_audit(timeline: Timeline, spec: Representation, seqs: DataFrame, lis
         transform = audit.transform_audit(no_backfill_tokens(timeline, window, spec.gap_days), ["row_id", "task"])
     else:
         transform = audit.transform_audit_from_cutoffs(cutoffs, raw=spec.kind == "raw")
-    return audit.final_audit(audit.history_audit(bounds, n, mode), transform, seqs, n, mode, list_id, sha)
+    found = audit.history_audit(bounds, timeline.window_codes(spec.gap_days, n), n, mode)
+    return audit.final_audit(found, transform, seqs, n, mode, list_id, sha)
 
 
 def build_examples(
