@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.functions.ordered import add_segment, global_row_number
+from eraloom.functions.ordered import add_segment, global_row_number, segment_count
 from eraloom.operators.metrics import PREDICTIVE_METRICS
 from eraloom.schemas import join_null_safe
 from eraloom.session import materialize
@@ -38,6 +38,9 @@ STATE_BLOCK = 128
 # Replicates that a task scores at a time.
 SCORED = 64
 TOP = 0.10
+# Draws of a task, and most tasks of a step.
+TASK_DRAWS = 250_000
+MOST_TASKS = 20_000
 
 STATE = "block int, w binary, p binary"
 CARRY = "block int, above_w binary, above_p binary, level_w binary, level_p binary, prior_w binary, all_w binary, all_p binary"
@@ -101,7 +104,10 @@ def draw_vectors(index: DataFrame, n_rep: int, seed: int) -> DataFrame:
             pa.array([n] * width, pa.int64()), pa.array(c * chunk + np.arange(width), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()),
         ], names=["n_clusters", "cluster_index", "draws"])
 
-    hits = index.select("n_clusters", "cluster_index").distinct().mapInArrow(draw, "n_clusters long, chunk long, hits binary, reps binary")
+    # The work is in the draws, not in the bytes of their places, so adaptive plans must not gather it in few tasks.
+    tasks = max(1, min(MOST_TASKS, index.count() * n_rep // TASK_DRAWS))
+    places = index.select("n_clusters", "cluster_index").distinct().repartition(tasks, "n_clusters", "cluster_index")
+    hits = places.mapInArrow(draw, "n_clusters long, chunk long, hits binary, reps binary")
     return hits.groupBy("n_clusters", "chunk").applyInArrow(build, "n_clusters long, cluster_index long, draws binary")
 
 
@@ -127,7 +133,7 @@ def _blocks(*arrays: np.ndarray) -> list[dict]:
     ]
 
 
-def _sort_segments(rows: DataFrame, keys: list[str], n_rep: int) -> DataFrame:
+def _sort_segments(rows: DataFrame, keys: list[str], n_rep: int, n_segments: int) -> DataFrame:
     """One row per segment: its rows by falling score and rising id, their multiplicities and the ranking state."""
     kinds = dict(rows.dtypes)
     own = [*keys, "side"]
@@ -152,7 +158,8 @@ def _sort_segments(rows: DataFrame, keys: list[str], n_rep: int) -> DataFrame:
         return first
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in own]) + f", seg int, sub int, level boolean, score binary, y binary, w binary, mult binary, state array<struct<{STATE.replace(' ', ': ').replace(',:', ',')}>>"
-    return rows.groupBy(*own, "seg", "sub").applyInArrow(sort, schema)
+    tasks = max(segment_count(rows), min(MOST_TASKS, n_segments))
+    return rows.repartition(tasks, *own, "seg", "sub").groupBy(*own, "seg", "sub").applyInArrow(sort, schema)
 
 
 def _carries(segments: DataFrame, own: list[str]) -> DataFrame:
@@ -298,5 +305,5 @@ def replicate_metrics(
     base = add_segment(base, "score", scores, "seg")
     level = F.col("score").isin(heavy) if heavy else F.lit(False)
     base = add_segment(base.withColumn("level", level), "row_id", ids, "sub").withColumn("sub", F.when(F.col("level"), F.col("sub")).otherwise(0))
-    segments = materialize(_sort_segments(base.join(draw_vectors(index, n_rep, seed), ["n_clusters", "cluster_index"]), keys, n_rep))
+    segments = materialize(_sort_segments(base.join(draw_vectors(index, n_rep, seed), ["n_clusters", "cluster_index"]), keys, n_rep, len(scores) + len(ids) + 1))
     return _scored(segments, materialize(_carries(segments, own)), own, n_rep, weighted_top)
