@@ -164,7 +164,7 @@ class Schedule:
     def __init__(self, tokens: list[int], shares: list[int]):
         if len(tokens) != len(shares) or min(tokens, default=0) < 0 or min(shares, default=0) < 0:
             raise ValueError("one share, at least 0, for each queue")
-        self.total = sum(tokens)
+        self.total, self.queues = sum(tokens), len(tokens)
         self.phases: list[tuple[int, list[int], list[int]]] = []  # first token, handed over before, shares
         base = [0] * len(tokens)
         while (at := sum(base)) < self.total:
@@ -209,7 +209,7 @@ class Schedule:
         """Tokens that each queue has handed over among the first ``t``."""
         t = min(t, self.total)
         if t == 0:
-            return (0,) * (len(self.phases[0][1]) if self.phases else 0)
+            return (0,) * self.queues
         at, base, shares = self.phases[bisect_right(self.starts, t - 1) - 1]
         return tuple(b + s for b, s in zip(base, self._split(shares, t - at)))
 
