@@ -80,3 +80,36 @@ def test_calibration_reaches_its_optimum_or_fails(spark):
     assert abs(g["a"] + p["platt_coef"]) < 1e-6 and abs(g["b"]) < 1e-6
     with pytest.raises(DataContractError):
         models.fit_platt(df.withColumn("y_true", F.lit(1)), ["g"], most_steps=8)
+
+
+def test_audit_cube_counts_what_the_single_audits_find(spark):
+    """Random core rows with planted faults, nulls and repeats: nine counts, each against its own operator."""
+    import random
+
+    rng = random.Random(6)
+    pick = lambda *v: rng.choice(v)
+    rows = [
+        (
+            "label_reference" if name == "labels" else "other", name, pick("t", "u"), pick("v1", "v2"), "r", pick(None, *range(30)), pick(None, *range(12)),
+            pick(None, "2024-01-01", "2024-01-02"), pick(None, 0, 1), pick("train", "train", "tuning", "held_out", "odd", None), "p",
+        )
+        for name in ("labels", "a", "b", "c") for _ in range(60)
+    ]
+    core = spark.createDataFrame(rows, "source_type string, source_name string, task string, version string, time_rule string, row_id long, subject_id long, prediction_time string, label int, split string, path string")
+    official = spark.createDataFrame([(i, "train") for i in range(9)], "subject_id long, split string")
+    got = {r.check_name: (r.status, r.n_issues) for r in splits.audit_status(core, official).collect()}
+    cover = splits.coverage(core).filter("n_missing_label_examples_in_source > 0 or n_extra_source_examples_not_in_labels > 0").count()
+    want = {
+        "split_values_are_expected": splits.split_values(core).filter("not is_expected_split").count(),
+        "duplicate_prediction_examples_inside_source": core.groupBy(*splits.ROW).count().filter("count > 1").count(),
+        "patient_overlap_between_splits_inside_source": splits.subject_overlap(core).agg({"n_overlapping_subjects": "sum"}).first()[0],
+        "subject_single_split_inside_source": splits.subject_multi_split(core).count(),
+        "row_id_single_split_inside_source": splits.row_multi_split(core).count(),
+        "source_split_matches_official_subject_splits": splits.official_mismatch(core, official).count(),
+        "cross_source_subject_split_consistency": splits.cross_source_subjects(core).count(),
+        "cross_source_row_mapping_consistency": splits.row_mapping(core).count(),
+        "coverage_against_label_reference": cover,
+    }
+    assert got == {k: ("OK" if n == 0 else "WARN" if k.startswith("coverage") else "FAIL", n) for k, n in want.items()}
+    empty = splits.audit_status(core.limit(0), official).collect()
+    assert len(empty) == 9 and all(r.status == "OK" for r in empty)
