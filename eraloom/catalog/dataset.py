@@ -758,6 +758,46 @@ def audit_context(spark, d):
     return rounded(audit.check_episode_audit(examples_of(spark, d, NO_BACKFILL)[0], 32, "condition_era", "no_backfill"))
 
 
+# Faults planted by row_id % 97, so that each rule of each mode has something to find.
+FAULTS = {
+    "final_seq_len": (1, lambda: F.col("final_seq_len") + 1), "n_repeats_removed": (2, lambda: F.lit(-1)), "n_backfill_events_added": (3, lambda: F.lit(-1)),
+    "transformed_history_len": (5, lambda: F.col("transformed_history_len") + 1), "transformation_input_len": (7, lambda: F.col("transformation_input_len") + 1),
+}
+
+
+def faulty_audit_query(spec):
+    def run(spark, d):
+        at = F.col("row_id") % 97
+        ex = examples_of(spark, d, spec)[0]
+        ex = ex.withColumns({c: F.when(at == k, bad()).otherwise(F.col(c)) for c, (k, bad) in FAULTS.items()})
+        ex = ex.withColumns({
+            "n_backfill_events_added": F.when(at == 4, F.col("seq_len") + 1).otherwise(F.col("n_backfill_events_added")),
+            "n_repeats_removed": F.when(at == 6, F.lit(1)).otherwise(F.col("n_repeats_removed")),
+        })
+        return rounded(audit.check_episode_audit(ex, CONTEXT, spec.kind, spec.window_mode))
+
+    return run
+
+
+def faulty_audit_sql(mode: str) -> str:
+    at = lambda *k: f"count(*) filter (where row_id % 97 in ({', '.join(map(str, k))}))"
+    rules = {
+        "required_episode_audit_columns": "0", "final_seq_len_equals_seq_len": at(1), "seq_len_within_context": "0", "nonnegative_repeat_counts": at(2),
+        "nonnegative_backfill_counts": at(3), "backfill_not_above_final_len": at(4),
+    }
+    if mode == "raw":
+        rules |= {"raw_transform_length_equals_original": at(5), "raw_repeats_removed_zero": at(2, 6), "raw_added_zero": at(3, 4)}
+    if mode == "backfill":
+        rules |= {"backfill_uses_full_history": at(7)}
+    if mode == "no_backfill":
+        rules |= {"no_backfill_input_is_raw_window": at(7), "no_backfill_added_zero": at(3, 4)}
+    return "with " + EV + checks_sql("labels", **rules)
+
+
+for _spec in (RAW, BACKFILL, NO_BACKFILL, STRUCTURE_NULL):
+    CATALOG[f"dq13_finds_faults_{_spec.window_mode}"] = (faulty_audit_query(_spec), faulty_audit_sql(_spec.window_mode))
+
+
 def guards_sql(context: int, mode: str) -> str:
     added = "count(*) filter (where added <> 0)" if mode == "raw" else "0"
     return AUDIT_BASE + f""",
