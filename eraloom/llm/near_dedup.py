@@ -5,19 +5,21 @@ shingles, the second one is shifted by one place for each further coordinate.
 Bands of coordinates are bucket keys.
 
 Documents with equal shingle sets form a class, and only one document of each
-class is banded. In every bucket each member is first checked against the
-smallest one. Buckets that hold more than one component after that have their
-remaining pairs across components checked, so large groups of near copies cost
-one check for each member and bucket, not one for each pair. Buckets above
+class is banded. Bands are taken in rounds: in every bucket that still holds
+several components each member outside the component of the smallest one is
+checked against it, then components are joined before the next round, so a
+copy costs about one check and not one for each band. Buckets in which several
+components are left have their pairs across components compared. Those above
 ``SMALL_BUCKET`` members, such as those of a passage that very many documents
-share, are first split by every second band: two documents at the threshold
-agree in another band with all but certainty, chance neighbours don't.
+share, would cost the square of their size; their members are joined exactly
+by a prefix filter instead: at the threshold two sets share one of their
+rarest shingles, and a common passage is not among these.
 
 A pair is dropped before the full check only when set sizes rule it out, or
-when its signatures agree so little that a pair at the threshold would show it
-less than once in ten million times: in the last bits of all coordinates
-(``MOST_BITS``), which travel with the bucket rows, so that chance neighbours
-never leave the join, and in the coordinates themselves (``LEAST_AGREEING``).
+when the last four bits of its coordinates, which travel with the bucket rows,
+differ so often that a pair at the threshold would show it less than once in
+ten million times (``MOST_DIFFERENT``). Sharing no band at all at the
+threshold, five times in a million, is the likelier loss.
 """
 
 from __future__ import annotations
@@ -28,20 +30,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from eraloom.llm.common import arrow_rows
 from eraloom.llm.graph import components
-from eraloom.session import materialize
+from eraloom.session import broadcast_checked, materialize
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-# Of 128 coordinates; at similarity 0.75 the mean is 96 and the standard deviation 4.9.
-LEAST_AGREEING = 68
-# Last bits differ in half of the coordinates that disagree: 16 on average at 0.75, with a standard deviation of 3.7.
-MOST_BITS = 37
+# Coordinates whose last four bits differ: at similarity 0.75 the mean is 30 of 128 and the standard deviation 4.8.
+MOST_DIFFERENT = 57
+# Bands of each round.
+ROUNDS = ((0, 4), (4, BANDS))
+# Checks against one document are dealt over as many keys.
+SALTS = 1024
 SMALL_BUCKET = 256
 BLOCK_CHARS = 800_000
 MEMO_WORDS = 150_000
@@ -127,9 +131,13 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
         yield block
 
 
-@F.pandas_udf(T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+# Columns with the last four bits of sixteen coordinates each.
+LAST = [f"last{i}" for i in range(COORDINATES // 16)]
+
+
+@F.pandas_udf(T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("signature", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in LAST]]))
 def sketch(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Set size, 128-bit fingerprint of the set, signature, and the last bits of its coordinates; null but the size for empty sets."""
+    """Set size, 128-bit fingerprint of the set, signature, and the last four bits of its coordinates; null but the size for empty sets."""
     gc.disable()  # many small objects and no cycles
     shingler = Shingler()
     for s in series:
@@ -138,16 +146,17 @@ def sketch(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             sets = [shingler.of(t) for t in block]
             full = [x for x in sets if len(x)]
             made = signatures(full) if full else np.zeros((0, COORDINATES), dtype=np.uint32)
-            bits = np.packbits(made & np.uint32(1), axis=1).astype(np.uint8).view(np.int64).tolist()
-            found = iter(zip(made, bits))
+            four = (made & np.uint32(15)).astype(np.uint8)
+            last = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64).tolist()
+            found = iter(zip(made, last))
             for x in sets:
                 if len(x):
-                    own, (low, high) = next(found)
-                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), own.tobytes(), low, high))
+                    own, bits = next(found)
+                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), own.tobytes(), *bits))
                 else:
-                    rows.append((0, None, None, None, None))
-        out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "signature", "low", "high"])
-        yield out.astype({"low": "Int64", "high": "Int64"})
+                    rows.append((0, None, None, *[None] * len(LAST)))
+        out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "signature", *LAST])
+        yield out.astype({c: "Int64" for c in LAST})
         gc.collect(0)
 
 
@@ -160,47 +169,47 @@ def full_set(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([x.view(np.int64) if xxhash.xxh3_128_digest(x.tobytes()) == w else None for x, w in zip(sets, wanted)], dtype=object)
 
 
-@F.pandas_udf(T.IntegerType())
-def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Coordinates in which two signatures agree."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    one, two = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(-1, COORDINATES) for s in (a, b))
-    return pd.Series((one == two).sum(axis=1).astype("int32"))
-
-
 # --- candidates, checks, components ------------------------------------------
 
 
-def _near_sizes(a: str, b: str) -> Column:
-    """The smaller set is large enough for the threshold."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+OWN = ("rep", "n", *LAST)
 
 
-def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct candidate pairs (a, b): signatures first, then full sets."""
-    sig = classes.select("rep", "signature")
-    close = (
-        pairs.distinct()
-        .join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
-        .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-        .where(agreeing("sa", "sb") >= LEAST_AGREEING)
-        .select("a", "b")
-    )
-    close = materialize(close)
-    needed = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct().join(classes.select("rep", F.col("fingerprint").alias("wanted")), "rep")
-    # The texts of the documents in question only: the set is made after the join, since it needs what the join brings.
+def _alike(a: str, b: str) -> Column:
+    """Set sizes and last bits allow the threshold; ``a`` and ``b`` are prefixes of the columns."""
+    n, m = f"{a}n", f"{b}n"
+    different = F.lit(0)
+    for c in LAST:
+        d = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
+        d = d.bitwiseOR(F.shiftright(d, 1))
+        d = d.bitwiseOR(F.shiftright(d, 2))
+        different = different + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (different <= MOST_DIFFERENT)
+
+
+def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes in ``reps``; only their documents' texts are read again."""
+    needed = materialize(reps.select("rep").distinct().join(classes.select("rep", F.col("fingerprint").alias("wanted")), "rep"))
+    # The set is made after the join, since it needs what the join brings.
     sets = (
-        docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id")
+        docs.select("doc_id", "text").join(broadcast_checked(needed.withColumnRenamed("rep", "doc_id")), "doc_id")
         .select(F.col("doc_id").alias("rep"), full_set("text", "wanted").alias("shingles"))
         .where("shingles is not null")
     )
     with arrow_rows(docs.sparkSession, BATCH_DOCS):
-        sets = materialize(sets)
+        return materialize(sets)
+
+
+def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b), by full sets."""
+    close = materialize(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
+    sets = _sets(close.select(F.col("a").alias("rep")).union(close.select("b")), classes, docs)
+    # A document that very many are checked against sends its set once for each salt.
+    hubs = close.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = F.size(F.array_intersect("x", "y"))
     return (
         close.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(hubs, ["a", "salt"])
         .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
         .where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * PERCENT)
         .select("a", "b")
@@ -208,58 +217,61 @@ def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _alike(a: str, b: str) -> Column:
-    """Set sizes and last bits allow the threshold; ``a`` and ``b`` are prefixes of the columns."""
-    bits = F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
-    return _near_sizes(f"{a}n", f"{b}n") & (bits <= MOST_BITS)
+def _open(rows: DataFrame) -> DataFrame:
+    """Buckets with more than one component: their smallest member and how many they have."""
+    return (
+        rows.groupBy("key")
+        .agg(F.min("rep").alias("first"), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high").select("key", "first", "members")
+    )
 
 
-OWN = ("rep", "n", "low", "high")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key and different components that may be linked."""
+    return (
+        rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.rep < y.rep and x.component != y.component") & _alike("x.", "y."))
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    )
 
 
-def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
-    """Per key with at least two members: the smallest member with its set size and bits, and the number of members."""
-    return rows.groupBy("key").agg(F.min(F.struct(*OWN)).alias("first"), F.count("*").alias("members"), *more).where("members > 1")
+def _rare_rows(crowd: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """For each member of ``crowd`` its rarest shingles (as ``key``), so many that two linked sets share one.
+
+    Sets of n and m shingles with Jaccard t or more share t * n at least, so
+    they meet among the first n - ceil(t * n) + 1 of any common order. The
+    order is by how many members have a shingle, then by the shingle.
+    """
+    each = _sets(crowd, classes, docs).distinct().select("rep", F.explode("shingles").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("members"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("members", "key"))
+    return (
+        crowd.join(each.join(common, "key").withColumn("place", place), "rep")
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+        .where("members > 1").select(*OWN, "component", "key")
+    )
 
 
 def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough links (a, b) between class representatives to connect all that are linked."""
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS})))")
     members = classes.select(*OWN, keys.alias("keys"))
-    rows = members.select(*OWN, F.explode("keys").alias("key"))
-
-    # Every member of a bucket against its smallest one.
-    stars = (
-        rows.join(_buckets(rows).select("key", *[F.col(f"first.{c}").alias(f"first_{c}") for c in OWN]), "key")
-        .where(F.col("rep") != F.col("first_rep")).where(_alike("", "first_"))
-        .select(F.col("first_rep").alias("a"), F.col("rep").alias("b"))
-    )
-    links = materialize(_check(stars, classes, docs))
+    owned, links = members.withColumn("component", F.col("rep")), None
+    for start, stop in ROUNDS:
+        rows = owned.select(*OWN, "component", F.explode(F.slice("keys", start + 1, stop - start)).alias("key"))
+        hubs = materialize(_open(rows)).select("key", F.col("first").alias("rep")).join(owned.drop("keys"), "rep")
+        hubs = hubs.select("key", *[F.col(c).alias(f"first_{c}") for c in (*OWN, "component")])
+        stars = rows.join(hubs, "key").where(F.col("component") != F.col("first_component")).where(_alike("", "first_"))
+        found = materialize(_check(stars.select(F.col("first_rep").alias("a"), F.col("rep").alias("b")), classes, docs))
+        links = found if links is None else links.union(found)
+        owned = members.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     # Buckets in which more than one component is left.
-    found = components(links)
-    owned = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    owned = materialize(owned)
     rows = owned.select(*OWN, "component", F.explode("keys").alias("key"))
-    several = lambda r: _buckets(r, F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "members")
-    open_ = several(rows)
-    left = materialize(rows.join(open_, "key"))
-    small = left.where(F.col("members") <= SMALL_BUCKET).drop("members")
-    crowded = left.where(F.col("members") > SMALL_BUCKET).select("rep", F.col("key").alias("crowd"))
-    split = (
-        crowded.join(owned, "rep")
-        .select(*OWN, "component", "crowd", F.explode("keys").alias("other"))
-        .where("other != crowd")
-        .select(*OWN, "component", F.xxhash64(F.least("crowd", "other"), F.greatest("crowd", "other")).alias("key"))
-        .distinct()
-    )
-    split = split.join(several(split).select("key"), "key").select(*OWN, "component", "key")
-    rest = materialize(small.select(*OWN, "component", "key").union(split))
-    across = (
-        rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.rep < y.rep and x.component != y.component") & _alike("x.", "y."))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    )
-    return links.union(materialize(_check(across, classes, docs)))
+    left = materialize(rows.join(_open(rows).select("key", "members"), "key"))
+    crowd = materialize(left.where(F.col("members") > SMALL_BUCKET).select(*OWN, "component").distinct())
+    rare = materialize(_rare_rows(crowd, classes, docs))
+    pairs = _pairs(left.where(F.col("members") <= SMALL_BUCKET).drop("members")).union(_pairs(rare))
+    return links.union(materialize(_check(pairs, classes, docs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(
         sketches.where("fingerprint is not null and doc_id is not null")
         .groupBy("fingerprint")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), *[F.max(c).alias(c) for c in LAST])
     )
     member = sketches.select("doc_id", "fingerprint").join(classes.select("fingerprint", "rep"), "fingerprint")
     # Rows of one id with different texts tie their classes together.
