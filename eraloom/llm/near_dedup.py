@@ -11,9 +11,9 @@ checked against it, then components are joined before the next round, so a
 copy costs about one check and not one for each band. Buckets in which several
 components are left have their pairs across components compared. Those above
 ``SMALL_BUCKET`` members, such as those of a passage that very many documents
-share, would cost the square of their size; their members are joined exactly
-by a prefix filter instead: at the threshold two sets share one of their
-rarest shingles, and a common passage is not among these.
+share, are first split by every second band: two documents at the threshold
+agree in another band with all but certainty (a pair at exactly 0.75 shares a
+single band eight times in a hundred thousand), chance neighbours don't.
 
 A pair is dropped before the full check only when set sizes rule it out, or
 when the last four bits of its coordinates, which travel with the bucket rows,
@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from eraloom.llm.common import arrow_rows
 from eraloom.llm.graph import components
@@ -234,23 +234,6 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _rare_rows(crowd: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """For each member of ``crowd`` its rarest shingles (as ``key``), so many that two linked sets share one.
-
-    Sets of n and m shingles with Jaccard t or more share t * n at least, so
-    they meet among the first n - ceil(t * n) + 1 of any common order. The
-    order is by how many members have a shingle, then by the shingle.
-    """
-    each = _sets(crowd, classes, docs).distinct().select("rep", F.explode("shingles").alias("key"))
-    common = each.groupBy("key").agg(F.count("*").alias("members"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("members", "key"))
-    return (
-        crowd.join(each.join(common, "key").withColumn("place", place), "rep")
-        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-        .where("members > 1").select(*OWN, "component", "key")
-    )
-
-
 def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough links (a, b) between class representatives to connect all that are linked."""
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS})))")
@@ -268,9 +251,17 @@ def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # Buckets in which more than one component is left.
     rows = owned.select(*OWN, "component", F.explode("keys").alias("key"))
     left = materialize(rows.join(_open(rows).select("key", "members"), "key"))
-    crowd = materialize(left.where(F.col("members") > SMALL_BUCKET).select(*OWN, "component").distinct())
-    rare = materialize(_rare_rows(crowd, classes, docs))
-    pairs = _pairs(left.where(F.col("members") <= SMALL_BUCKET).drop("members")).union(_pairs(rare))
+    small = left.where(F.col("members") <= SMALL_BUCKET).drop("members")
+    crowded = left.where(F.col("members") > SMALL_BUCKET).select("rep", F.col("key").alias("crowd"))
+    split = (
+        crowded.join(owned, "rep")
+        .select(*OWN, "component", "crowd", F.explode("keys").alias("other"))
+        .where("other != crowd")
+        .select(*OWN, "component", F.xxhash64(F.least("crowd", "other"), F.greatest("crowd", "other")).alias("key"))
+        .distinct()
+    )
+    split = split.join(_open(split).select("key"), "key")
+    pairs = _pairs(small.unionByName(split))
     return links.union(materialize(_check(pairs, classes, docs)))
 
 
