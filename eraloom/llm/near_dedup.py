@@ -8,18 +8,22 @@ Documents with equal shingle sets form a class, and only one document of each
 class is banded. Bands are taken in rounds: in every bucket that still holds
 several components each member outside the component of the smallest one is
 checked against it, then components are joined before the next round, so a
-copy costs about one check and not one for each band. Buckets in which several
-components are left have their pairs across components compared. Those above
-``SMALL_BUCKET`` members, such as those of a passage that very many documents
-share, are first split by every second band: two documents at the threshold
-agree in another band with all but certainty (a pair at exactly 0.75 shares a
-single band eight times in a hundred thousand), chance neighbours don't.
-
-A pair is dropped before the full check only when set sizes rule it out, or
-when the last four bits of its coordinates, which travel with the bucket rows,
-differ so often that a pair at the threshold would show it less than once in
-ten million times (``MOST_DIFFERENT``). Sharing no band at all at the
-threshold, five times in a million, is the likelier loss.
+copy costs about one check and not one for each band.
+
+What is left are buckets whose members are alike without being linked to the
+smallest one. Their documents are compared by an exact prefix join on the full
+sets: shingles are ordered from rare to frequent, and two documents at the
+threshold must share one so early in both that what follows can still make up
+the overlap. Members of a family differ in shingles of their own, which come
+first, so such a pair meets only if it may be linked, whatever the bucket's
+size.
+
+In the rounds a pair is dropped before the full check only when set sizes rule
+it out, or when the last four bits of its coordinates, which travel with the
+bucket rows, differ so often that a pair at the threshold would show it less
+than once in ten million times (``MOST_DIFFERENT``); the prefix join does not
+depend on it. Sharing no band at all at the threshold, five times in a million,
+is the likelier loss.
 """
 
 from __future__ import annotations
@@ -46,7 +50,6 @@ MOST_DIFFERENT = 57
 ROUNDS = ((0, 4), (4, BANDS))
 # Checks against one document are dealt over as many keys.
 SALTS = 1024
-SMALL_BUCKET = 256
 BLOCK_CHARS = 800_000
 MEMO_WORDS = 150_000
 # Documents that a Python worker gets at a time.
@@ -200,10 +203,9 @@ def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return materialize(sets)
 
 
-def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among candidate pairs (a, b), by full sets."""
     close = materialize(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
-    sets = _sets(close.select(F.col("a").alias("rep")).union(close.select("b")), classes, docs)
     # A document that very many are checked against sends its set once for each salt.
     hubs = close.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = F.size(F.array_intersect("x", "y"))
@@ -217,19 +219,46 @@ def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _check(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b), whose sets are made here."""
+    pairs = materialize(pairs.distinct())
+    return _linked(pairs, _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), classes, docs))
+
+
 def _open(rows: DataFrame) -> DataFrame:
-    """Buckets with more than one component: their smallest member and how many they have."""
+    """Buckets with more than one component: their smallest member."""
     return (
         rows.groupBy("key")
-        .agg(F.min("rep").alias("first"), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high").select("key", "first", "members")
+        .agg(F.min("rep").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high").select("key", "first")
     )
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one key and different components that may be linked."""
+def _prefix_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from (rep, component, shingles).
+
+    Shingles are ordered by the number of documents that hold them. If the
+    first common one stands at places i and j of sets of sizes n and m, at most
+    min(n - i, m - j) are common. Shingles that one document holds come first
+    and are only counted.
+    """
+    rows = docs.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = (
+        rows.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("holders > 1").select("shingle", "holders", (F.col("low") != F.col("high")).alias("across"))
+    )
+    ordered = (
+        rows.join(shared, "shingle")
+        .groupBy("rep").agg(F.max("component").alias("component"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("holders", "shingle", "across"))).alias("s"))
+        .select("rep", "component", "n", (F.col("n") - F.size("s")).alias("own"), F.posexplode("s").alias("at", "s"))
+        .select("rep", "component", "n", (F.col("own") + F.col("at")).alias("at"), "s.shingle", "s.across")
+    )
+    prefix = materialize(ordered.where(F.col("across") & ((F.col("n") - F.col("at")) * 100 >= F.col("n") * PERCENT)).drop("across"))
+    n, m = F.col("x.n"), F.col("y.n")
+    common = F.least(n - F.col("x.at"), m - F.col("y.at"))
+    may = (common * (100 + PERCENT) >= (n + m) * PERCENT) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
     return (
-        rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.rep < y.rep and x.component != y.component") & _alike("x.", "y."))
+        prefix.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.rep < y.rep and x.component != y.component") & may)
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     )
 
@@ -241,28 +270,19 @@ def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     owned, links = members.withColumn("component", F.col("rep")), None
     for start, stop in ROUNDS:
         rows = owned.select(*OWN, "component", F.explode(F.slice("keys", start + 1, stop - start)).alias("key"))
-        hubs = materialize(_open(rows)).select("key", F.col("first").alias("rep")).join(owned.drop("keys"), "rep")
+        hubs = materialize(_open(rows)).withColumnRenamed("first", "rep").join(owned.drop("keys"), "rep")
         hubs = hubs.select("key", *[F.col(c).alias(f"first_{c}") for c in (*OWN, "component")])
         stars = rows.join(hubs, "key").where(F.col("component") != F.col("first_component")).where(_alike("", "first_"))
         found = materialize(_check(stars.select(F.col("first_rep").alias("a"), F.col("rep").alias("b")), classes, docs))
         links = found if links is None else links.union(found)
         owned = members.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    # Buckets in which more than one component is left.
-    rows = owned.select(*OWN, "component", F.explode("keys").alias("key"))
-    left = materialize(rows.join(_open(rows).select("key", "members"), "key"))
-    small = left.where(F.col("members") <= SMALL_BUCKET).drop("members")
-    crowded = left.where(F.col("members") > SMALL_BUCKET).select("rep", F.col("key").alias("crowd"))
-    split = (
-        crowded.join(owned, "rep")
-        .select(*OWN, "component", "crowd", F.explode("keys").alias("other"))
-        .where("other != crowd")
-        .select(*OWN, "component", F.xxhash64(F.least("crowd", "other"), F.greatest("crowd", "other")).alias("key"))
-        .distinct()
-    )
-    split = split.join(_open(split).select("key"), "key")
-    pairs = _pairs(small.unionByName(split))
-    return links.union(materialize(_check(pairs, classes, docs)))
+    # Documents of buckets in which more than one component is left.
+    rows = owned.select("rep", "component", F.explode("keys").alias("key"))
+    left = materialize(rows.join(_open(rows).select("key"), "key").select("rep", "component").distinct())
+    sets = _sets(left, classes, docs)
+    pairs = _prefix_pairs(sets.join(left, "rep"))
+    return links.union(materialize(_linked(pairs, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -202,9 +202,30 @@ def test_near_duplicates_match_all_pairs(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    test_near_duplicates_match_all_pairs(spark)
+def test_prefix_pairs_lose_no_link(spark):
+    """Against all pairs: families around the threshold, subsets, repeated sets, one-shingle sets."""
+    rng = random.Random(8)
+    sets = [{7}, {7}, {7, 8}]
+    for family in range(6):
+        base = [rng.randrange(2**62) for _ in range(rng.choice((4, 20, 90)))]
+        for _ in range(25):
+            own = rng.randrange(len(base) // 3 + 1)
+            cut = rng.sample(base, len(base) - own) if rng.random() < 0.8 else base[own:]
+            sets.append(set(cut) | {rng.randrange(2**62) for _ in range(rng.choice((0, own)))})
+    rows = [(i, i if i % 3 else 0, sorted(x)) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rep long, component long, shingles array<long>")
+    pairs = near_dedup._prefix_pairs(df)
+    got = {tuple(r) for r in near_dedup._linked(pairs, df.drop("component")).collect()}
+    across = [(a, b) for a, ca, _ in rows for b, cb, _ in rows if a < b and ca != cb]
+    want = {(a, b) for a, b in across if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and got == want
+    assert len(want) <= len({tuple(r) for r in pairs.collect()}) < len(across) / 2
+
+
+def test_families_below_the_threshold_make_no_pairs(spark):
+    """Members share four fifths of their shingles each and none is linked: no pair is made, however many they are."""
+    rows = [(i, i, [*range(80), *range(1000 * (i + 1), 1000 * (i + 1) + 20)]) for i in range(300)]
+    assert near_dedup._prefix_pairs(spark.createDataFrame(rows, "rep long, component long, shingles array<long>")).count() == 0
 
 
 def test_signatures_estimate_similarity():
