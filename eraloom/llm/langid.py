@@ -28,9 +28,9 @@ UNKNOWN = "und"
 BOUND_DOCS, LENGTHS, LEAST_DOCS = 2_000, tuple(2**k for k in range(1, 14)), 20
 # A bound lies at this quantile of texts with shuffled letters, but no higher than this part of a low quantile of labelled text.
 JUNK_QUANTILE, CLEAN_QUANTILE, CLEAN_PART = 0.95, 0.05, 0.8
-BLOCK_DOCS, BLOCK_CHARS = 256, 2_000_000
+BLOCK_DOCS, BLOCK_CHARS = 256, 500_000
 # Trigrams that are bound at a time, for memory.
-BLOCK_TRIGRAMS = 16_384
+BLOCK_TRIGRAMS = 4_096
 
 
 @dataclass(frozen=True)

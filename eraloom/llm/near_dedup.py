@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from eraloom.llm.common import arrow_rows
+from eraloom.llm.common import arrow_rows, collector_off
 from eraloom.llm.graph import components
 from eraloom.session import broadcast_checked, materialize
 
@@ -141,26 +141,26 @@ LAST = [f"last{i}" for i in range(COORDINATES // 16)]
 @F.pandas_udf(T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("signature", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in LAST]]))
 def sketch(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Set size, 128-bit fingerprint of the set, signature, and the last four bits of its coordinates; null but the size for empty sets."""
-    gc.disable()  # many small objects and no cycles
-    shingler = Shingler()
-    for s in series:
-        rows: list[tuple] = []
-        for block in _blocks(s):
-            sets = [shingler.of(t) for t in block]
-            full = [x for x in sets if len(x)]
-            made = signatures(full) if full else np.zeros((0, COORDINATES), dtype=np.uint32)
-            four = (made & np.uint32(15)).astype(np.uint8)
-            last = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64).tolist()
-            found = iter(zip(made, last))
-            for x in sets:
-                if len(x):
-                    own, bits = next(found)
-                    rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), own.tobytes(), *bits))
-                else:
-                    rows.append((0, None, None, *[None] * len(LAST)))
-        out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "signature", *LAST])
-        yield out.astype({c: "Int64" for c in LAST})
-        gc.collect(0)
+    with collector_off():  # many small objects and no cycles
+        shingler = Shingler()
+        for s in series:
+            rows: list[tuple] = []
+            for block in _blocks(s):
+                sets = [shingler.of(t) for t in block]
+                full = [x for x in sets if len(x)]
+                made = signatures(full) if full else np.zeros((0, COORDINATES), dtype=np.uint32)
+                four = (made & np.uint32(15)).astype(np.uint8)
+                last = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64).tolist()
+                found = iter(zip(made, last))
+                for x in sets:
+                    if len(x):
+                        own, bits = next(found)
+                        rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), own.tobytes(), *bits))
+                    else:
+                        rows.append((0, None, None, *[None] * len(LAST)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "signature", *LAST])
+            yield out.astype({c: "Int64" for c in LAST})
+            gc.collect(0)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

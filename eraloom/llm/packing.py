@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from eraloom.llm.common import collector_off
 from eraloom.llm.bpe import Encoder, piece_ids
 from eraloom.session import materialize
 
@@ -51,20 +52,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long>>")
     def cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gc.disable()  # many small objects and no cycles
-        enc = _encoder(path)
-        end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
-        for s in series:
-            rows = []
-            for block in enc.blocks(s):
-                for parts in block:
-                    data = b"".join(parts) + end
-                    rows.append([
-                        (k, at // 4, (min(at + step, len(data)) - at) // 4, zlib.crc32(data[at : at + step]))
-                        for k, at in enumerate(range(0, len(data), step))
-                    ])
-            yield pd.Series(rows, dtype=object)
-            gc.collect()
+        with collector_off():  # many small objects and no cycles
+            enc = _encoder(path)
+            end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+            for s in series:
+                rows = []
+                for block in enc.blocks(s):
+                    for parts in block:
+                        data = b"".join(parts) + end
+                        rows.append([
+                            (k, at // 4, (min(at + step, len(data)) - at) // 4, zlib.crc32(data[at : at + step]))
+                            for k, at in enumerate(range(0, len(data), step))
+                        ])
+                yield pd.Series(rows, dtype=object)
+                gc.collect()
 
     return docs.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
 

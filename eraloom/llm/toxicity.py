@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eraloom.llm.common import fold, hash_sample
+from eraloom.llm.common import collector_off, fold, hash_sample
 from eraloom.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
@@ -37,7 +37,7 @@ FEATURES = (
     "strongest", "hits", "hit_share", "weight_share", "distinct_hits", "near_you", "you_share", "hidden_hits",
     "capital_share", "shouted_share", "bang_share", "punctuation_share", "obfuscated_share", "stretched_share", "log_words",
 )
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 THRESHOLD = 0.5
 
 # Second-person forms of the languages at hand.
@@ -114,11 +114,11 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
 def feature_column(weights: dict[str, float], text: str = "text") -> Column:
     @F.pandas_udf("array<double>")
     def of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gc.disable()  # many small objects and no cycles
-        lexicon = Lexicon(weights)
-        for s in series:
-            yield pd.Series([features(t, lexicon) for t in s], dtype=object)
-            gc.collect()
+        with collector_off():  # many small objects and no cycles
+            lexicon = Lexicon(weights)
+            for s in series:
+                yield pd.Series([features(t, lexicon) for t in s], dtype=object)
+                gc.collect()
 
     return of(text)
 
