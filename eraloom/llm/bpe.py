@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections import ChainMap, Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -428,6 +429,29 @@ def piece_ids(path: str, lexicon: Lexicon | None = None) -> Callable[[list[str]]
     return ids_of
 
 
+def piece_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Ids of pieces as unsigned little-endian 32-bit numbers, merged exactly.
+
+    Remembered words are byte strings, which take a third of the memory of
+    lists of numbers, and a piece that is one word is that word's byte string.
+    """
+    m = merges(path)
+    merged: dict[str, bytes] = {}
+
+    def bytes_of(pieces: list[str]) -> list[bytes]:
+        cut = words_of_chunks(pieces)
+        # A piece that is one word lends that word its string.
+        cut = [[p] if len(ws) == 1 and ws[0] == p else ws for p, ws in zip(pieces, cut)]
+        new = list({w for ws in cut for w in ws}.difference(merged))
+        if len(merged) + len(new) > MEMO_PIECES // 2:
+            merged.clear()
+            new = list({w for ws in cut for w in ws})
+        merged.update(zip(new, [struct.pack(f"<{len(ids)}I", *ids) for ids in m.many(new)]))
+        return [merged[ws[0]] if len(ws) == 1 else b"".join([merged[w] for w in ws]) for ws in cut]
+
+    return bytes_of
+
+
 # --- Spark -------------------------------------------------------------------
 
 

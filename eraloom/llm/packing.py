@@ -14,7 +14,6 @@ most a few sequences unfilled.
 from __future__ import annotations
 
 import gc
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import collector_off
-from eraloom.llm.bpe import Encoder, piece_ids
+from eraloom.llm.common import arrow_rows, collector_off
+from eraloom.llm.bpe import Encoder, piece_bytes
 from eraloom.session import materialize
 
 CAPACITY = 2048
@@ -33,12 +32,14 @@ END_ID = 0
 # Pieces that one task packs; below, a group wastes well under one part in a hundred.
 GROUP_PIECES = 4096
 STEP = 64
+# Documents that a Python worker gets at a time: whole texts lie in the JVM, in Arrow and in Python at once.
+BATCH_DOCS = 1_000
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """Kept by a worker from task to task."""
-    return Encoder(piece_ids(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    return Encoder(piece_bytes(path), lambda ids: ids)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -107,7 +108,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     Every row is kept and placed on its own, repeated rows too. The result does
     not depend on how the rows arrive, so a task that runs again packs alike.
     """
-    pieces = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    with arrow_rows(pieces.sparkSession, BATCH_DOCS):
+        pieces = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"))
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
