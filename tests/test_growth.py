@@ -83,3 +83,21 @@ def test_top_fraction_never_broadcasts_its_rows(spark, tmp_path):
     want = df.withColumn("n", first).select("row_id", "g", "p", (F.col("n") <= 2000).alias("in_top"))
     assert same(out, want)
     assert metrics.top_fraction(df, ["g"], 1.5, "p").filter("in_top").count() == 60_000
+
+
+def test_events_move_once_into_the_timeline(spark, made, tmp_path):
+    """By subject and day; visits at one time are one, and count for events of that time whatever their order."""
+    events, _, codes = made
+    events = events.withColumn("code", F.when(F.col("source_event_id") % 7 == 0, "Visit/x").otherwise(F.col("code")))
+    events = events.withColumn("omop_table", F.when(F.col("source_event_id") % 7 == 0, "visit_occurrence").otherwise(F.col("omop_table")))
+    events = history.canonical_events(events.unionByName(events.withColumn("source_event_id", F.col("source_event_id") + 3000)))
+    out = history.timeline_events(events, codes)
+    want = history.ranked_events(history.bucket_events(events, history.visit_anchors(events)), codes)
+    assert same(out.select(*want.columns), want)
+    events.write.parquet(f"{tmp_path}/events")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.timeline_events(spark.read.parquet(f"{tmp_path}/events"), codes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(subject_id#\d+L?, time#", plan)
