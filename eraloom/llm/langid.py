@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import fold, hash_sample
+from eraloom.llm.common import fold, forget, hash_sample
 
 DIMENSION = 1024
 SEED = 7
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
     train = _by_language(train, train_docs).select("text", "lang")
 
     def count(batches):
+        forget()
         for pdf in batches:
             points = np.frombuffer("".join(pdf["text"]).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             yield pd.DataFrame({"letter": [x for x in np.unique(points).tolist() if chr(x).isalpha()]}, dtype="int64")
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
     letters = "".join(sorted(chr(r["letter"]) for r in found))
 
     def bundle(batches):
+        forget()
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, group in pdf.groupby("lang"):
@@ -176,6 +178,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> tuple:
 
     @F.pandas_udf("lang_pred string, score double")
     def best(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         known = profiles.matrix()
         for s in series:
             rows = []
@@ -210,6 +213,7 @@ def bounds(docs: DataFrame, profiles: Profiles) -> list[tuple[int, float]]:
     sample = hash_sample(known.select("doc_id", F.substring("text", 1, LENGTHS[-1]).alias("text")), "doc_id", BOUND_DOCS).select("text")
 
     def score(batches):
+        forget()
         for pdf in batches:
             pairs = [(n, x[:n]) for x in pdf["text"] for n in LENGTHS if len(x) >= n and any(c.isalpha() for c in x[:n])]
             out = {"length": [n for n, _ in pairs]}

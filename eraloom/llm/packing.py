@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import arrow_rows, collector_off
+from eraloom.llm.common import arrow_rows, collector_off, forget, forgettable
 from eraloom.llm.bpe import Encoder, piece_bytes
 from eraloom.session import materialize
 
@@ -42,6 +42,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(piece_bytes(path), lambda ids: ids)
 
 
+forgettable(_encoder.cache_clear)
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and ``ids_crc32``.
 
@@ -113,6 +116,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()  # the encoding is over
         pdf["step"] = -(pdf["length"] // STEP)
         pdf = pdf.sort_values(["step", "ids_crc32", "length", "doc_id", "piece"], kind="stable", ignore_index=True).drop(columns="step")
         where, offset = sum_of_squares(pdf["length"].tolist(), capacity)

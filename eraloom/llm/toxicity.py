@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eraloom.llm.common import collector_off, fold, hash_sample
+from eraloom.llm.common import collector_off, fold, forget, hash_sample
 from eraloom.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
@@ -114,6 +114,7 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
 def feature_column(weights: dict[str, float], text: str = "text") -> Column:
     @F.pandas_udf("array<double>")
     def of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         with collector_off():  # many small objects and no cycles
             lexicon = Lexicon(weights)
             for s in series:
@@ -135,6 +136,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         return {}
 
     def count(batches):
+        forget()
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
