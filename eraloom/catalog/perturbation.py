@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eraloom.catalog.dataset import BACKFILL, held_hist as hist, vocab_of
+from eraloom.catalog.dataset import BACKFILL, vocab_of
 from eraloom.catalog.evaluation import A, B, REPS, draws_sql, metrics_sql
-from eraloom.catalog.shared import HIST, LISTED, SCORES, era_sql, last_n_sql, once, r, rounded, scores, timeline
-from eraloom.operators import metrics, perturb, robustness
+from eraloom.catalog.shared import HIST, LISTED, SCORES, base_events, era_sql, last_n_sql, once, r, rounded, timeline
+from eraloom.operators import history, metrics, perturb, robustness
 from eraloom.operators.predictions import with_baseline
 from eraloom.session import materialize
 from eraloom.sources import adapters
@@ -88,7 +88,7 @@ def selection(spark, d):
 
 def injected(spark, d):
     e, v = plan_of(spark, d)
-    return perturb.inject(hist(spark, d), e, perturb.select_fraction(v))
+    return perturb.inject_planned(history.episode_history(e, base_events(spark, d)), perturb.select_fraction(v))
 
 
 INJECTED = PLAN + """,
@@ -162,7 +162,8 @@ dl as (select hs.*, l0, p0, risk_calibrated - p0 as d, y_true as y, risk_calibra
 
 
 def held_scores(spark, d):
-    return scores(spark, d).filter("split = 'held_out'")
+    """Scores follow row by row from orders, so only the held-out ones are worked out, where they are read."""
+    return adapters.scores(spark, d).filter("split = 'held_out'")
 
 
 def seed_deltas(spark, d):
@@ -198,7 +199,9 @@ select compression_version, seed::bigint as seed, requested_copy_fraction, round
 from dl join m using (compression_version, seed, requested_copy_fraction) join sr using (compression_version, seed, requested_copy_fraction) group by 1, 2, 3""")
 def seed_metrics(spark, d):
     by = ["compression_version", "seed", "requested_copy_fraction"]
-    m = perturb.perturbation_metrics(seed_deltas(spark, d), by)
+    # Read by several branches below.
+    rows = materialize(seed_deltas(spark, d).select(*by, "row_id", "y_true", "risk_calibrated", "risk_calibrated_at_0", "delta_risk_calibrated_vs_0"))
+    m = perturb.perturbation_metrics(rows, by)
     return rounded(m.select(*by, "auroc", "top_10pct_precision", "mean_delta_risk_vs_0", "mean_abs_delta_risk_vs_0", "median_abs_delta_risk_vs_0", "p95_abs_delta_risk_vs_0", "spearman_risk_vs_0"))
 
 
@@ -206,7 +209,7 @@ def perturbed_ensemble(spark, d):
     def make():
         keys = ["task", "compression_version", "requested_copy_fraction", "row_id", "subject_id", "y_true"]
         e = metrics.ensemble(held_scores(spark, d), keys, {"risk_calibrated": "risk_calibrated"}, "risk_calibrated")
-        return materialize(e.withColumn("risk_calibrated", F.round("risk_calibrated", 9)))
+        return materialize(e.select(*keys, F.round("risk_calibrated", 9).alias("risk_calibrated")))
 
     return once(spark, d, "perturbed ensemble", make)
 

@@ -150,7 +150,12 @@ def copied_rows(selected: DataFrame) -> DataFrame:
 def inject(hist: DataFrame, episodes: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Planned histories, once per fraction, with the copies added."""
     planned = hist.select(*HISTORY).join(episodes.select("task", "row_id"), ["row_id", "task"], "left_semi")
-    return per_fraction(planned, fractions).unionByName(copied_rows(selected))
+    return inject_planned(planned, selected, fractions)
+
+
+def inject_planned(planned: DataFrame, selected: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
+    """The same, from the histories of the planned episodes only, which then need not move to meet the plan."""
+    return per_fraction(planned.select(*HISTORY), fractions).unionByName(copied_rows(selected))
 
 
 CAP_KEY = ["row_id", "task", "requested_copy_fraction"]
