@@ -42,7 +42,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(piece_bytes(path), lambda ids: ids)
 
 
-forgettable(_encoder.cache_clear)
+forgettable(_encoder)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
