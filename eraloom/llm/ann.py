@@ -7,8 +7,8 @@ between its own and the posted places is the footrule distance, which ranks
 the vectors. The best of that rank are compared exactly.
 
 The index is cut by the hash of the id into parts, and queries into blocks. A
-part answers a block of queries on its own; the answers are merged by rank, so
-no task holds more than a part and a block. Equal vectors are indexed once,
+part answers a block of queries on its own, with the pivots as one more row;
+the answers are merged by rank, so no task holds more than a part and a block. Equal vectors are indexed once,
 with the smallest of their ids: no more than k + 1 of them can be among the
 k nearest, since ties go to the smaller id.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eraloom.llm.vectors import fingerprint, matrix, usable
@@ -25,7 +26,7 @@ from eraloom.session import materialize
 PIVOTS = 128
 # Share of a part, and least number of its vectors, that are compared exactly.
 SHARE, LEAST = 0.1, 512
-PART_VECTORS, BLOCK_QUERIES = 4096, 1024
+PART_VECTORS, BLOCK_QUERIES = 4096, 8192
 NEIGHBOURS = 10
 
 
@@ -55,9 +56,13 @@ def _answer(key: tuple, part: pa.Table, asked: pa.Table) -> pa.Table:
     if not len(part) or not len(asked):
         return kind.empty_table()
     k = NEIGHBOURS
+    known = asked.filter(pc.is_valid(asked["pivots"]))
+    asked = asked.filter(pc.is_null(asked["pivots"]))
+    if not len(asked):
+        return kind.empty_table()
     part, asked = part.sort_by("rep"), asked.sort_by("query_id")
     x, q = matrix(part["v"]), matrix(asked["v"])
-    pivots = np.array(asked["pivots"][0].as_py())
+    pivots = np.array(known["pivots"][0].as_py())
     index = Index(x, pivots)
     ids, queries = part["ids"].to_pylist(), asked["query_id"].to_pylist()
     take = min(len(x), max(LEAST, k + 1, int(np.ceil(SHARE * len(x)))))
@@ -97,13 +102,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEIGHBOURS) -> DataFra
     few = few.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.pmod(F.xxhash64(F.lit("pivot"), "rep"), F.lit(2**30)), "rep"))).where(F.col("place") <= PIVOTS)
     pivots = few.groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("pivots"))
 
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "dim").join(F.broadcast(pivots), "dim")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "dim")
     n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     parts = max([1, *(-(-n // PART_VECTORS) for n in sizes.values())])
-    asked = (
-        queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(n_blocks)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    )
+    each_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(n_blocks)).cast("int")).select("*", F.lit(None).cast("array<array<double>>").alias("pivots"), each_part)
+    # The pivots go to each part and block once, not along with each query.
+    each_block = pivots.select("dim", "pivots", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    asked = asked.unionByName(each_block.select("*", each_part), allowMissingColumns=True)
     held = (
         classes.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "rep"), F.lit(parts)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
