@@ -16,16 +16,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eraloom.llm.common import fold, forget, hash_sample
+from eraloom.functions.ordered import exact_percentiles
+from eraloom.llm.common import fold, forget
+from eraloom.session import materialize
 
 DIMENSION = 1024
 SEED = 7
-# Labelled documents that the profiles are learned from.
-TRAIN_DOCS = 20_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-# Labelled documents, and lengths of their beginnings, from which the least cosine of text of a learned language comes.
-BOUND_DOCS, LENGTHS, LEAST_DOCS = 2_000, tuple(2**k for k in range(1, 14)), 20
+# Lengths of the labelled documents' beginnings from which the least cosine of text of a learned language comes, and how many there must be.
+LENGTHS, LEAST_DOCS = tuple(2**k for k in range(1, 14)), 20
 # A bound lies at this quantile of texts with shuffled letters, but no higher than this part of a low quantile of labelled text.
 JUNK_QUANTILE, CLEAN_QUANTILE, CLEAN_PART = 0.95, 0.05, 0.8
 BLOCK_DOCS, BLOCK_CHARS = 256, 500_000
@@ -101,12 +101,12 @@ def bundles(texts: Iterable[str | None], letters: str) -> np.ndarray:
     return out
 
 
-def _blocks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+def _blocks(texts: Iterable[str | None], docs: int = BLOCK_DOCS) -> Iterator[list[str | None]]:
     block, size = [], 0
     for text in texts:
         block.append(text)
         size += len(text or "")
-        if len(block) >= BLOCK_DOCS or size >= BLOCK_CHARS:
+        if len(block) >= docs or size >= BLOCK_CHARS:
             yield block
             block, size = [], 0
     if block:
@@ -132,16 +132,16 @@ def _by_language(train: DataFrame, train_docs: int) -> DataFrame:
     return train.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**30)) < F.col("_share"))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Learn profiles from the documents with a language whose fold is not held out.
+def fit(docs: DataFrame, train_docs: int | None = None) -> Profiles:
+    """Learn profiles from all documents with a language whose fold is not held out.
 
-    About ``train_docs`` of them are taken, by the hash of their id, so that
-    rare languages are there too. The driver gets the letters and one vector
-    for each language.
+    With ``train_docs``, about that many of them are taken, by the hash of
+    their id, so that rare languages are there too. The driver gets the letters
+    and one vector for each language.
     """
     part = fold("doc_id", FOLDS)
     train = docs.select("doc_id", "text", "lang").where((part >= 0) & (part != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    train = _by_language(train, train_docs).select("text", "lang")
+    train = (train if train_docs is None else _by_language(train, train_docs)).select("text", "lang")
 
     def count(batches):
         forget()
@@ -195,22 +195,29 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> tuple:
     return best(text)
 
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def shuffled(text: str) -> str:
     """``text`` with its letters in another order, the same one each time."""
-    letters = [x for x in text if x.isalpha()]
-    order = iter(np.random.default_rng([SEED, len(text), len(letters)]).permutation(len(letters)).tolist())
-    return "".join(letters[next(order)] if x.isalpha() else x for x in text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    at = np.flatnonzero(_is_letter()[points])
+    points[at] = points[at][np.random.default_rng([SEED, len(points), len(at)]).permutation(len(at))]
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def bounds(docs: DataFrame, profiles: Profiles) -> list[tuple[int, float]]:
     """(length, least cosine) by length: short texts of a language score low, long junk scores high.
 
-    Learned from beginnings of labelled documents and the same with shuffled
-    letters. The driver gets one row for each length.
+    Learned from beginnings of all labelled documents and the same with
+    shuffled letters. The driver gets one row for each length.
     """
     part = fold("doc_id", FOLDS)
     known = docs.where((part >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = hash_sample(known.select("doc_id", F.substring("text", 1, LENGTHS[-1]).alias("text")), "doc_id", BOUND_DOCS).select("text")
+    beginnings = known.select(F.substring("text", 1, LENGTHS[-1]).alias("text"))
 
     def score(batches):
         forget()
@@ -219,7 +226,8 @@ def bounds(docs: DataFrame, profiles: Profiles) -> list[tuple[int, float]]:
             out = {"length": [n for n, _ in pairs]}
             for name, texts in (("clean", [x for _, x in pairs]), ("junk", [shuffled(x.lower()) for _, x in pairs])):
                 found = [np.zeros(0)]
-                for block in _blocks(texts):
+                # Beginnings of one text have most trigrams in common, so a few texts fill a block.
+                for block in _blocks(texts, 8 * len(LENGTHS) if name == "clean" else BLOCK_DOCS):
                     v = bundles(block, profiles.letters)
                     size = np.linalg.norm(v, axis=1)
                     found.append(((v @ profiles.matrix().T) / np.where(size, size, 1)[:, None]).max(axis=1))
@@ -228,9 +236,13 @@ def bounds(docs: DataFrame, profiles: Profiles) -> list[tuple[int, float]]:
 
     if not profiles.languages:
         return []
-    rows = sample.mapInPandas(score, "length int, clean double, junk double").groupBy("length").agg(
-        F.count("*").alias("n"), F.percentile("clean", F.lit(CLEAN_QUANTILE)).alias("clean"), F.percentile("junk", F.lit(JUNK_QUANTILE)).alias("junk")
-    )
+    # Cosines lie in 32 bits, so that is all that is kept of them.
+    rows = materialize(beginnings.mapInPandas(score, "length int, clean double, junk double").select("length", F.col("clean").cast("float").alias("clean"), F.col("junk").cast("float").alias("junk")))
+    rows = rows.select("length", F.col("clean").cast("double").alias("clean"), F.col("junk").cast("double").alias("junk"))
+    if rows.isEmpty():
+        return []
+    marks = exact_percentiles(rows, ["length"], "clean", {"clean": CLEAN_QUANTILE}).join(exact_percentiles(rows, ["length"], "junk", {"junk": JUNK_QUANTILE}), "length")
+    rows = rows.groupBy("length").agg(F.count("*").alias("n")).join(marks, "length")
     return sorted((r["length"], max(0.0, min(r["junk"], CLEAN_PART * r["clean"]))) for r in rows.collect() if r["n"] >= LEAST_DOCS)
 
 

@@ -23,13 +23,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eraloom.llm.common import collector_off, fold, forget, hash_sample
-from eraloom.session import materialize
+from eraloom.llm.common import collector_off, fold, forget
+from eraloom.session import broadcast_checked, materialize
 
 FOLDS, HELD_OUT = 5, 0
-# Labelled documents to learn from, and the percentages of them for lexicon, trees and calibration.
-TRAIN_DOCS = 20_000
+# Percentages of the labelled documents for lexicon, trees and calibration.
 PARTS = (60, 25, 15)
+# Documents that a task grows the trees on, and terms that a task counts before it hands them on.
+TRAIN_ROWS, COUNTED_TERMS = 100_000, 200_000
 # A term needs this many toxic documents and this likelihood ratio (twice the gain in log likelihood).
 LEAST_DOCS, LEAST_RATIO = 3, 18.0
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
@@ -127,8 +128,9 @@ def feature_column(weights: dict[str, float], text: str = "text") -> Column:
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Log odds of the terms that tell toxic documents (``label`` 1) from others, from ``text`` and ``label``.
 
-    A term counts once for each document. The driver gets the terms that pass;
-    their number is bounded by the sample of labelled documents.
+    A term counts once for each document. Terms of too few toxic documents
+    cannot pass, so the others are counted first, and of the clean documents
+    only these terms travel. The driver gets the terms that pass.
     """
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -137,15 +139,22 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
 
     def count(batches):
         forget()
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: Counter = Counter()
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label].update({t for w in set(_word.findall((text or "").lower())) for t in terms_of(w)})
-        for label, c in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "label", "n"])
-
-    n = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
-    counts = train.select("text", "label").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(n(1).alias("a"), n(0).alias("b"))
+            for text in batch.column(0).to_pylist():
+                seen.update({t for w in set(_word.findall((text or "").lower())) for t in terms_of(w)})
+                if len(seen) >= COUNTED_TERMS:
+                    yield full()
+                    seen.clear()
+        yield full()
+
+    def counts(label: int) -> DataFrame:
+        return train.where(F.col("label") == label).select("text").mapInArrow(count, "term string, n long")
+
+    often = materialize(counts(1).groupBy("term").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST_DOCS))
+    others = counts(0).join(broadcast_checked(often.select("term")), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("b"))
+    counted = often.join(others, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
     x = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
     a, b, all_ = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     gain = (
@@ -153,7 +162,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         - x(all_, F.lit(toxic + clean)) - x(toxic + clean - all_, F.lit(toxic + clean))
     )
     weight = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
-    passed = counts.where((a >= LEAST_DOCS) & (a / toxic > b / clean)).withColumn("ratio", 2 * gain).where(F.col("ratio") >= LEAST_RATIO)
+    passed = counted.where(a / toxic > b / clean).withColumn("ratio", 2 * gain).where(F.col("ratio") >= LEAST_RATIO)
     return {r["term"]: r["w"] for r in passed.select("term", weight.alias("w")).where("w >= 2").collect()}
 
 
@@ -176,33 +185,38 @@ class Model:
         return rows.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0)).alias(out))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from labelled documents that are not held out; about ``train_docs`` of them, by the hash of their id.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from all labelled documents that are not held out.
 
     A document that is labelled more than once counts as toxic if any label
     says so. Null labels and ids are left out.
     """
     part = fold("doc_id", FOLDS)
     known = labels.where((part >= 0) & (part != HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    known = hash_sample(known, "doc_id", train_docs)
-    slot = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(100))
-    # The sample is bounded, so it is sent to the documents and not the other way round.
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("slot", slot.cast("int"))
-    train = materialize(train.select("text", "label", "slot"))
+    # Read by both branches below.
+    known = materialize(known.withColumn("slot", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(100)).cast("int")))
     first, second = PARTS[0], PARTS[0] + PARTS[1]
-    weights = learn_lexicon(train.where(F.col("slot") < first))
-    rest = materialize(train.where(F.col("slot") >= first).select("label", "slot", feature_column(weights).alias("values"))).select("label", "slot", array_to_vector("values").alias("features"))
+
+    def train(slots: Column) -> DataFrame:
+        # Few labels go to the documents; with many, the texts that are read here move once.
+        return docs.select("doc_id", "text").join(broadcast_checked(known.where(slots)), "doc_id").select("text", "label", "slot")
+
+    weights = learn_lexicon(train(F.col("slot") < first))
+    rest = materialize(train(F.col("slot") >= first).select("label", "slot", feature_column(weights).alias("values"))).select("label", "slot", array_to_vector("values").alias("features"))
     sizes = {(r["p"], r["label"]): r["n"] for r in rest.groupBy((F.col("slot") < second).alias("p"), "label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     share = sum(n for (_, label), n in sizes.items() if label == 1) / total if total else 0.0
     if not (sizes.get((True, 1)) and sizes.get((True, 0))):
         return Model(weights, None, None, share)
     grown = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, subsamplingRate=1.0, seed=5)
-    trees = grown.fit(rest.where(F.col("slot") < second).coalesce(1))
+    parts = -(-(sizes[True, 1] + sizes[True, 0]) // TRAIN_ROWS)
+    trees = grown.fit(rest.where(F.col("slot") < second).coalesce(parts))
     scale = None
     if sizes.get((False, 1)) and sizes.get((False, 0)):
         held = trees.transform(rest.where(F.col("slot") >= second)).select("label", vector_to_array("probability")[1].alias("margin"))
-        scale = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(held)
+        # Margins are sums of a few leaves, so many documents share one.
+        held = held.groupBy("label", "margin").agg(F.count("*").cast("double").alias("weight"))
+        scale = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(held)
     return Model(weights, trees, scale, share)
 
 
