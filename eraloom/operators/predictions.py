@@ -255,10 +255,11 @@ def with_baseline(df: DataFrame, keys: Sequence[str], columns: Sequence[str], at
     """Each row next to its zero-fraction row.
 
     The baseline is an aggregate that is joined back: one row per key, however
-    many fractions or seeds there are.
+    many fractions or seeds there are. It has as many rows as there are keys,
+    so it is not sent through the driver.
     """
     base = df.filter(F.col(at) == 0).groupBy(*keys).agg(*[F.max(c).alias(f"{c}_at_0") for c in columns])
-    return df.join(base, list(keys), "left")
+    return df.join(base.hint("merge"), list(keys), "left")
 
 
 

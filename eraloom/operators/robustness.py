@@ -10,6 +10,7 @@ from eraloom.operators.bootstrap import mean_bootstrap
 from eraloom.operators.metrics import risk_metrics, spearman, top_fraction
 from eraloom.operators.predictions import with_baseline
 from eraloom.schemas import join_null_safe, require_none
+from eraloom.session import materialize
 
 GROUP = ["task", "compression_version", "requested_copy_fraction"]
 VERSION = ["task", "compression_version"]
@@ -59,7 +60,8 @@ def probability_stability(pred: DataFrame) -> DataFrame:
 
 def top_membership(pred: DataFrame, top: float = 0.10) -> DataFrame:
     """Who is in the top group before and after: retained, exited, entered or outside."""
-    rows = top_fraction(paired_with_zero(pred), GROUP, top, "risk_at_0", out="in_top10_at_0")
+    # Each ranking reads its rows several times; the pairing and the first ranking are done once.
+    rows = materialize(top_fraction(materialize(paired_with_zero(pred)), GROUP, top, "risk_at_0", out="in_top10_at_0"))
     rows = top_fraction(rows, GROUP, top, "risk_perturbed", out="in_top10_perturbed")
     before, after = F.col("in_top10_at_0"), F.col("in_top10_perturbed")
     status = F.when(before & after, "retained").when(before, "exited").when(after, "entered").otherwise("outside")
