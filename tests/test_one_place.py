@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from eraloom.operators import history
-from tests.test_growth import made, same  # noqa: F401
+from eraloom.operators import eras, history
+from tests.test_growth import made, prepare, same  # noqa: F401
 
 
 def with_visits(events):
@@ -29,3 +29,18 @@ def test_events_move_once_into_the_timeline(made):  # noqa: F811
     t = history.timeline_events(history.canonical_events(events), codes)
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(subject_id") == 1, plan
+
+
+def test_points_and_cutoffs_of_busy_subjects_are_the_same(made, monkeypatch):  # noqa: F811
+    events, labels, codes = made
+    t = prepare(with_visits(events), labels, codes)
+    labels = labels.unionByName(labels.limit(3)).unionByName(labels.limit(2).withColumn("prediction_time", F.lit(None).cast("timestamp_ntz")))
+    made_in_one_place = {}
+    for alone in (eras.ALONE, 0):
+        monkeypatch.setattr(eras, "ALONE", alone)
+        points = eras.subject_points(t.ranked, 90)
+        cuts = [eras.episode_cutoffs(labels, t.ranked, p, inclusive) for p in (points, None) for inclusive in (True, False)]
+        made_in_one_place[alone] = [points, *cuts]
+        assert (points._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1) == (alone > 0)
+    for got, want in zip(*made_in_one_place.values()):
+        assert got.dtypes == want.dtypes and same(got, want)
